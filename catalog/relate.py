@@ -139,7 +139,7 @@ def feature_importance_orders(spark, sf):
 
 @S.add(
     "linear_fit",
-    f"WITH t AS ({G}) SELECT regr_count(price, qty) AS n, round(regr_slope(price, qty), 6) AS slope, round(regr_intercept(price, qty), 6) AS intercept, "
+    f"WITH t AS ({G}) SELECT regr_count(price, qty)::BIGINT AS n, round(regr_slope(price, qty), 6) AS slope, round(regr_intercept(price, qty), 6) AS intercept, "
     "round(min(qty), 6) AS x_min, round(max(qty), 6) AS x_max FROM t",
 )
 def linear_fit(spark, sf):

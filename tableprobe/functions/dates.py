@@ -1,6 +1,6 @@
 """Date patterns and guarded timestamp parsing.
 
-Every pattern is paired with the shape its text must have. Testing the shape
+A named format is paired with the shape its text must have. Testing the shape
 first keeps the parser away from text it would reject: a rejected parse builds
 an exception, which is far dearer than a failed match.
 """
@@ -8,6 +8,7 @@ an exception, which is far dearer than a failed match.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,7 +59,6 @@ _TOKENS = {
     "hh": ("H", 2, r"\d{1,2}", r"\d{2}"),
     "mm": ("m", 2, r"\d{1,2}", r"\d{2}"),
     "ss": ("s", 2, r"\d{1,2}", r"\d{2}"),
-    "MON": ("M", 3, r"[A-Za-z]{3}", r"[A-Za-z]{3}"),
     "ms": ("S", 6, r"\d{1,6}", r"\d{1,6}"),
 }
 _FRACTION = "[SSSSSS][SSSSS][SSSS][SSS][SS][S]"
@@ -86,7 +86,7 @@ def builder_to_pattern(fmt: str) -> str:
         letter, width, _, _ = _TOKENS[text]
         if letter == "S":
             out.append(_FRACTION)
-        elif letter == "y" or text == "MON" or touching:
+        elif letter == "y" or touching:
             out.append(letter * width)
         else:
             out.append(letter)
@@ -109,39 +109,75 @@ def parse_format(c: Column, fmt: str) -> Column:
     return F.when(c.rlike(format_shape(fmt)), F.try_to_timestamp(c, F.lit(builder_to_pattern(fmt))))
 
 
-def _inference_formats(dayfirst: bool) -> list[str]:
-    dates = ["YYYY-MM-DD", "YYYY/MM/DD", "YYYY.MM.DD"]
-    us = ["MM/DD/YYYY", "MM-DD-YYYY", "MM.DD.YYYY"]
-    eu = ["DD/MM/YYYY", "DD-MM-YYYY", "DD.MM.YYYY"]
-    dates += eu + us if dayfirst else us + eu
-    dates += ["DD MON YYYY", "DD-MON-YYYY", "MON DD, YYYY", "MON DD YYYY"]
-    times = ["", " HH:mm:ss", " HH:mm:ss.ms", " HH:mm"]
-    out = [d + t for d in dates for t in times]
-    out += [f"YYYY-MM-DDTHH:mm:ss{f}" for f in ("", ".ms")] + ["YYYY-MM-DDTHH:mm"]
-    out += ["YYYY/MM/DD HH-mm-ss", "DD-MM-YYYY HH.mm.ss"]
-    out += ["HH:mm:ss", "HH:mm:ss.ms", "YYYYMMDDHHmmss", "YYYYMMDDHHmm", "YYYYMMDD"]
-    return out
+# Shapes read without a named format. A time may follow any date.
+_TIME = r"([ T]\d{1,2}[:.-]\d{1,2}([:.-]\d{1,2}(\.\d{1,6})?)?)?$"
+_YEAR_FIRST = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}" + _TIME
+_YEAR_LAST = r"^\d{1,2}([-/.])\d{1,2}\1\d{4}" + _TIME
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})(\d{2})?(\d{2})?(\d{2})?$"
+_CLOCK = r"^\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?$"
+_MONTH = r"(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+_NAMED = rf"{_MONTH}\.? +\d{{1,2}},? +\d{{4}}|\d{{1,2}}[ -]{_MONTH}[ -]\d{{4}}"
+_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:?\d{2})$"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and use it many times inside one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _from_parts(text: Column) -> Column:
+    """'year month day [hour minute [second [fraction]]]', any separators, to a timestamp."""
+
+    def build(parts: Column) -> Column:
+        def number(i: int) -> Column:
+            return F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0))
+
+        seconds = F.concat(number(5).cast("string"), F.lit("."), F.coalesce(F.get(parts, F.lit(6)), F.lit("0")))
+        return F.try_make_timestamp(number(0), number(1), number(2), number(3), number(4), seconds.try_cast("decimal(8,6)"))
+
+    return let(F.split(text, r"[^0-9]+"), build)
 
 
 def infer_timestamp(c: Column, dayfirst: bool = False) -> Column:
-    """Read text as a timestamp by the first known format that fits.
+    """Read text as a timestamp by the first known shape that fits.
 
-    Month-first is tried before day-first unless asked otherwise. A bare time
-    lands on 1970-01-01, so the result never depends on the day it runs.
+    Where the order of day and month is open, month-first is tried before
+    day-first unless asked otherwise. A bare time lands on 1970-01-01, so the
+    result never depends on the day it runs. Fields are taken apart and checked as
+    numbers, which is much cheaper than letting a parser fail on each format.
     """
-    by_shape: dict[str, list[str]] = {}
-    for fmt in _inference_formats(dayfirst):
-        by_shape.setdefault(format_shape(fmt), []).append(fmt)
-    zoned = F.when(
-        c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:?\d{2})$"),
-        c.try_cast("timestamp"),
+    month_first, day_first = "$3-$1-$2", "$3-$2-$1"
+    first, second = (day_first, month_first) if dayfirst else (month_first, day_first)
+
+    def swapped(t: Column, order: str) -> Column:
+        return _from_parts(F.regexp_replace(t, r"^(\d+).(\d+).(\d{4})", order))
+
+    def read(t: Column) -> Column:
+        return (
+            F.when(t.rlike(_YEAR_FIRST), _from_parts(t))
+            .when(t.rlike(_YEAR_LAST), F.coalesce(swapped(t, first), swapped(t, second)))
+            .when(t.rlike(_COMPACT) & F.length(t).isin(8, 12, 14), _from_parts(F.regexp_replace(t, _COMPACT, "$1-$2-$3 $4:$5:$6")))
+            .when(t.rlike(_CLOCK), _from_parts(F.concat(F.lit("1970-01-01 "), t)))
+            .when(t.rlike(_NAMED), _named(t))
+            .when(t.rlike(_ZONED), t.try_cast("timestamp"))
+        )
+
+    # Dates are short and hold a digit, which lets most free text skip the shapes.
+    return let(c, lambda t: F.when(F.length(t).between(5, 40) & t.rlike(r"\d"), read(t)))
+
+
+def _named(t: Column) -> Column:
+    """A date with its month in letters, with an optional time behind it."""
+    word = F.lower(F.regexp_extract(t, _MONTH, 1))
+    place = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), word)
+    month = ((place + 2) / 3).cast("int").cast("string")
+    day_last = F.regexp_replace(t, rf"^{_MONTH}\.? +(\d{{1,2}}),? +(\d{{4}})", "$3-$2")
+    day_ahead = F.regexp_replace(t, rf"^(\d{{1,2}})[ -]{_MONTH}[ -](\d{{4}})", "$3-$1")
+    head = F.when(t.rlike(r"^\d"), day_ahead).otherwise(day_last)
+    valid = head.rlike(r"^\d{4}-\d{1,2}" + _TIME)
+    return F.when(
+        valid, _from_parts(F.regexp_replace(head, r"^(\d{4})-", F.concat(F.lit("$1-"), month, F.lit("-"))))
     )
-    branch = None
-    for shape, formats in by_shape.items():
-        value = F.coalesce(*[F.try_to_timestamp(c, F.lit(builder_to_pattern(f))) for f in formats])
-        branch = F.when(c.rlike(shape), value) if branch is None else branch.when(c.rlike(shape), value)
-    # Dates are short and hold a digit, which lets most free text skip the list.
-    return F.when(F.length(c).between(5, 35) & c.rlike(r"\d"), branch.otherwise(zoned))
 
 
 def to_timestamp(c: Column, fmt: str | None = None, dayfirst: bool = False) -> Column:

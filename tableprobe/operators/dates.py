@@ -69,9 +69,10 @@ def suggest_formats(df: DataFrame, column: str, top_n: int = 5) -> DataFrame:
 
     All presets are scored over all rows in one aggregate.
     """
-    text = clean_text(col(column), DATE_NULL_TOKENS)
+    text = col("text")
+    cleaned = df.select(clean_text(col(column), DATE_NULL_TOKENS).alias("text"))
     scores = one_row_per_column(
-        df, {f: {"parsed": F.count(parse_format(text, f)), "non_null": F.count(text)} for f in FORMAT_PRESETS}
+        cleaned, {f: {"parsed": F.count(parse_format(text, f)), "non_null": F.count(text)} for f in FORMAT_PRESETS}
     )
     return (
         scores.where((F.col("non_null") > 0) & (F.col("parsed") >= F.lit(PRESET_SHARE) * F.col("non_null")))

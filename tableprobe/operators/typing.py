@@ -148,31 +148,37 @@ def _votes(df: DataFrame, names: Sequence[str], tokens: tuple[str, ...], dates:
     """Everything needed to decide the type of each text column, from one aggregate."""
     if not names:
         return {}
+    # Clean, parse and flag each value once in a projection; the aggregate only counts.
+    made: list[Column] = []
+    for i, name in enumerate(names):
+        text = clean_text(col(name), tokens)
+        made += [text.alias(f"x{i}"), is_token(col(name), tokens).alias(f"k{i}")]
+    parsed = []
+    for i in range(len(names)):
+        x = F.col(f"x{i}")
+        parsed += [x, F.col(f"k{i}"), parse_number(x).alias(f"n{i}"), F.lower(x).alias(f"w{i}")]
+        parsed.append((infer_timestamp(x) if dates else F.lit(None).cast("timestamp")).alias(f"t{i}"))
+    seen_once = df.select(*made).select(*parsed)
     fields = {}
-    for name in names:
-        raw = col(name)
-        text = clean_text(raw, tokens)
-        number = parse_number(text)
-        word = F.lower(text)
-        seen = [F.coalesce(F.max((word == w).cast("int")), F.lit(0)) for w in (*TRUE_WORDS, *FALSE_WORDS)]
-        words = seen[0]
-        for s in seen[1:]:
-            words = words + s
-        moment = infer_timestamp(text) if dates else F.lit(None).cast("timestamp")
+    for i, name in enumerate(names):
+        text, number, word = F.col(f"x{i}"), F.col(f"n{i}"), F.col(f"w{i}")
+        words = F.lit(0)
+        for w in (*TRUE_WORDS, *FALSE_WORDS):
+            words = words + F.coalesce(F.max((word == w).cast("int")), F.lit(0))
         fields[name] = {
             "rows": F.count(F.lit(1)),
             "non_null": F.count(text),
-            "tokens": F.count_if(is_token(raw, tokens)),
+            "tokens": F.count_if(F.col(f"k{i}")),
             "numbers": F.count(number),
             "whole": F.count_if(text.rlike(r"^[+-]?\d{1,18}$")),
             "hints": F.count_if(text.rlike(DATE_HINT)),
-            "dates": F.count(moment),
-            "booleans": F.count(parse_boolean(text)),
+            "dates": F.count(F.col(f"t{i}")),
+            "booleans": F.count_if(word.isin(*TRUE_WORDS, *FALSE_WORDS)),
             "words": words,
             "infinite": F.count_if(F.abs(number) == F.lit(float("inf"))),
             "distinct": F.approx_count_distinct(text, 0.02),
         }
-    return {r["column"]: r.asDict() for r in one_row_per_column(df, fields).collect()}
+    return {r["column"]: r.asDict() for r in one_row_per_column(seen_once, fields).collect()}
 
 
 def _is_number(v: dict[str, int], threshold: float) -> bool:
