@@ -67,7 +67,7 @@ def clean_text(c: Column, tokens: Iterable[str] = PLACEHOLDER_TOKENS) -> Column:
 
 def parse_number(c: Column) -> Column:
     """Text to double; null unless the whole value is a number."""
-    bare = F.when(c.rlike(GROUPED_NUMBER), F.regexp_replace(c, ",", "")).otherwise(c)
+    bare = F.when(c.contains(",") & c.rlike(GROUPED_NUMBER), F.replace(c, F.lit(","), F.lit(""))).otherwise(c)
     return F.when(bare.rlike(PLAIN_NUMBER), bare.try_cast("double"))
 
 

@@ -14,7 +14,7 @@ from tableprobe.functions.dates import (
     parse_format,
     to_timestamp,
 )
-from tableprobe.functions.frames import one_row_per_column, report_frame
+from tableprobe.functions.frames import one_row_per_column, per_column, report_frame
 from tableprobe.functions.text import DATE_NULL_TOKENS, clean_text
 
 PRESET_SHARE = 0.5
@@ -134,18 +134,15 @@ def detect_numeric_datetime(df: DataFrame) -> DataFrame:
         return report_frame(
             df.sparkSession, [], "position int, column string, mode string, excel_serial double, unix_s double, unix_ms double"
         )
-    fields = {}
-    for c in names:
-        x = as_number(col(c), df.schema[c].dataType)
-        fields[c] = {"filled": F.count(x)}
-        for name, lo, hi in NUMERIC_TIME_RANGES:
-            fields[c][name] = percent(F.count_if(x.between(lo, hi)), F.count(x))
+    x = F.col("value")
+    shares = {n: percent(F.count_if(x.between(lo, hi)), F.count(x)) for n, lo, hi in NUMERIC_TIME_RANGES}
+    scores = per_column(df, {c: as_number(col(c), df.schema[c].dataType) for c in names}, {"filled": F.count(x), **shares})
     modes = [name for name, _, _ in NUMERIC_TIME_RANGES]
     best = F.greatest(*modes)
     mode = F.when((F.col("filled") < 3) | (best < NUMERIC_SHARE), F.lit(None).cast("string"))
     for m in modes:
         mode = mode.when(F.col(m) == best, F.lit(m))
-    return one_row_per_column(df, fields).select("position", "column", mode.alias("mode"), *modes)
+    return scores.select("position", "column", mode.alias("mode"), *modes)
 
 
 def convert_numeric_datetime(df: DataFrame, column: str, mode: str, output: str | None = None) -> tuple[DataFrame, DataFrame]:

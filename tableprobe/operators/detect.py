@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import col, is_text, is_time, percent
 from tableprobe.functions.dates import to_timestamp
-from tableprobe.functions.frames import one_row_per_column, report_frame
+from tableprobe.functions.frames import per_column, report_frame
 
 PARSE_SHARE = 70.0
 NEAR_MISS_SHARE = 50.0
@@ -31,9 +31,11 @@ def datetime_detection_summary(df: DataFrame) -> DataFrame:
     order = {c: i for i, c in enumerate(df.columns)}
     out = report_frame(df.sparkSession, [(order[c], c, "native", 100.0, 0) for c in native], schema)
     if names:
-        fields = {c: {"filled": F.count(col(c)), "parsed": F.count(to_timestamp(col(c)))} for c in names}
+        scores = per_column(
+            df, {c: col(c) for c in names}, {"filled": F.count("value"), "parsed": F.count(to_timestamp(F.col("value")))}
+        )
         places = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(order[c]))])
-        text = one_row_per_column(df, fields).select(
+        text = scores.select(
             places[F.col("column")].alias("position"),
             "column",
             F.lit("parseable").alias("detected"),

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tableprobe.functions.columns import col, columns_of, is_integral, is_numeric, is_text, numeric_columns, percent, text_columns
 from tableprobe.functions.dates import to_timestamp
-from tableprobe.functions.frames import one_row_per_column, report_frame
+from tableprobe.functions.frames import per_column, report_frame
 from tableprobe.plans.frequency import value_counts
 
 MAX_OPTIONS = 200
@@ -123,8 +123,8 @@ def filter_options(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             options = counts.join(F.broadcast(small), "column", "left_semi").select("column", "value").orderBy("column", "value")
     ranges = report_frame(spark, [], "column string, low double, high double")
     if numbers:
-        fields = {c: {"low": F.min(col(c)).cast("double"), "high": F.max(col(c)).cast("double")} for c in numbers}
-        ranges = one_row_per_column(df, fields).drop("position")
+        values = {c: col(c).cast("double") for c in numbers}
+        ranges = per_column(df, values, {"low": F.min("value"), "high": F.max("value")}).drop("position")
     return options, ranges
 
 

@@ -18,7 +18,7 @@ from tableprobe.functions.columns import (
     present,
     time_columns,
 )
-from tableprobe.functions.frames import one_row_per_column, report_frame
+from tableprobe.functions.frames import per_column, report_frame
 from tableprobe.functions.stats import sample_kurtosis, sample_skewness
 from tableprobe.operators.filters import time_between
 from tableprobe.operators.typing import split_columns, stringify_nested
@@ -28,7 +28,7 @@ from tableprobe.plans.frequency import (
     quantiles_of_counts,
     value_counts,
 )
-from tableprobe.plans.ordered import chunk_rows, size_bound
+from tableprobe.plans.ordered import size_bound
 
 
 def _filled(df: DataFrame, name: str) -> Column:
@@ -46,22 +46,25 @@ def _number(df: DataFrame, name: str) -> Column:
 
 def overview(df: DataFrame) -> DataFrame:
     """One row: rows, columns and missing cells."""
-    missing = F.lit(0).cast("bigint")
-    for c in df.columns:
-        missing = missing + F.count_if(_filled(df, c).isNull())
+    gaps = F.size(F.filter(F.array(*[_filled(df, c).isNull() for c in df.columns]), lambda gap: gap))
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.lit(len(df.columns)).cast("bigint").alias("columns"),
-        missing.alias("missing_cells"),
+        F.coalesce(F.sum(gaps), F.lit(0)).alias("missing_cells"),
     )
 
 
+def _completeness(df: DataFrame) -> DataFrame:
+    """(position, column, rows, filled)."""
+    present_cells = {c: _filled(df, c).isNotNull() for c in df.columns}
+    return per_column(df, present_cells, {"rows": F.count(F.lit(1)), "filled": F.count_if("value")})
+
+
 def missing_summary(df: DataFrame) -> DataFrame:
     """(column, missing, missing_pct), worst first."""
-    fields = {c: {"rows": F.count(F.lit(1)), "filled": F.count(_filled(df, c))} for c in df.columns}
     gap = F.col("rows") - F.col("filled")
     return (
-        one_row_per_column(df, fields)
+        _completeness(df)
         .select("position", "column", gap.alias("missing"), percent(gap, F.col("rows")).alias("missing_pct"))
         .orderBy(F.desc("missing_pct"), "position")
         .drop("position")
@@ -107,15 +110,13 @@ def zscore_bounds(df: DataFrame, columns: Sequence[str], threshold: float = 3.0)
     """mean ± threshold · population deviation; None where there is no spread."""
     if not columns:
         return {}
-    got = df.agg(
-        *[F.avg(_number(df, c)).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(_number(df, c)).alias(f"s{i}") for i, c in enumerate(columns)],
-    ).first()
+    x = F.col("value")
+    got = per_column(df, {c: _number(df, c) for c in columns}, {"mean": F.avg(x), "deviation": F.stddev_pop(x)})
     out = {}
-    for i, c in enumerate(columns):
-        mean, deviation = got[f"m{i}"], got[f"s{i}"]
-        out[c] = (mean - threshold * deviation, mean + threshold * deviation) if deviation else (None, None)
-    return out
+    for r in got.collect():  # one row per column
+        mean, deviation = r["mean"], r["deviation"]
+        out[r["column"]] = (mean - threshold * deviation, mean + threshold * deviation) if deviation else (None, None)
+    return {c: out[c] for c in columns}
 
 
 def _outside(x: Column, bounds: tuple[float | None, float | None]) -> Column:
@@ -129,18 +130,17 @@ def _outlier_table(df: DataFrame, bounds: dict[str, tuple[float | None, float |
     schema = "position int, column string, outliers bigint, outlier_pct double, lower double, upper double"
     if not bounds:
         return report_frame(df.sparkSession, [], schema).drop("position")
-    fields = {
-        c: {
-            "filled": F.count(_number(df, c)),
-            "outliers": F.count_if(_outside(_number(df, c), b)),
-            "lower": F.lit(b[0]).cast("double"),
-            "upper": F.lit(b[1]).cast("double"),
-        }
-        for c, b in bounds.items()
-    }
-    return one_row_per_column(df, fields).select(
-        "column", "outliers", percent(F.col("outliers"), F.col("filled")).alias("outlier_pct"), "lower", "upper"
-    )
+    def fence(side: int) -> Column:
+        """The fence of the column a stacked value came from."""
+        entries = [(F.lit(f"c{i}"), F.lit(b[side]).cast("double")) for i, b in enumerate(bounds.values())]
+        return F.create_map(*[x for pair in entries for x in pair])[F.col("id")]
+
+    x, lo, hi = F.col("value"), fence(0), fence(1)
+    return per_column(
+        df,
+        {c: _number(df, c) for c in bounds},
+        {"filled": F.count(x), "outliers": F.count_if((x < lo) | (x > hi)), "lower": F.max(lo), "upper": F.max(hi)},
+    ).select("column", "outliers", percent(F.col("outliers"), F.col("filled")).alias("outlier_pct"), "lower", "upper")
 
 
 def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
@@ -200,10 +200,11 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> D
             " min double, q25 double, median double, q75 double, max double, skew double, kurtosis double",
         )
     rows = size_bound(df)
-    fields = {}
-    for c in names:
-        x = _number(df, c)
-        fields[c] = {
+    x = F.col("value")
+    moments = per_column(
+        df,
+        {c: _number(df, c) for c in names},
+        {
             "rows": F.count(F.lit(1)),
             "count": F.count(x),
             "mean": F.avg(x),
@@ -212,17 +213,12 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> D
             "max": F.max(x),
             "skew": sample_skewness(x),
             "kurtosis": sample_kurtosis(x),
-        }
-        if rows <= chunk_rows(df, None):
-            fields[c]["q"] = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    moments = one_row_per_column(df, fields)
+        },
+    )
     counts = number_counts(df, names)
-    if rows <= chunk_rows(df, None):
-        ranks = counts.groupBy("column").agg(F.count_distinct("value").alias("distinct"))
-    else:
-        ranks = quantiles_of_counts(counts, ["column"], [0.25, 0.5, 0.75], rows)
-        ranks = ranks.select("column", "distinct", "q")
+    ranks = quantiles_of_counts(counts, ["column"], [0.25, 0.5, 0.75], rows).drop("n")
     gap = F.col("rows") - F.col("count")
+    # Both sides have one row per column.
     return moments.join(F.broadcast(ranks), "column", "left").select(
         "column",
         "count",
@@ -323,9 +319,7 @@ def _metrics(one: DataFrame, fields: dict[str, tuple[Column, Column]]) -> DataFr
 def column_health(df: DataFrame) -> DataFrame:
     """(column, type, missing_pct, unique, status), worst first."""
     flat, _ = stringify_nested(df)
-    filled = one_row_per_column(
-        flat, {c: {"rows": F.count(F.lit(1)), "filled": F.count(_filled(flat, c))} for c in flat.columns}
-    )
+    filled = _completeness(flat)
     unique = value_counts(flat, flat.columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     types = F.create_map(*[x for n, t in df.dtypes for x in (F.lit(n), F.lit(t))])
     distinct = F.coalesce("unique", F.lit(0))
@@ -351,14 +345,13 @@ def time_coverage(df: DataFrame) -> DataFrame:
     schema = "column string, start timestamp, end timestamp, duration_seconds double, non_null bigint"
     if not names:
         return report_frame(df.sparkSession, [], schema)
-    fields = {}
-    for c in names:
-        t = col(c).cast("timestamp")
-        fields[c] = {"start": F.min(t), "end": F.max(t), "non_null": F.count(t)}
+    t = F.col("value")
+    spans = per_column(
+        df, {c: col(c).cast("timestamp") for c in names}, {"start": F.min(t), "end": F.max(t), "non_null": F.count(t)}
+    )
     span = (F.unix_micros("end") - F.unix_micros("start")) / F.lit(1e6)
     return (
-        one_row_per_column(df, fields)
-        .withColumn("duration_seconds", span)
+        spans.withColumn("duration_seconds", span)
         .where("duration_seconds > 0")
         .orderBy(F.desc("duration_seconds"), "position")
         .limit(1)

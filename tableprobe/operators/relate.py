@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -14,34 +13,40 @@ from tableprobe.functions.frames import one_row_per_column, report_frame
 from tableprobe.functions.stats import pair_correlation
 from tableprobe.operators.profile import numeric_statistics
 
-# Pairs in one aggregate; more would outgrow generated code, so wide tables take several scans.
-PAIRS_PER_SCAN = 120
-
-
 def _number(df: DataFrame, name: str) -> Column:
     return as_number(col(name), df.schema[name].dataType)
 
 
-def _pair_table(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    scans = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        part = pairs[start : start + PAIRS_PER_SCAN]
-        packed = df.agg(*[pair_correlation(_number(df, a), _number(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        rows = [
-            F.struct(F.lit(start + i).alias("position"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(part)
-        ]
-        scans.append(packed.select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, scans)
+def _pair_table(df: DataFrame, names: Sequence[str], target: str | None = None) -> DataFrame:
+    """(position, a, b, r) for all pairs, or for each name with the target.
+
+    A row's numbers form one array and its pairs are two positions in it, so the
+    generated code is the same size for any number of columns. Pairs are folded
+    before the shuffle: what travels is one partial sum per pair and task.
+    """
+    columns = [*names, *([target] if target else [])]
+    p = len(columns)
+    row = df.select(F.array(*[_number(df, c) for c in columns]).alias("v"))
+    if target:
+        pairs = row.select("v", F.explode(F.sequence(F.lit(0), F.lit(p - 2))).alias("i")).withColumn("j", F.lit(p - 1))
+    else:
+        firsts = row.select("v", F.explode(F.sequence(F.lit(0), F.lit(p - 2))).alias("i"))
+        pairs = firsts.select("v", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(p - 1))).alias("j"))
+    r = pairs.groupBy("i", "j").agg(pair_correlation(F.get("v", "i"), F.get("v", "j")).alias("r"))
+    spine = [(i, p - 1) for i in range(p - 1)] if target else list(combinations(range(p), 2))
+    labels = report_frame(
+        df.sparkSession, [(n, i, j, columns[i], columns[j]) for n, (i, j) in enumerate(spine)], "position int, i int, j int, a string, b string"
+    )
+    # One row per pair of columns on both sides.
+    return labels.join(F.broadcast(r), ["i", "j"], "left").select("position", "a", "b", "r")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(a, b, r) for each pair of numeric columns, over rows where both are present."""
     names = present(df, columns or numeric_columns(df))
-    pairs = list(combinations(names, 2))
-    if not pairs:
+    if len(names) < 2:
         return report_frame(df.sparkSession, [], "position int, a string, b string, r double")
-    return _pair_table(df, pairs)
+    return _pair_table(df, names)
 
 
 def top_correlations(df: DataFrame, n: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
@@ -82,7 +87,7 @@ def target_correlations(df: DataFrame, target: str) -> DataFrame:
     if not features or not is_numeric(df.schema[target].dataType):
         return report_frame(df.sparkSession, [], "feature string, r double, strength string, direction string")
     return (
-        _pair_table(df, [(f, target) for f in features])
+        _pair_table(df, features, target)
         .orderBy(F.abs("r").desc_nulls_last(), "position")
         .select(
             F.col("a").alias("feature"),

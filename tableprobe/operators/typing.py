@@ -33,7 +33,7 @@ from tableprobe.functions.columns import (
     time_columns,
 )
 from tableprobe.functions.dates import DATE_HINT, infer_timestamp
-from tableprobe.functions.frames import one_row_per_column, report_frame
+from tableprobe.functions.frames import per_column, report_frame
 from tableprobe.functions.text import (
     FALSE_WORDS,
     NUMERIC_NULL_TOKENS,
@@ -107,7 +107,7 @@ def token_counts(df: DataFrame, tokens: Iterable[str] = PLACEHOLDER_TOKENS) -> D
     names = text_columns(df)
     if not names:
         return report_frame(df.sparkSession, [], "column string, replaced bigint")
-    counts = one_row_per_column(df, {c: {"replaced": F.count_if(is_token(col(c), tokens))} for c in names})
+    counts = per_column(df, {c: is_token(col(c), tokens) for c in names}, {"replaced": F.count_if("value")})
     return counts.where("replaced > 0").select("column", "replaced")
 
 
@@ -144,41 +144,57 @@ def stringify_nested(df: DataFrame) -> tuple[DataFrame, list[dict[str, str]]]:
 # ------------------------------------------------------------------- voting
 
 
-def _votes(df: DataFrame, names: Sequence[str], tokens: tuple[str, ...], dates: bool = True) -> dict[str, dict[str, int]]:
-    """Everything needed to decide the type of each text column, from one aggregate."""
+def _votes(
+    df: DataFrame,
+    names: Sequence[str],
+    tokens: tuple[str, ...],
+    dates: bool = True,
+    numeric_threshold: float | None = None,
+) -> dict[str, dict[str, int]]:
+    """What is needed to decide the type of each text column.
+
+    One pass counts the cheap evidence for all columns. Only columns that mostly look
+    like dates, and are not numbers already, are then read again to parse dates.
+    """
     if not names:
         return {}
-    # Clean, parse and flag each value once in a projection; the aggregate only counts.
-    made: list[Column] = []
-    for i, name in enumerate(names):
-        text = clean_text(col(name), tokens)
-        made += [text.alias(f"x{i}"), is_token(col(name), tokens).alias(f"k{i}")]
-    parsed = []
-    for i in range(len(names)):
-        x = F.col(f"x{i}")
-        parsed += [x, F.col(f"k{i}"), parse_number(x).alias(f"n{i}"), F.lower(x).alias(f"w{i}")]
-        parsed.append((infer_timestamp(x) if dates else F.lit(None).cast("timestamp")).alias(f"t{i}"))
-    seen_once = df.select(*made).select(*parsed)
-    fields = {}
-    for i, name in enumerate(names):
-        text, number, word = F.col(f"x{i}"), F.col(f"n{i}"), F.col(f"w{i}")
-        words = F.lit(0)
-        for w in (*TRUE_WORDS, *FALSE_WORDS):
-            words = words + F.coalesce(F.max((word == w).cast("int")), F.lit(0))
-        fields[name] = {
-            "rows": F.count(F.lit(1)),
-            "non_null": F.count(text),
-            "tokens": F.count_if(F.col(f"k{i}")),
-            "numbers": F.count(number),
-            "whole": F.count_if(text.rlike(r"^[+-]?\d{1,18}$")),
-            "hints": F.count_if(text.rlike(DATE_HINT)),
-            "dates": F.count(F.col(f"t{i}")),
-            "booleans": F.count_if(word.isin(*TRUE_WORDS, *FALSE_WORDS)),
-            "words": words,
-            "infinite": F.count_if(F.abs(number) == F.lit(float("inf"))),
-            "distinct": F.approx_count_distinct(text, 0.02),
-        }
-    return {r["column"]: r.asDict() for r in one_row_per_column(seen_once, fields).collect()}
+    text, number = F.col("text"), F.col("number")
+    # One bit per known word; the bits set in the end are the different words seen.
+    known = F.array_position(F.array(*[F.lit(w) for w in (*TRUE_WORDS, *FALSE_WORDS)]), F.lower(text))
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("known").cast("int")))
+    steps = _text_steps(tokens) + [{"number": parse_number(text), "known": F.when(F.length(text) <= 5, known)}]
+    aggregates = {
+        "rows": F.count(F.lit(1)),
+        "non_null": F.count(text),
+        "tokens": F.count_if("token"),
+        "numbers": F.count(number),
+        "whole": F.count_if(number.isNotNull() & text.rlike(r"^[+-]?\d{1,18}$")),
+        "hints": F.count_if(text.rlike(DATE_HINT)),
+        "booleans": F.count_if(F.col("known") > 0),
+        "words": F.bit_count(F.call_function("shiftright", F.coalesce(bits, F.lit(0)), F.lit(1))),
+        "infinite": F.count_if(F.abs(number) == F.lit(float("inf"))),
+        "distinct": F.approx_count_distinct(text, 0.02),
+    }
+    out = {r["column"]: r.asDict() for r in per_column(df, {n: strip(col(n)) for n in names}, aggregates, steps).collect()}
+    numeric = {n for n, v in out.items() if numeric_threshold is not None and _is_number(v, numeric_threshold)}
+    likely = [n for n, v in out.items() if dates and n not in numeric and _hinted(v)]
+    for v in out.values():
+        v["dates"] = 0
+    if likely:
+        parsed = {"dates": F.count(infer_timestamp(text))}
+        for r in per_column(df, {n: strip(col(n)) for n in likely}, parsed, _text_steps(tokens)).collect():
+            out[r["column"]]["dates"] = r["dates"]
+    return out
+
+
+def _text_steps(tokens: tuple[str, ...]) -> list[dict[str, Column]]:
+    """From a trimmed value: whether it is a placeholder, and the text that is left."""
+    token = F.coalesce(F.lower("value").isin(*tokens), F.lit(False)) if tokens else F.lit(False)
+    return [{"token": token}, {"text": F.when(~F.col("token"), F.col("value"))}]
+
+
+def _hinted(v: dict[str, int]) -> bool:
+    return v["non_null"] > 0 and v["hints"] / v["non_null"] >= DATE_HINT_SHARE
 
 
 def _is_number(v: dict[str, int], threshold: float) -> bool:
@@ -188,8 +204,7 @@ def _is_number(v: dict[str, int], threshold: float) -> bool:
 def _is_date(v: dict[str, int], threshold: float) -> bool:
     n = v["non_null"]
     return (
-        n > 0
-        and v["hints"] / n >= DATE_HINT_SHARE
+        _hinted(v)
         and v["dates"] / n >= threshold
         and v["dates"] / v["rows"] >= threshold
     )
@@ -330,7 +345,7 @@ def logical_types(df: DataFrame) -> DataFrame:
             return "numeric"
         return "categorical" if f.name in categorical else "string"
 
-    filled = one_row_per_column(df, {c: {"filled": F.count(col(c))} for c in df.columns})
+    filled = per_column(df, {c: col(c).isNotNull() for c in df.columns}, {"filled": F.count_if("value")})
     named = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(kind(f)))])
     return filled.select(
         "column",
@@ -365,7 +380,7 @@ def sanitize(
     }
     nested = {e["column"] for e in nested_log}
     names = [c for c in text_columns(flat) if c not in nested]
-    votes = _votes(flat, names, tokens)
+    votes = _votes(flat, names, tokens, numeric_threshold=numeric_threshold)
     floats = columns_of(flat, is_floating)
     if votes:
         rows = next(iter(votes.values()))["rows"]
@@ -381,7 +396,7 @@ def sanitize(
     new: dict[str, Column] = {}
     numbers, dates, booleans, kept_text = [], [], [], {}
     for name, v in votes.items():
-        text = clean_text(col(name), tokens)
+        text = col(name)
         if _is_number(v, numeric_threshold):
             new[name] = _number_column(text, v)
             numbers.append(_numeric_log(name, v))
@@ -392,14 +407,14 @@ def sanitize(
             new[name] = parse_boolean(text)
             booleans.append(name)
         else:
-            new[name] = text
             kept_text[name] = v["distinct"]
     for c in floats:
         new[c] = no_nan(col(c))
     for f in flat.schema.fields:
         if isinstance(f.dataType, T.TimestampNTZType):
             new[f.name] = col(f.name).cast("timestamp")
-    clean = _replace(flat, new)
+    # Two projections: the second reads each cleaned text several times.
+    clean = _replace(_replace(flat, {n: clean_text(col(n), tokens) for n in names}), new)
     distinct = _settle_distinct(clean, kept_text, rows)
     categories = {c: d for c, d in distinct.items() if _low_cardinality(d, rows)}
     clean = _tag(clean, categories)
@@ -454,9 +469,7 @@ def numeric_convertibility(df: DataFrame, threshold: float = NUMERIC_SHARE, exam
             " invalid_pct double, convertible boolean, invalid_examples array<string>",
         )
     text = {c: clean_text(col(c), NUMERIC_NULL_TOKENS) for c in names}
-    counts = one_row_per_column(
-        df, {c: {"non_null": F.count(text[c]), "valid": F.count(parse_number(text[c]))} for c in names}
-    )
+    counts = per_column(df, text, {"non_null": F.count("value"), "valid": F.count(parse_number(F.col("value")))})
     rejected = value_counts(
         df.select(*[F.when(text[c].isNotNull() & parse_number(text[c]).isNull(), col(c)).alias(c) for c in names]), names
     )
@@ -526,7 +539,7 @@ def detect_low_unique_numeric(df: DataFrame, max_unique: int = 10, max_ratio: fl
 def column_types(df: DataFrame) -> DataFrame:
     """(column, type, non_null, unique) for every column."""
     flat, _ = stringify_nested(df)
-    filled = one_row_per_column(flat, {c: {"non_null": F.count(_present(flat, c))} for c in flat.columns})
+    filled = per_column(flat, {c: _present(flat, c).isNotNull() for c in flat.columns}, {"non_null": F.count_if("value")})
     unique = value_counts(flat, flat.columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     types = F.create_map(*[x for n, t in df.dtypes for x in (F.lit(n), F.lit(t))])
     return filled.join(unique, "column", "left").select(

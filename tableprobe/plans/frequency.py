@@ -106,15 +106,9 @@ def column_quantiles(
     columns = [c for c in columns if is_numeric(df.schema[c].dataType)]
     if not columns:
         return {}
-    rows = size_bound(df)
-    if rows <= chunk_rows(df, rows_per_chunk):
-        points = F.array(*[F.lit(float(p)) for p in probabilities])
-        got = df.agg(
-            *[F.percentile(as_number(col(c), df.schema[c].dataType), points).alias(f"q{i}") for i, c in enumerate(columns)]
-        ).first()
-        out = {c: list(got[f"q{i}"]) if got[f"q{i}"] is not None else None for i, c in enumerate(columns)}
-    else:
-        table = quantiles_of_counts(number_counts(df, columns), ["column"], probabilities, rows, rows_per_chunk)
-        out = {r["column"]: list(r["q"]) for r in table.collect()}
+    table = quantiles_of_counts(
+        number_counts(df, columns), ["column"], probabilities, size_bound(df), rows_per_chunk
+    )
+    out = {r["column"]: list(r["q"]) for r in table.collect()}  # one row per column
     empty = [None] * len(probabilities)
     return {c: out.get(c) or empty for c in columns}
