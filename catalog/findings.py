@@ -1,2 +1,200 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries for findings and report tables."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from catalog.base import Section, derived, derived_sql, table, union_sql
+from catalog.profile import NUM
+from catalog.relate import STRENGTH_CV, corr_sql, pairs_sql
+from tableprobe.functions.frames import report_frame
+from tableprobe.operators import findings as op
+from tableprobe.plans.storage import scratch_path
+
+S = Section()
+G = derived_sql("gauges")
+ALL = [*NUM, "returnflag", "status", "open_line"]
+
+
+@S.add(
+    "findings_missing",
+    f"WITH t AS ({G}), m AS ("
+    + union_sql([f"SELECT '{c}' AS c, 100.0 * (count(*) - count({c})) / count(*) AS p FROM t" for c in ALL])
+    + ") SELECT 'missing' AS rule, c AS subject, round(p, 6) AS value, format('Column {} has {:.1f}% missing values.', c, p) AS text FROM m WHERE p >= 20",
+)
+def findings_missing(spark, sf):
+    return op.findings_missing(derived(spark, sf, "gauges"))
+
+
+@S.add(
+    "findings_missing_none",
+    "SELECT 'missing' AS rule, CAST(NULL AS STRING) AS subject, 0.0::DOUBLE AS value, 'No missing values in the table.' AS text FROM (SELECT count(*) - count(o_totalprice) AS m FROM orders) WHERE m = 0",
+)
+def findings_missing_none(spark, sf):
+    return op.findings_missing(table(spark, sf, "orders"))
+
+
+@S.add(
+    "findings_duplicates",
+    "WITH d AS (SELECT sum(n - 1)::BIGINT AS d, sum(n) AS r FROM (SELECT count(*) AS n FROM documents GROUP BY text)) "
+    "SELECT 'duplicates' AS rule, CAST(NULL AS STRING) AS subject, d::DOUBLE AS value, CASE WHEN d > 0 THEN format('{} duplicate rows ({:.1f}% of the table).', d, 100.0 * d / r) ELSE 'No duplicate rows.' END AS text FROM d",
+)
+def findings_duplicates(spark, sf):
+    return op.findings_duplicates(table(spark, sf, "documents").select("text"))
+
+
+@S.add(
+    "findings_correlation",
+    pairs_sql() + "SELECT 'correlation' AS rule, a || ' ~ ' || b AS subject, round(r, 6) AS value, "
+    "format('Strong {} correlation ({:.2f}) between {} and {}.', CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END, abs(r), a, b) AS text FROM r WHERE abs(r) >= 0.7 "
+    "UNION ALL SELECT 'correlation', NULL, NULL, 'No strongly correlated numeric pairs.' FROM r HAVING coalesce(max(abs(r)), 0) < 0.7",
+)
+def findings_correlation(spark, sf):
+    return op.findings_correlation(derived(spark, sf, "gauges"))
+
+
+_LINKED = "SELECT l_quantity AS qty, l_quantity * 3 + l_tax AS load, 50 - l_quantity + l_discount AS rest, l_tax AS tax FROM lineitem"
+
+
+@S.add(
+    "findings_correlation_strong",
+    pairs_sql(_LINKED, ["qty", "load", "rest", "tax"]) + "SELECT 'correlation' AS rule, a || ' ~ ' || b AS subject, round(r, 6) AS value, "
+    "format('Strong {} correlation ({:.2f}) between {} and {}.', CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END, abs(r), a, b) AS text FROM r WHERE abs(r) >= 0.7",
+)
+def findings_correlation_strong(spark, sf):
+    linked = table(spark, sf, "lineitem").selectExpr(
+        "l_quantity AS qty", "l_quantity * 3 + l_tax AS load", "50 - l_quantity + l_discount AS rest", "l_tax AS tax"
+    )
+    return op.findings_correlation(linked)
+
+
+@S.add(
+    "findings_skew",
+    f"WITH t AS ({G}), s AS ("
+    + union_sql([f"SELECT '{c}' AS c, skewness({c}::DOUBLE) AS k FROM t" for c in NUM])
+    + ") SELECT 'skew' AS rule, c AS subject, round(k, 6) AS value, format('{} is {}-skewed (skew = {:.2f}).', c, CASE WHEN k > 0 THEN 'right' ELSE 'left' END, k) AS text FROM s WHERE abs(k) >= 1",
+)
+def findings_skew(spark, sf):
+    return op.findings_skew(derived(spark, sf, "gauges"))
+
+
+@S.add(
+    "findings_dominant",
+    "WITH t AS (SELECT CASE WHEN l_linenumber <= 5 THEN 'usual' ELSE l_returnflag END AS mix, l_linestatus FROM lineitem), v AS ("
+    + union_sql(
+        [
+            f"SELECT * FROM (SELECT '{c}' AS c, {c} AS v, 100.0 * count(*) / (SELECT count({c}) FROM t) AS p FROM t GROUP BY {c} ORDER BY p DESC, v LIMIT 1)"
+            for c in ("mix", "l_linestatus")
+        ]
+    )
+    + ") SELECT 'dominant' AS rule, c AS subject, round(p, 6) AS value, format('{} is dominated by ''{}'' ({:.1f}% of values).', c, v, p) AS text FROM v WHERE p >= 60",
+)
+def findings_dominant(spark, sf):
+    mix = F.when(F.col("l_linenumber") <= 5, "usual").otherwise(F.col("l_returnflag"))
+    return op.findings_dominant(table(spark, sf, "lineitem").select(mix.alias("mix"), "l_linestatus"))
+
+
+_WILD = "SELECT CASE WHEN l_linenumber = 1 THEN l_quantity * 100 ELSE l_quantity END AS wild, l_tax FROM lineitem"
+
+
+@S.add(
+    "findings_outliers",
+    f"WITH t AS ({_WILD}), o AS ("
+    + union_sql(
+        [
+            f"SELECT '{c}' AS c, count_if({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS o, count({c}) AS n "
+            f"FROM t, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM t)"
+            for c in ("wild", "l_tax")
+        ]
+    )
+    + ") SELECT 'outliers' AS rule, c AS subject, round(100.0 * o / n, 6) AS value, format('{} has {} outliers ({:.1f}%).', c, o, 100.0 * o / n) AS text FROM o WHERE o > 0 AND 100.0 * o / n >= 5",
+)
+def findings_outliers(spark, sf):
+    wild = F.when(F.col("l_linenumber") == 1, F.col("l_quantity") * 100).otherwise(F.col("l_quantity"))
+    return op.findings_outliers(table(spark, sf, "lineitem").select(wild.alias("wild"), "l_tax"))
+
+
+@S.add(
+    "findings",
+    "SELECT * FROM (SELECT 0 AS position, 'missing' AS rule, CAST(NULL AS STRING) AS subject, 0.0::DOUBLE AS value, 'No missing values in the table.' AS text "
+    "FROM (SELECT 5 * count(*) - count(c_custkey) - count(c_name) - count(c_nationkey) - count(c_acctbal) - count(c_mktsegment) AS m FROM customer) WHERE m = 0) UNION ALL "
+    "SELECT 1, 'duplicates', NULL, d::DOUBLE, CASE WHEN d > 0 THEN format('{} duplicate rows ({:.1f}% of the table).', d, 100.0 * d / r) ELSE 'No duplicate rows.' END "
+    "FROM (SELECT sum(n - 1)::BIGINT AS d, sum(n) AS r FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)) UNION ALL "
+    "SELECT 2, 'correlation', NULL, NULL, 'No strongly correlated numeric pairs.' FROM (SELECT greatest(abs(corr(c_custkey, c_nationkey)), abs(corr(c_custkey, c_acctbal)), abs(corr(c_nationkey, c_acctbal))) AS r FROM customer) WHERE r < 0.7",
+)
+def findings(spark, sf):
+    return op.findings(table(spark, sf, "customer"))
+
+
+@S.add(
+    "target_findings",
+    f"WITH t AS ({G}), g AS (SELECT returnflag, "
+    + ", ".join(f"avg({c}::DOUBLE) AS {c}" for c in NUM)
+    + " FROM t GROUP BY returnflag), s AS ("
+    + union_sql(
+        [
+            f"SELECT {i} AS i, '{c}' AS feature, coalesce((SELECT stddev_pop({c}) FROM g) / abs((SELECT nullif(avg({c}::DOUBLE), 0) FROM t)), 0.0) AS score"
+            for i, c in enumerate(NUM)
+        ]
+    )
+    + f"), k AS (SELECT *, lower({STRENGTH_CV}) AS word FROM s) "
+    "SELECT 'Target returnflag is categorical with ' || (SELECT count(DISTINCT returnflag) FROM t) || ' groups.' AS line UNION ALL "
+    "SELECT format('{} varies {} across groups of returnflag (score {:.2f}).', feature, word, score) FROM (SELECT * FROM k ORDER BY score DESC, i LIMIT 5) UNION ALL "
+    "SELECT format('{} features vary very little across groups.', count(*)) FROM k WHERE score < 0.05 HAVING count(*) > 0",
+)
+def target_findings(spark, sf):
+    lines = op.target_findings(derived(spark, sf, "gauges"), "returnflag")
+    return report_frame(spark, [(line,) for line in lines], "line string")
+
+
+@S.add("merge_findings", "SELECT line FROM (SELECT 'open lacks 1 columns others have: o_orderpriority.' AS line UNION ALL SELECT '1 shared columns have different types across tables.') WHERE (SELECT count(*) FROM orders) > 0")
+def merge_findings(spark, sf):
+    from catalog.merge import _parts
+    from tableprobe.operators.merge import compare_schemas
+
+    lines = op.merge_findings(compare_schemas(spark, _parts(spark, sf)), {"merge": "stack"})
+    return report_frame(spark, [(line,) for line in lines], "line string")
+
+
+@S.add(
+    "sanitize_findings",
+    "SELECT format('Cleaned {:,} placeholder values.', count_if(event_type = 'error')) AS line FROM events",
+)
+def sanitize_findings(spark, sf):
+    from tableprobe.operators.typing import sanitize
+
+    lines = op.sanitize_findings(sanitize(table(spark, sf, "events").select("event_id", "event_type", "value"))[1])
+    return report_frame(spark, [(line,) for line in lines], "line string")
+
+
+@S.add(
+    "report_tables",
+    union_sql(
+        [
+            f"SELECT '{name}' AS section, {rows}::BIGINT AS rows"
+            for name, rows in {
+                "overview": 1,
+                "quality": 1,
+                "types": 3,
+                "time_coverage": "(SELECT count(*) FROM (SELECT 1 FROM orders HAVING max(o_orderdate) > min(o_orderdate)))",
+                "column_health": 6,
+                "numeric": 3,
+                "correlation": 3,
+                "top_correlations": 3,
+            }.items()
+        ]
+    ),
+)
+def report_tables(spark, sf):
+    """Written below the shared folder and read back, one Parquet folder per section."""
+    paths = op.write_report(table(spark, sf, "orders"), scratch_path(spark, "report"))
+    parts = [spark.read.parquet(p).agg(F.lit(n).alias("section"), F.count(F.lit(1)).alias("rows")) for n, p in paths.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+QUERIES, SQL = S.queries, S.sql

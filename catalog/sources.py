@@ -1,2 +1,110 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries that go through files: write a table, read it back, load and merge."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import Section, table, ts_text
+from tableprobe.functions.columns import col
+from tableprobe.plans.storage import scratch_path
+from tableprobe.sources import readers, writers
+
+S = Section()
+ORDERS = f"SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, {ts_text('o_orderdate')} AS o_orderdate, o_orderpriority FROM orders"
+
+
+def _written(spark, sf, name, write, extension):
+    path = f"{scratch_path(spark, name)}.{extension}"
+    write(table(spark, sf, name), path)
+    return path
+
+
+@S.add(
+    "read_csv",
+    "SELECT CAST(s_suppkey AS STRING) AS s_suppkey, s_name, CAST(s_nationkey AS STRING) AS s_nationkey, CAST(s_acctbal AS STRING) AS s_acctbal FROM supplier",
+)
+def read_csv(spark, sf):
+    return readers.read_csv(spark, _written(spark, sf, "supplier", writers.write_csv, "csv"))
+
+
+@S.add("read_json", "SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, round(s_acctbal, 6) AS s_acctbal FROM supplier")
+def read_json(spark, sf):
+    return readers.read_json(spark, _written(spark, sf, "supplier", writers.write_json, "json"), lines=True)
+
+
+@S.add("read_parquet", ORDERS)
+def read_parquet(spark, sf):
+    return readers.read_parquet(spark, f"{sf}/orders.parquet")
+
+
+@S.add("load_table", ORDERS)
+def load_table(spark, sf):
+    return readers.load_table(spark, _written(spark, sf, "orders", writers.write_csv, "csv"))[0]
+
+
+@S.add("write_csv", ORDERS)
+def write_csv(spark, sf):
+    back = readers.read_csv(spark, _written(spark, sf, "orders", writers.write_csv, "csv"))
+    schema = table(spark, sf, "orders").schema
+    return back.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+@S.add("write_json", ORDERS)
+def write_json(spark, sf):
+    schema = table(spark, sf, "orders").schema
+    return spark.read.schema(schema).json(_written(spark, sf, "orders", writers.write_json, "json"))
+
+
+@S.add("write_parquet", ORDERS)
+def write_parquet(spark, sf):
+    return spark.read.parquet(_written(spark, sf, "orders", writers.write_parquet, "parquet"))
+
+
+@S.add("export_table", "SELECT 'parquet' AS format, count(*) AS rows, CAST(6 AS BIGINT) AS columns FROM orders")
+def export_table(spark, sf):
+    audit = writers.export_table(table(spark, sf, "orders"), scratch_path(spark, "export"), "Parquet (.parquet)", "my orders")
+    return audit.select("format", "rows", "columns")
+
+
+@S.add(
+    "apply_header_overrides",
+    "SELECT o_orderkey AS \"order key\", o_custkey AS \"customer\", round(o_totalprice, 6) AS price FROM orders",
+)
+def apply_header_overrides(spark, sf):
+    """A file that starts with two lines of notes before its real header."""
+    orders = table(spark, sf, "orders").select(*[col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(("o_orderkey", "o_custkey", "o_totalprice"))])
+    notes = spark.createDataFrame(
+        [(1, "Plant export", None, None), (2, "made", "today", None), (3, " order key", "customer ", "price")], "at int, _c0 string, _c1 string, _c2 string"
+    )
+    ordered = notes.unionByName(orders.withColumn("at", F.lit(9)))
+    raw = ordered.withColumn(readers.ORDER, F.struct(F.col("at"), F.col("_c0").alias("key"))).drop("at")
+    return readers.apply_header_overrides(raw, 2, True)[0]
+
+
+@S.add(
+    "load_many",
+    "SELECT 'customer' AS name, 'ok' AS status, count(*) AS rows FROM customer UNION ALL SELECT 'supplier', 'ok', count(*) FROM supplier UNION ALL SELECT 'missing', 'failed', 0",
+)
+def load_many(spark, sf):
+    folder = scratch_path(spark, "many")
+    paths = [f"{folder}/customer.csv", f"{folder}/missing.csv", f"{folder}/supplier.json"]
+    writers.write_csv(table(spark, sf, "customer"), paths[0])
+    writers.write_json(table(spark, sf, "supplier"), paths[2])
+    _, report = readers.load_many(spark, paths, lines=True)
+    return report["files"].select(F.split("file", r"\.")[0].alias("name"), "status", "rows")
+
+
+@S.add(
+    "load_many_merged",
+    "SELECT 'customer.csv' AS source_file, c_custkey, c_acctbal, CAST(NULL AS BIGINT) AS s_suppkey FROM (SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal FROM customer) UNION ALL "
+    "SELECT 'supplier.json', NULL, NULL, s_suppkey FROM supplier",
+)
+def load_many_merged(spark, sf):
+    folder = scratch_path(spark, "many")
+    paths = [f"{folder}/customer.csv", f"{folder}/supplier.json"]
+    writers.write_csv(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), paths[0])
+    writers.write_json(table(spark, sf, "supplier").select("s_suppkey"), paths[1])
+    return readers.load_many(spark, paths, lines=True)[0]
+
+
+QUERIES, SQL = S.queries, S.sql

@@ -70,13 +70,13 @@ def extension_of(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def read_table(spark: SparkSession, path: str, with_order: bool = False, **options) -> DataFrame:
-    """Read by extension, without cleaning."""
+def read_table(spark: SparkSession, path: str, with_order: bool = False, lines: bool = False, **options) -> DataFrame:
+    """Read by extension, without cleaning. ``lines`` is for JSON, the other options for CSV."""
     kind = extension_of(path)
     if kind == "csv":
         return read_csv(spark, path, with_order=with_order, **options)
     if kind in ("json", "jsonl"):
-        return read_json(spark, path, lines=kind == "jsonl" or options.get("lines", False), with_order=with_order)
+        return read_json(spark, path, lines=lines or kind == "jsonl", with_order=with_order)
     if kind in ("parquet", "pq"):
         return read_parquet(spark, path, with_order=with_order)
     raise ValueError(f"Unsupported file type {kind!r}; use one of: {', '.join(SUPPORTED)}.")
