@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import Section, table, ts_text
 from tableprobe.functions.columns import col
+from tableprobe.functions.frames import report_frame
 from tableprobe.plans.storage import scratch_path
 from tableprobe.sources import readers, writers
 
@@ -73,8 +74,8 @@ def export_table(spark, sf):
 def apply_header_overrides(spark, sf):
     """A file that starts with two lines of notes before its real header."""
     orders = table(spark, sf, "orders").select(*[col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(("o_orderkey", "o_custkey", "o_totalprice"))])
-    notes = spark.createDataFrame(
-        [(1, "Plant export", None, None), (2, "made", "today", None), (3, " order key", "customer ", "price")], "at int, _c0 string, _c1 string, _c2 string"
+    notes = report_frame(
+        spark, [(1, "Plant export", None, None), (2, "made", "today", None), (3, " order key", "customer ", "price")], "at int, _c0 string, _c1 string, _c2 string"
     )
     ordered = notes.unionByName(orders.withColumn("at", F.lit(9)))
     raw = ordered.withColumn(readers.ORDER, F.struct(F.col("at"), F.col("_c0").alias("key"))).drop("at")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,9 +12,26 @@ from pyspark.sql import types as T
 from tableprobe.functions.columns import col
 
 
+_ARROW = {
+    T.IntegerType(): pa.int32(),
+    T.LongType(): pa.int64(),
+    T.DoubleType(): pa.float64(),
+    T.StringType(): pa.string(),
+    T.BooleanType(): pa.bool_(),
+    T.TimestampType(): pa.timestamp("us", tz="UTC"),
+    T.ArrayType(T.StringType()): pa.list_(pa.string()),
+}
+
+
 def report_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A DataFrame for facts about columns or files, which number at most a few per column."""
-    return spark.createDataFrame(list(rows), schema)
+    """A DataFrame for facts about columns or files, which number at most a few per column.
+
+    Built from an Arrow table, it is a local relation: no Python worker has to start.
+    """
+    fields = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) or [()] * len(fields)
+    arrays = [pa.array(list(v), _ARROW[f.dataType]) for v, f in zip(columns, fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=fields.names), schema=fields)
 
 
 def per_column(

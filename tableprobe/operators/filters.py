@@ -115,8 +115,9 @@ def filter_options(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     options = report_frame(spark, [], "column string, value string")
     if names:
         # A bounded sketch finds the eligible columns; only those are counted exactly.
-        rough = df.agg(*[F.approx_count_distinct(col(c), 0.02).alias(f"d{i}") for i, c in enumerate(names)]).first()
-        likely = [c for i, c in enumerate(names) if rough[f"d{i}"] <= 1.5 * MAX_OPTIONS]
+        sketch = {"d": F.hll_sketch_estimate(F.hll_sketch_agg("value", F.lit(12)))}
+        rough = per_column(df, {c: col(c).cast("string") for c in names}, sketch).collect()  # one row per column
+        likely = [r["column"] for r in rough if (r["d"] or 0) <= 1.5 * MAX_OPTIONS]
         if likely:
             counts = value_counts(df, likely)
             small = counts.groupBy("column").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") <= MAX_OPTIONS)

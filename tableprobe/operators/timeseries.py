@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableprobe.functions.columns import as_number, col, is_numeric, is_time
+from tableprobe.functions.frames import report_frame
 from tableprobe.functions.dates import to_timestamp
 from tableprobe.functions.text import parse_number, strip
 from tableprobe.plans.frequency import column_quantiles
@@ -241,7 +242,7 @@ def autocorrelation(
     n, middle = shape["n"] or 0, shape["m"] or 0.0
     usable = [k for k in lags if k < n - 1]
     if not usable:
-        return df.sparkSession.createDataFrame([], "lag bigint, r double")
+        return report_frame(df.sparkSession, [], "lag bigint, r double")
     runs = runs.select((F.col("upto") - F.col("c")).alias("start"), "c", (F.col("v") - F.lit(middle)).alias("x"))
     width = F.least(F.col("c"), F.lit(reach).cast("bigint"))
     heads = runs.select("start", "x", F.explode(F.sequence(F.lit(0).cast("bigint"), width - 1)).alias("j"))

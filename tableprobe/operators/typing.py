@@ -173,7 +173,6 @@ def _votes(
         "booleans": F.count_if(F.col("known") > 0),
         "words": F.bit_count(F.call_function("shiftright", F.coalesce(bits, F.lit(0)), F.lit(1))),
         "infinite": F.count_if(F.abs(number) == F.lit(float("inf"))),
-        "distinct": F.approx_count_distinct(text, 0.02),
     }
     out = {r["column"]: r.asDict() for r in per_column(df, {n: strip(col(n)) for n in names}, aggregates, steps).collect()}
     numeric = {n for n, v in out.items() if numeric_threshold is not None and _is_number(v, numeric_threshold)}
@@ -288,21 +287,20 @@ def _settle_distinct(df: DataFrame, approximate: dict[str, int], rows: int) -> d
     return out
 
 
-def text_cardinality(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, int]:
+def text_cardinality(df: DataFrame, rows: int, columns: Sequence[str] | None = None) -> dict[str, int]:
+    """Distinct values per text column: one bounded sketch each, exact where it matters."""
     names = list(columns if columns is not None else text_columns(df))
     if not names:
         return {}
-    got = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.approx_count_distinct(col(c), 0.02).alias(f"d{i}") for i, c in enumerate(names)],
-    ).first()
-    return _settle_distinct(df, {c: got[f"d{i}"] for i, c in enumerate(names)}, got["rows"])
+    sketch = {"d": F.hll_sketch_estimate(F.hll_sketch_agg("value", F.lit(12)))}
+    rough = {r["column"]: r["d"] or 0 for r in per_column(df, {c: col(c) for c in names}, sketch).collect()}
+    return _settle_distinct(df, rough, rows)
 
 
 def tag_categoricals(df: DataFrame) -> tuple[DataFrame, list[dict[str, Any]]]:
     """Mark text columns with few distinct values as categories, in column metadata."""
     rows = size_bound(df)
-    distinct = text_cardinality(df)
+    distinct = text_cardinality(df, rows)
     hits = {c: d for c, d in distinct.items() if _low_cardinality(d, rows)}
     return _tag(df, hits), [{"column": c, "unique": d} for c, d in hits.items()]
 
@@ -323,7 +321,7 @@ def split_columns(df: DataFrame) -> dict[str, list[str]]:
     open_text = [c for c in text_columns(df) if c not in tagged]
     if open_text:
         rows = size_bound(df)
-        tagged += [c for c, d in text_cardinality(df, open_text).items() if _low_cardinality(d, rows)]
+        tagged += [c for c, d in text_cardinality(df, rows, open_text).items() if _low_cardinality(d, rows)]
     flags = columns_of(df, lambda t: isinstance(t, T.BooleanType))
     categorical = [c for c in df.columns if c in set(tagged) | set(flags)]
     return {"numeric": numeric_columns(df), "categorical": categorical, "datetime": time_columns(df)}
@@ -394,7 +392,7 @@ def sanitize(
     if rows == 0:
         report["warnings"].append("The table has no rows.")
     new: dict[str, Column] = {}
-    numbers, dates, booleans, kept_text = [], [], [], {}
+    numbers, dates, booleans, kept_text = [], [], [], []
     for name, v in votes.items():
         text = col(name)
         if _is_number(v, numeric_threshold):
@@ -407,7 +405,7 @@ def sanitize(
             new[name] = parse_boolean(text)
             booleans.append(name)
         else:
-            kept_text[name] = v["distinct"]
+            kept_text.append(name)
     for c in floats:
         new[c] = no_nan(col(c))
     for f in flat.schema.fields:
@@ -415,7 +413,7 @@ def sanitize(
             new[f.name] = col(f.name).cast("timestamp")
     # Two projections: the second reads each cleaned text several times.
     clean = _replace(_replace(flat, {n: clean_text(col(n), tokens) for n in names}), new)
-    distinct = _settle_distinct(clean, kept_text, rows)
+    distinct = text_cardinality(clean, rows, kept_text)
     categories = {c: d for c, d in distinct.items() if _low_cardinality(d, rows)}
     clean = _tag(clean, categories)
     replaced = {n: v["tokens"] for n, v in votes.items() if v["tokens"]}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableprobe.functions.columns import as_number, col, is_integral, is_numeric
+from tableprobe.functions.frames import report_frame
 from tableprobe.plans.ordered import chunk_rows, running, size_bound
 
 
@@ -48,7 +49,7 @@ def number_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if other:
         parts.append(_long(df, other, [as_number(col(c), df.schema[c].dataType) + F.lit(0.0) for c in other]))
     if not parts:
-        return df.sparkSession.createDataFrame([], "column string, value double, n bigint")
+        return report_frame(df.sparkSession, [], "column string, value double, n bigint")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
