@@ -32,12 +32,13 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     width = (hi - lo) / bins
     number = F.least(F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins).cast("bigint"))
     counts = df.where(x.isNotNull()).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    spine = spark.range(1, bins + 1).withColumnRenamed("id", "bin")
-    return spine.join(F.broadcast(counts), "bin", "left").select(
+    # Every bin enters once with nothing in it; adding up replaces a join.
+    listed = spark.range(1, bins + 1).select(F.col("id").alias("bin"), F.lit(0).cast("bigint").alias("n"))
+    return listed.unionByName(counts).groupBy("bin").agg(F.sum("n").alias("n")).select(
         "bin",
         (F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("low"),
         (F.lit(lo) + F.col("bin") * F.lit(width)).alias("high"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+        "n",
     )
 
 
