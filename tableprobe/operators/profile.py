@@ -24,6 +24,7 @@ from tableprobe.operators.filters import time_between
 from tableprobe.operators.typing import split_columns, stringify_nested
 from tableprobe.plans.frequency import (
     column_quantiles,
+    distinct_counts,
     number_counts,
     quantiles_of_counts,
     value_counts,
@@ -189,8 +190,12 @@ def outlier_counts(flagged: DataFrame, group: str | None = None) -> DataFrame:
 # --------------------------------------------------------------------- columns
 
 
-def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, gaps, distinct values, moments and quartiles of every numeric column."""
+def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+    """Count, gaps, distinct values, moments and quartiles of every numeric column.
+
+    ``approx`` takes distinct values and quartiles from bounded sketches (within
+    2 % and 0.01 % of the rows), which leaves one scan without a shuffle of values.
+    """
     names = [c for c in present(df, columns or numeric_columns(df)) if is_numeric(df.schema[c].dataType)]
     if not names:
         return report_frame(
@@ -199,11 +204,11 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> D
             "column string, count bigint, missing bigint, missing_pct double, unique bigint, mean double, std double,"
             " min double, q25 double, median double, q75 double, max double, skew double, kurtosis double",
         )
-    rows = size_bound(df)
     x = F.col("value")
+    values = {c: _number(df, c) for c in names}
     moments = per_column(
         df,
-        {c: _number(df, c) for c in names},
+        values,
         {
             "rows": F.count(F.lit(1)),
             "count": F.count(x),
@@ -215,8 +220,13 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> D
             "kurtosis": sample_kurtosis(x),
         },
     )
-    counts = number_counts(df, names)
-    ranks = quantiles_of_counts(counts, ["column"], [0.25, 0.5, 0.75], rows).drop("n")
+    quartiles = [0.25, 0.5, 0.75]
+    if approx:
+        q = F.percentile_approx(x, F.array(*[F.lit(p) for p in quartiles]), F.lit(10_000))
+        distinct = F.hll_sketch_estimate(F.hll_sketch_agg(x.cast("string"), F.lit(12)))
+        ranks = per_column(df, values, {"distinct": distinct, "q": q}).drop("position")
+    else:
+        ranks = quantiles_of_counts(number_counts(df, names), ["column"], quartiles, size_bound(df)).drop("n")
     gap = F.col("rows") - F.col("count")
     # Both sides have one row per column.
     return moments.join(F.broadcast(ranks), "column", "left").select(
@@ -316,11 +326,15 @@ def _metrics(one: DataFrame, fields: dict[str, tuple[Column, Column]]) -> DataFr
     return one.select(F.inline(F.array(*rows)))
 
 
-def column_health(df: DataFrame) -> DataFrame:
-    """(column, type, missing_pct, unique, status), worst first."""
+def column_health(df: DataFrame, approx: bool = False) -> DataFrame:
+    """(column, type, missing_pct, unique, status), worst first.
+
+    ``approx`` takes distinct values from sketches; then only exact counts of one
+    value stay certain, and "Unique key" is not claimed.
+    """
     flat, _ = stringify_nested(df)
     filled = _completeness(flat)
-    unique = value_counts(flat, flat.columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    unique = distinct_counts(flat, flat.columns, approx)
     types = F.create_map(*[x for n, t in df.dtypes for x in (F.lit(n), F.lit(t))])
     distinct = F.coalesce("unique", F.lit(0))
     share = percent(F.col("rows") - F.col("filled"), F.col("rows"))
@@ -328,7 +342,7 @@ def column_health(df: DataFrame) -> DataFrame:
         F.when(share >= 50, "High missing")
         .when(share >= 10, "Some missing")
         .when((distinct == 1) & (F.col("rows") > 1), "Constant")
-        .when((distinct == F.col("rows")) & (F.col("rows") > 0), "Unique key")
+        .when(F.lit(not approx) & (distinct == F.col("rows")) & (F.col("rows") > 0), "Unique key")
         .otherwise("OK")
     )
     return (

@@ -45,7 +45,7 @@ from tableprobe.functions.text import (
     parse_number,
     strip,
 )
-from tableprobe.plans.frequency import number_counts, value_counts
+from tableprobe.plans.frequency import distinct_counts, number_counts, value_counts
 from tableprobe.plans.ordered import size_bound
 
 NUMERIC_SHARE = 0.70
@@ -96,9 +96,14 @@ def sanitize_tokens(
     df: DataFrame, columns: Iterable[str] | None = None, tokens: Iterable[str] = PLACEHOLDER_TOKENS
 ) -> DataFrame:
     """Trim text and turn placeholder words into null. A projection, also for streams."""
-    tokens = tuple(tokens)
-    names = [c for c in (columns or text_columns(df)) if c in set(text_columns(df))]
-    return _replace(df, {c: clean_text(col(c), tokens) for c in names})
+    text = set(text_columns(df))
+    return _clean(df, [c for c in (columns or text_columns(df)) if c in text], tuple(tokens))
+
+
+def _clean(df: DataFrame, names: Sequence[str], tokens: tuple[str, ...]) -> DataFrame:
+    """Trim in one projection and compare in the next, so that trimming happens once."""
+    trimmed = _replace(df, {c: strip(col(c)) for c in names})
+    return _replace(trimmed, {c: F.when(~F.coalesce(F.lower(col(c)).isin(*tokens), F.lit(False)), col(c)) for c in names})
 
 
 def token_counts(df: DataFrame, tokens: Iterable[str] = PLACEHOLDER_TOKENS) -> DataFrame:
@@ -411,8 +416,7 @@ def sanitize(
     for f in flat.schema.fields:
         if isinstance(f.dataType, T.TimestampNTZType):
             new[f.name] = col(f.name).cast("timestamp")
-    # Two projections: the second reads each cleaned text several times.
-    clean = _replace(_replace(flat, {n: clean_text(col(n), tokens) for n in names}), new)
+    clean = _replace(_clean(flat, names, tokens), new)
     distinct = text_cardinality(clean, rows, kept_text)
     categories = {c: d for c, d in distinct.items() if _low_cardinality(d, rows)}
     clean = _tag(clean, categories)
@@ -534,13 +538,14 @@ def detect_low_unique_numeric(df: DataFrame, max_unique: int = 10, max_ratio: fl
     )
 
 
-def column_types(df: DataFrame) -> DataFrame:
-    """(column, type, non_null, unique) for every column."""
+def column_types(df: DataFrame, approx: bool = False) -> DataFrame:
+    """(position, column, type, non_null, unique) for every column."""
     flat, _ = stringify_nested(df)
     filled = per_column(flat, {c: _present(flat, c).isNotNull() for c in flat.columns}, {"non_null": F.count_if("value")})
-    unique = value_counts(flat, flat.columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    unique = distinct_counts(flat, flat.columns, approx)
     types = F.create_map(*[x for n, t in df.dtypes for x in (F.lit(n), F.lit(t))])
-    return filled.join(unique, "column", "left").select(
+    # One row per column on both sides.
+    return filled.join(F.broadcast(unique), "column", "left").select(
         "position",
         "column",
         types[F.col("column")].alias("type"),

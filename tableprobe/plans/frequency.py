@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableprobe.functions.columns import as_number, col, is_integral, is_numeric
-from tableprobe.functions.frames import report_frame
+from tableprobe.functions.frames import per_column, report_frame
 from tableprobe.plans.ordered import chunk_rows, running, size_bound
+from tableprobe.plans.storage import materialize
 
 
 def _long(df: DataFrame, columns: Sequence[str], values: list[Column]) -> DataFrame:
@@ -38,6 +39,14 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _long(df, columns, values)
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """(column, unique). Exact counts shuffle every distinct value; a sketch per column does not."""
+    if approx:
+        sketch = F.hll_sketch_estimate(F.hll_sketch_agg("value", F.lit(12)))
+        return per_column(df, {c: col(c).cast("string") for c in columns}, {"unique": sketch}).drop("position")
+    return value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+
+
 def number_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value as double, n) for numeric columns; whole numbers are counted exactly."""
     whole = [c for c in columns if is_integral(df.schema[c].dataType)]
@@ -71,8 +80,9 @@ def quantiles_of_counts(
     if at_most <= chunk_rows(counts, rows_per_chunk):
         points = F.array(*[F.lit(float(p)) for p in probabilities])
         return counts.groupBy(*by).agg(*size, F.percentile("value", points, F.col("n")).alias("q"))
-    ranked = running(counts, order=["value"], by=by, sums={"upto": "n"}, rows_per_chunk=rows_per_chunk)
-    totals = ranked.groupBy(*by).agg(*size)
+    counts = materialize(counts)  # read for the totals and for the ranks
+    ranked = running(counts, order=["value"], by=by, sums={"upto": "n"}, rows_per_chunk=rows_per_chunk, stored=True)
+    totals = counts.groupBy(*by).agg(*size)
     names = [f"__t{i}" for i in range(len(by))]
     match = F.lit(True)
     for b, t in zip(by, names):

@@ -85,6 +85,7 @@ def running(
     descending: bool = False,
     at_most: int | None = None,
     rows_per_chunk: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Add running values along ``order`` inside each ``by`` group.
 
@@ -93,14 +94,16 @@ def running(
     ``previous``  output -> column: newest non-null value, this row excluded
 
     ``at_most`` is a proven upper bound of the row count; when it fits one chunk
-    nothing is counted, sampled or stored first. Callers collapse rows with equal
+    nothing is counted, sampled or stored first. ``stored`` says the input is a
+    stored table already. Callers collapse rows with equal
     keys beforehand, so that a key shared by very many rows is one row here.
     """
     sums, last, previous = dict(sums or {}), dict(last or {}), dict(previous or {})
     limit = chunk_rows(df, rows_per_chunk)
     if at_most is not None and at_most <= limit:
         return _single(df, order, by, sums, last, previous, descending)
-    df = materialize(df)
+    if not stored:  # the chunks read their input several times
+        df = materialize(df)
     n_rows = df.count()
     if n_rows <= limit:
         return _single(df, order, by, sums, last, previous, descending)
@@ -112,7 +115,7 @@ def running(
     chunked = df.withColumn(CHUNK, number)
 
     inside = _window([*by, CHUNK], order, descending)
-    detail = _apply(chunked, inside, sums, last, previous, "")
+    detail = _apply(chunked, inside, sums, last, previous)
 
     # A chunk passes something on only within a group that reaches over one of its
     # edges, and the cut point at that edge belongs to the group. At most two groups
@@ -163,15 +166,11 @@ def running(
 
 
 def _window(by: Sequence[str], order: Sequence[str], descending: bool):
-    keys = [F.desc(o) if descending else F.asc(o) for o in map(_quoted, order)]
+    keys = [col(o).desc() if descending else col(o).asc() for o in order]
     return Window.partitionBy(*[col(b) for b in by]).orderBy(*keys)
 
 
-def _quoted(name: str) -> Column:
-    return col(name)
-
-
-def _apply(df, window, sums, last, previous, prefix):
+def _apply(df, window, sums, last, previous):
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     return df.select(
@@ -183,7 +182,7 @@ def _apply(df, window, sums, last, previous, prefix):
 
 
 def _single(df, order, by, sums, last, previous, descending):
-    return _apply(df, _window(by, order, descending), sums, last, previous, "")
+    return _apply(df, _window(by, order, descending), sums, last, previous)
 
 
 def size_bound(df: DataFrame) -> int:

@@ -148,3 +148,13 @@ def test_rounded_is_for_display(spark):
 def test_split_columns_uses_cardinality(spark):
     df = spark.range(2000).select(F.col("id"), F.col("id").cast("string").alias("many"), (F.col("id") % 900).cast("string").alias("half"), F.lit(True).alias("f"))
     assert typing.split_columns(df) == {"numeric": ["id"], "categorical": ["half", "f"], "datetime": []}
+
+
+def test_approximate_profile_is_close(spark):
+    df = spark.range(5000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).alias("b"))
+    exact = {r["column"]: r for r in profile.numeric_statistics(df).collect()}
+    close = {r["column"]: r for r in profile.numeric_statistics(df, approx=True).collect()}
+    for c in "ab":
+        assert abs(close[c]["unique"] / exact[c]["unique"] - 1) < 0.05 and abs(close[c]["median"] - exact[c]["median"]) <= 1
+    assert {r["column"]: r["status"] for r in profile.column_health(df, approx=True).collect()} == {"a": "OK", "b": "OK"}
+    assert abs(typing.column_types(df, approx=True).where("column = 'a'").first()["unique"] / 5000 - 1) < 0.05
