@@ -76,3 +76,12 @@ def parse_boolean(c: Column, wide: bool = False) -> Column:
     yes = TRUE_WORDS_WIDE if wide else TRUE_WORDS
     no = FALSE_WORDS_WIDE if wide else FALSE_WORDS
     return F.when(word.isin(*yes), F.lit(True)).when(word.isin(*no), F.lit(False))
+
+
+def short_key(c: Column) -> Column:
+    """A stand-in that is equal exactly when the text is, but never longer than 64 characters.
+
+    Short text stands for itself; longer text is replaced by its SHA-256 digest, so
+    that counting different texts does not move whole documents.
+    """
+    return F.when(F.length(c) <= 32, c).otherwise(F.sha2(c, 256))

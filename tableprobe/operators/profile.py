@@ -12,6 +12,7 @@ from tableprobe.functions.columns import (
     col,
     is_floating,
     is_numeric,
+    is_text,
     is_time,
     numeric_columns,
     percent,
@@ -76,18 +77,29 @@ def _identical_rows(df: DataFrame) -> DataFrame:
     """(n, gaps): size of each group of identical rows and missing cells per row.
 
     Map-side counting folds copies before the shuffle, so a row repeated very
-    often costs no more than any other.
+    often costs no more than any other. Rows with text or many columns are grouped
+    by the SHA-256 digest of their content: 32 bytes per different row travel, not
+    the row.
     """
     flat, _ = stringify_nested(df)
     keys = []
     for i, c in enumerate(flat.columns):
-        x = _filled(flat, c)
-        keys.append((x + F.lit(0.0) if is_floating(flat.schema[c].dataType) else x).alias(f"k{i}"))
+        dtype, x = flat.schema[c].dataType, _filled(flat, c)
+        if is_floating(dtype):
+            x = x + F.lit(0.0)
+        elif is_time(dtype):
+            x = F.unix_micros(x.cast("timestamp"))  # text forms of a time may drop digits
+        keys.append(x.alias(f"k{i}"))
     names = [f"k{i}" for i in range(len(keys))]
+    rows = flat.select(*keys)
     gaps = F.lit(0)
     for k in names:
         gaps = gaps + F.col(k).isNull().cast("int")
-    return flat.select(*keys).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).select("n", gaps.alias("gaps"))
+    wide = len(names) > 8 or any(is_text(f.dataType) for f in flat.schema.fields)
+    if wide:
+        digest = F.unhex(F.sha2(F.to_json(F.struct(*names)), 256))
+        return rows.groupBy(digest.alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.max(gaps).alias("gaps"))
+    return rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).select("n", gaps.alias("gaps"))
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:

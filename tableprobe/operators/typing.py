@@ -286,9 +286,8 @@ def _settle_distinct(df: DataFrame, approximate: dict[str, int], rows: int) -> d
     ]
     out = dict(approximate)
     if exact:
-        counted = value_counts(df, exact).groupBy("column").agg(F.count(F.lit(1)).alias("d"))
         out.update({c: 0 for c in exact})
-        out.update({r["column"]: r["d"] for r in counted.collect()})
+        out.update({r["column"]: r["unique"] for r in distinct_counts(df, exact).collect()})
     return out
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprobe.functions.columns import as_number, col, is_integral, is_numeric
+from tableprobe.functions.columns import as_number, col, is_integral, is_numeric, is_text
 from tableprobe.functions.frames import per_column, report_frame
+from tableprobe.functions.text import short_key
 from tableprobe.plans.ordered import chunk_rows, running, size_bound
 from tableprobe.plans.storage import materialize
 
@@ -28,14 +29,18 @@ def _long(df: DataFrame, columns: Sequence[str], values: list[Column]) -> DataFr
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value as text, n) for columns of any simple type."""
+def value_counts(df: DataFrame, columns: Sequence[str], short: bool = False) -> DataFrame:
+    """(column, value as text, n) for columns of any simple type.
+
+    ``short`` lets digests stand in for long text, for callers who only count.
+    """
     values = []
     for c in columns:
         dtype = df.schema[c].dataType
         # Adding zero folds -0.0 into 0.0 so that both count as one value.
         x = as_number(col(c), dtype) + F.lit(0.0) if isinstance(dtype, (T.FloatType, T.DoubleType)) else col(c)
-        values.append(x.cast("string"))
+        text = x.cast("string")
+        values.append(short_key(text) if short and is_text(dtype) else text)
     return _long(df, columns, values)
 
 
@@ -44,7 +49,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
     if approx:
         sketch = F.hll_sketch_estimate(F.hll_sketch_agg("value", F.lit(12)))
         return per_column(df, {c: col(c).cast("string") for c in columns}, {"unique": sketch}).drop("position")
-    return value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    return value_counts(df, columns, short=True).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
 
 
 def number_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

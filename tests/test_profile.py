@@ -158,3 +158,12 @@ def test_approximate_profile_is_close(spark):
         assert abs(close[c]["unique"] / exact[c]["unique"] - 1) < 0.05 and abs(close[c]["median"] - exact[c]["median"]) <= 1
     assert {r["column"]: r["status"] for r in profile.column_health(df, approx=True).collect()} == {"a": "OK", "b": "OK"}
     assert abs(typing.column_types(df, approx=True).where("column = 'a'").first()["unique"] / 5000 - 1) < 0.05
+
+
+def test_identical_rows_are_told_apart_by_place_and_null(spark):
+    rows = [("a", None, 1.0), (None, "a", 1.0), ("a", None, 1.0), ("", "a", 0.0), ("", "a", -0.0), ("x" * 99, "a", None), ("x" * 99, "a", float("nan"))]
+    df = spark.createDataFrame(rows, "a string, b string, c double")
+    assert profile.duplicate_summary(df).first()["duplicates"] == 3
+    stamps = spark.sql("SELECT timestamp_micros(v) AS t, 'x' AS s FROM VALUES (1), (2), (1) AS d(v)")
+    assert profile.duplicate_summary(stamps).first()["duplicates"] == 1
+    assert typing.column_types(df).where("column = 'a'").first()["unique"] == 3
