@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog.base import Section, derived, derived_sql, table, ts_text
 from tableprobe.operators import filters as op
 

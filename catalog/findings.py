@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import functions as F
 
 from catalog.base import Section, derived, derived_sql, table, union_sql
 from catalog.profile import NUM
-from catalog.relate import STRENGTH_CV, corr_sql, pairs_sql
+from catalog.relate import STRENGTH_CV, pairs_sql
 from tableprobe.functions.frames import report_frame
 from tableprobe.operators import findings as op
 from tableprobe.plans.storage import scratch_path

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import Section, derived_sql, derived, table, ts_text, union_sql
+from catalog.base import Section, derived_sql, table, ts_text
 from tableprobe.functions.frames import report_frame
 from tableprobe.operators import merge as op
 

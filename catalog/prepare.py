@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import Section, derived, derived_sql, quote_list, table, ts_text, union_sql
-from catalog.typing import NUMBER, clean, number
-from tableprobe.functions.dates import FORMAT_PRESETS
+from catalog.typing import clean
 from tableprobe.functions.frames import report_frame
 from tableprobe.functions.text import DATE_NULL_TOKENS
 from tableprobe.operators import dates, prepare as op

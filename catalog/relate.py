@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import functions as F
-
 from catalog.base import Section, derived, derived_sql, table, union_sql
 from tableprobe.operators import relate as op
 

@@ -80,7 +80,7 @@ for _name, _values, _step, _aggregate in (
     S.add(_name, resample_sql(_STAMPS, "ts", _values, _step, _aggregate))(_resample(_values, _step, _aggregate))
 
 
-@S.add("resample_day_sum", resample_sql("SELECT * FROM orders", "o_orderdate", ["o_totalprice"], "day", "sum").replace("o_totalprice, 0.0), 6)", "o_totalprice, 0.0), 6)"))
+@S.add("resample_day_sum", resample_sql("SELECT * FROM orders", "o_orderdate", ["o_totalprice"], "day", "sum"))
 def resample_day_sum(spark, sf):
     return op.resample(table(spark, sf, "orders"), "o_orderdate", ["o_totalprice"], "day", "sum")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import Section, derived, derived_sql, quote_list, table, ts_text, union_sql
-from tableprobe.functions.columns import col
 from tableprobe.functions.frames import report_frame
 from tableprobe.functions.text import NUMERIC_NULL_TOKENS, PLACEHOLDER_TOKENS
 from tableprobe.operators import typing as op

@@ -7,7 +7,6 @@ scan to look and one scan when the result is used.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterable, Sequence
 from typing import Any
@@ -46,7 +45,7 @@ from tableprobe.functions.text import (
     strip,
 )
 from tableprobe.plans.frequency import distinct_counts, number_counts, value_counts
-from tableprobe.plans.ordered import size_bound
+from tableprobe.plans.ordered import size_bound, spread
 
 NUMERIC_SHARE = 0.70
 DATE_SHARE = 0.85
@@ -163,6 +162,7 @@ def _votes(
     """
     if not names:
         return {}
+    df = spread(df.select(*[col(n) for n in names]))
     text, number = F.col("text"), F.col("number")
     # One bit per known word; the bits set in the end are the different words seen.
     known = F.array_position(F.array(*[F.lit(w) for w in (*TRUE_WORDS, *FALSE_WORDS)]), F.lower(text))
