@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tableprobe.llm import token_files
+from tableprobe.llm import bpe, decontaminate, licenses, line_frequency, token_files
 from tableprobe.plans.storage import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -30,3 +31,89 @@ def op1_token_files(spark, sf_dir):
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE))
     return token_files.document_index(spark, path)
+
+
+@query
+def op3_bpe(spark, sf_dir):
+    file = public_tokenizers.path(BYTE_BPE)
+    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), file)
+    return bpe.decode(tokens, file).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op4_line_frequency(spark, sf_dir):
+    columns = ("doc_id", *line_frequency.MEASURES, "n_common_words", "base_failed", "kept")
+    return line_frequency.quality(table(spark, sf_dir, "documents")).select(*columns)
+
+
+WORDS = r"[^\x20\x09-\x0D]+"
+SQL["op4_line_frequency"] = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d),
+lines AS (
+  SELECT doc_id, source, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w
+  FROM raw WHERE regexp_matches(line, '{WORDS}')),
+hashed AS (
+  SELECT doc_id, source, line, len(w) AS words,
+    CAST('0x' || substr(md5(source || chr(10) || array_to_string(w, ' ')), 1, 15) AS BIGINT) AS h FROM lines),
+versions AS (SELECT doc_id, min(h) AS version FROM hashed GROUP BY 1),
+hosts AS (SELECT source, count(*) AS n FROM d GROUP BY 1),
+common AS (
+  SELECT source, h FROM hashed JOIN versions USING (doc_id) JOIN hosts USING (source)
+  GROUP BY source, h, n HAVING count(DISTINCT version) > 20 AND count(DISTINCT version) > 0.01 * n),
+lost AS (SELECT doc_id, sum(words) AS n_common_words FROM hashed SEMI JOIN common USING (source, h) GROUP BY 1),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY 1),
+places AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS c FROM places),
+again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM grams, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY 1),
+measured AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
+    CAST(coalesce(n_common_words, 0) AS BIGINT) AS n_common_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN lost USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
+SELECT *, NOT base_failed AND n_words - n_common_words >= 0.3 * n_words AS kept FROM judged
+"""
+
+
+@query
+def op5_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
+@query
+def op7_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated"
+    )
+
+
+PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SQL["op7_decontaminate"] = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{PLAIN}') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{PLAIN}') AS w
+  FROM benchmark),
+targets AS (
+  SELECT DISTINCT item_id, n, w[i:i + n - 1] AS words
+  FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM targets)),
+hits AS (SELECT doc_id, i, p.n, item_id FROM places p JOIN targets t ON t.n = p.n AND t.words = p.w[p.i:p.i + p.n - 1]),
+hit_words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY 1),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
