@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import bpe, decontaminate, licenses, line_frequency, token_files
+from tableprobe.llm import bpe, decontaminate, licenses, line_frequency, line_spread, token_files
 from tableprobe.plans.storage import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -33,6 +33,35 @@ def op1_token_files(spark, sf_dir):
     return token_files.document_index(spark, path)
 
 
+WORDS = r"[^\x20\x09-\x0D]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query
+def op2_line_spread(spark, sf_dir):
+    done = line_spread.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def line_spread_sql(min_sites: int = 10) -> str:
+    return rf"""
+WITH raw AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
+  FROM documents),
+lines AS (SELECT *, array_to_string(regexp_extract_all({LOWER.format("line")}, '{WORDS}'), ' ') AS folded FROM raw),
+texts AS (SELECT folded, digest, min(source) AS source, min(doc_id) AS doc_id FROM lines WHERE folded <> '' GROUP BY 1, 2),
+spread AS (SELECT folded, min(doc_id) AS first FROM texts GROUP BY 1 HAVING count(DISTINCT source) >= {min_sites}),
+judged AS (SELECT doc_id, line, i, first IS NOT NULL AND first <> doc_id AS removed FROM lines LEFT JOIN spread USING (folded))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed), '')) AS kept_sha256
+FROM judged GROUP BY 1
+"""
+
+
+SQL["op2_line_spread"] = line_spread_sql()
+
+
 @query
 def op3_bpe(spark, sf_dir):
     file = public_tokenizers.path(BYTE_BPE)
@@ -51,7 +80,6 @@ def op4_line_frequency(spark, sf_dir):
     return line_frequency.quality(table(spark, sf_dir, "documents")).select(*columns)
 
 
-WORDS = r"[^\x20\x09-\x0D]+"
 SQL["op4_line_frequency"] = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
 raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d),
