@@ -27,7 +27,9 @@ from tableprobe.llm.pieces import PieceTable
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 NEVER = np.int64(1) << 40
-WORDS_REMEMBERED = 400_000
+#: What a worker remembers at most; bounds its memory, not the result.
+WORDS_REMEMBERED = 250_000
+PIECES_REMEMBERED = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,12 +40,14 @@ def byte_letters() -> dict[int, str]:
     return letters | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class Bpe:
-    """A vocabulary with its merges, read from a tokenizer file."""
+class Vocabulary:
+    """The tokens of a tokenizer file; all that decoding needs."""
 
     def __init__(self, tokenizer_file: str):
         with open(tokenizer_file, encoding="utf-8") as file:
-            whole = json.load(file)
+            self._read(json.load(file))
+
+    def _read(self, whole: dict) -> None:
         self.added = {x["content"]: x["id"] for x in whole["added_tokens"]}
         vocab = whole["model"]["vocab"]
         byte_of = {letter: b for b, letter in byte_letters().items()}
@@ -53,6 +57,26 @@ class Bpe:
             self.bytes_of[n] = bytes(byte_of[x] for x in token)
         for token, n in self.added.items():
             self.bytes_of[n] = token.encode()
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.at = np.concatenate(([0], np.cumsum([len(x) for x in self.bytes_of])))
+        self.size = size
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of rows of ids; bytes that are no UTF-8 become replacement characters."""
+        starts = self.at[ids]
+        sizes = self.at[ids + 1] - starts
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        raw = self.flat[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        rows = ends[np.concatenate(([0], np.cumsum(counts)))]
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(rows[:-1], rows[1:])]
+
+
+class Bpe(Vocabulary):
+    """A vocabulary with its merges."""
+
+    def _read(self, whole: dict) -> None:
+        super()._read(whole)
+        vocab, size = whole["model"]["vocab"], self.size
         self.byte_id = np.array([vocab[x] for _, x in sorted(byte_letters().items())])
         # a merge's rank is when its token is made; single bytes are there from the start
         self.made = np.full(size, -1, np.int64)
@@ -64,7 +88,6 @@ class Bpe:
             pair, token = (vocab[a], vocab[b]), vocab[a + b]
             self.merge[pair] = (rank, token)
             self.made[token], self.left[token], self.right[token] = rank, *pair
-        self.size = size
         keys = np.array([a * size + b for a, b in self.merge] or [-1], np.int64)
         ranks = np.array([r for r, _ in self.merge.values()] or [NEVER], np.int64)
         order = np.argsort(keys)
@@ -72,9 +95,6 @@ class Bpe:
         self.tokens = {self.bytes_of[n]: n for n in vocab.values()}
         self._drop_unreachable()
         self.longest = max(map(len, self.tokens))
-        lengths = np.array([len(x) for x in self.bytes_of])
-        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.at = np.concatenate(([0], np.cumsum(lengths)))
         added = "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))
         self.added_pattern = regex.compile(f"({added})") if added else None
         self.word_pattern = regex.compile(WORD)
@@ -182,21 +202,17 @@ class Bpe:
         self.words.update(zip(new, self.encode_words(new)))
         return [[n for x in parts for n in ([x] if isinstance(x, int) else self.words[x])] for parts in cut]
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-        """Texts of rows of ids; bytes that are no UTF-8 become replacement characters."""
-        starts = self.at[ids]
-        sizes = self.at[ids + 1] - starts
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        raw = self.flat[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
-        rows = ends[np.concatenate(([0], np.cumsum(counts)))]
-        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(rows[:-1], rows[1:])]
-
 
 @cache
 def _worker(tokenizer_file: str) -> tuple[Bpe, PieceTable]:
     """One per worker, kept between tasks."""
     bpe = Bpe(tokenizer_file)
-    return bpe, PieceTable(bpe.encode)
+    return bpe, PieceTable(bpe.encode, PIECES_REMEMBERED)
+
+
+@cache
+def _vocabulary(tokenizer_file: str) -> Vocabulary:
+    return Vocabulary(tokenizer_file)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, column: str, ids_name: str) -> Iterator[pa.RecordBatch]:
@@ -209,13 +225,13 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, column: str,
 
 
 def _decode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, column: str, text_name: str) -> Iterator[pa.RecordBatch]:
-    bpe, _ = _worker(tokenizer_file)
+    vocabulary = _vocabulary(tokenizer_file)
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             ids = part.column(column)
             counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = bpe.decode(ids.flatten().to_numpy(zero_copy_only=False), counts)
+            texts = vocabulary.decode(ids.flatten().to_numpy(zero_copy_only=False), counts)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_name])
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import bpe, decontaminate, licenses, line_frequency, line_spread, token_files
+from tableprobe.llm import bpe, decontaminate, licenses, line_frequency, line_spread, signature_tree, token_files
 from tableprobe.plans.storage import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -145,3 +145,8 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+
+@query
+def op8_signature_tree(spark, sf_dir):
+    return signature_tree.similar_documents(table(spark, sf_dir, "documents"))
