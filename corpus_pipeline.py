@@ -1,15 +1,67 @@
-"""Five stages that turn the documents into training tokens."""
+"""Five stages that turn the documents into training tokens.
+
+Each stage takes the documents that the one before kept, written as Parquet and
+read again, and returns documents with the same columns; the last returns tokens.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tableprobe.llm import bpe, decontaminate, line_frequency, line_spread, signature_tree
+from tableprobe.plans.storage import materialize
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are not mostly lines common on their host."""
+    return line_frequency.good_documents(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cross-site boilerplate lines are taken out; ``n_chars`` follows the text."""
+    cleaned = line_spread.without_boilerplate(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones, that with the smallest id."""
+    return signature_tree.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than 5 % stands in the benchmark."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the digest of the text that they decode to."""
+    file = public_tokenizers.path(TOKENIZER)
+    encoded = bpe.encode(docs.select("doc_id", "source", "text"), file)
+    return bpe.decode(encoded, file).select(
+        "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding and decoding", tokens),
+]
 
-STAGES: list = []
+#: Tokens cannot be expressed in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = materialize(docs)
     return docs

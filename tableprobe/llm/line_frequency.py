@@ -151,3 +151,14 @@ def quality(
     )
     again = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
     return out.withColumn("copy", again).select("doc_id", "host", "digest", *MEASURES, "n_common_words", "base_failed", "kept")
+
+
+def good_documents(docs: DataFrame, doc_id: str = "doc_id", host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns."""
+    kept = quality(docs, doc_id, host).where("kept").select(F.col("doc_id").alias("own_id"), F.col("host").alias("own_host"), F.col("digest").alias("own_digest")).distinct()
+    same = (
+        docs[doc_id].eqNullSafe(kept["own_id"])
+        & (F.coalesce(docs[host].cast("string"), F.lit("")) == kept["own_host"])
+        & (F.xxhash64(docs["text"].cast("string")) == kept["own_digest"])
+    )
+    return docs.join(kept, same, "left_semi")
