@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import bpe, decontaminate, licenses, line_frequency, line_spread, signature_tree, token_files
+from tableprobe.llm import bpe, decontaminate, licenses, line_frequency, line_spread, phrases, signature_tree, suffix_arrays, token_files
 from tableprobe.plans.storage import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -150,3 +150,15 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 @query
 def op8_signature_tree(spark, sf_dir):
     return signature_tree.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_phrases(spark, sf_dir):
+    done = phrases.remove_repeated_phrases(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_suffix_arrays(spark, sf_dir):
+    done = suffix_arrays.remove_repeated_strings(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
