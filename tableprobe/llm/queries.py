@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import bpe, decontaminate, licenses, line_frequency, line_spread, phrases, signature_tree, suffix_arrays, token_files
+from tableprobe.llm import bpe, decontaminate, licenses, line_frequency, line_spread, personal_data, phrases, signature_tree, suffix_arrays, token_files
 from tableprobe.plans.storage import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -162,3 +162,10 @@ def op6_phrases(spark, sf_dir):
 def op9_suffix_arrays(spark, sf_dir):
     done = suffix_arrays.remove_repeated_strings(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_personal_data(spark, sf_dir):
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [f"n_{k}" for k in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
