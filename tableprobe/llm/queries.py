@@ -34,7 +34,6 @@ def op1_token_files(spark, sf_dir):
 
 
 WORDS = r"[^\x20\x09-\x0D]+"
-LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 @query
@@ -49,7 +48,7 @@ WITH raw AS (
   SELECT doc_id, source, md5(coalesce(text, '')) AS digest, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
   FROM documents),
-lines AS (SELECT *, array_to_string(regexp_extract_all({LOWER.format("line")}, '{WORDS}'), ' ') AS folded FROM raw),
+lines AS (SELECT *, lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS folded FROM raw),
 texts AS (SELECT folded, digest, min(source) AS source, min(doc_id) AS doc_id FROM lines WHERE folded <> '' GROUP BY 1, 2),
 spread AS (SELECT folded, min(doc_id) AS first FROM texts GROUP BY 1 HAVING count(DISTINCT source) >= {min_sites}),
 judged AS (SELECT doc_id, line, i, first IS NOT NULL AND first <> doc_id AS removed FROM lines LEFT JOIN spread USING (folded))
