@@ -236,17 +236,16 @@ def _decode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, column: str,
 
 
 def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Replace the text by its token ids; null and empty texts give no ids. Other columns stay; repeated rows too."""
-    kept = [f for f in docs.schema.fields if f.name != text]
-    if any(f.name == ids for f in kept):
-        raise ValueError(f"There is a column {ids} already; pass another name.")
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(partial(_encode, tokenizer_file=tokenizer_file, column=text, ids_name=ids), schema)
+    """Replace the text by its token ids; null and empty texts give no ids. Other columns
+    stay, repeated rows too; a column named like the new one is replaced."""
+    others = docs.drop(ids)
+    schema = T.StructType([*[f for f in others.schema.fields if f.name != text], T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    return others.mapInArrow(partial(_encode, tokenizer_file=tokenizer_file, column=text, ids_name=ids), schema)
 
 
 def decode(tokens: DataFrame, tokenizer_file: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add the text that the ids stand for; special tokens are written out, null ids give an empty text."""
-    if text in tokens.columns:
-        raise ValueError(f"There is a column {text} already; pass another name.")
-    schema = T.StructType([*tokens.schema.fields, T.StructField(text, T.StringType())])
-    return tokens.mapInArrow(partial(_decode, tokenizer_file=tokenizer_file, column=ids, text_name=text), schema)
+    """Add the text that the ids stand for; special tokens are written out, null ids give an empty
+    text. A column named like the new one is replaced."""
+    others = tokens.drop(text)
+    schema = T.StructType([*others.schema.fields, T.StructField(text, T.StringType())])
+    return others.mapInArrow(partial(_decode, tokenizer_file=tokenizer_file, column=ids, text_name=text), schema)
