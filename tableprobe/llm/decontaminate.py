@@ -95,8 +95,8 @@ def drop_hit_words(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     """Spans instead of documents: ``doc_id``, ``digest`` and the words outside all hits, joined by blanks."""
     rows = _with_key(docs, doc_id)
     found = hits(rows, benchmark, ["doc_id", "digest"], item_id)
-    spans = found.groupBy("doc_id", "digest").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("n") - 1)))).alias("hit"))
-    joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["digest"] == spans["digest"]), "left")
+    spans = found.groupBy(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest")).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("n") - 1)))).alias("hit"))
+    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("words") - 1), F.coalesce("hit", F.array().cast("array<int>")))
     kept = F.when(F.size("words") == 0, F.array().cast("array<int>")).otherwise(kept)
-    return joined.select(rows["doc_id"], rows["digest"], F.array_join(F.transform(kept, lambda i: F.get("words", i)), " ").alias("kept"))
+    return joined.select("doc_id", "digest", F.array_join(F.transform(kept, lambda i: F.get("words", i)), " ").alias("kept"))

@@ -12,20 +12,19 @@ and every copy of it, the last one included, would be rejected.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tableprobe.llm.arrow import chunks, text_bytes
+from tableprobe.llm.arrow import CHUNK_BYTES, chunks
 from tableprobe.llm.words import Words, covered, mix, not_blank, span_hashes
+from tableprobe.plans.storage import materialize
 
 SYMBOLS = b"#*$%&|<>"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLANK = r"[\x20\x09-\x0D]+"
 
 
 def twice(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,33 +81,36 @@ def covered_spans(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        values = _measure(batch.column("text"))
-        columns = [batch.column(n) for n in batch.schema.names if n != "text"]
-        names = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*columns, *[pa.array(values[m].astype(np.int64)) for m in MEASURES]], [*names, *MEASURES])
+LINE = pa.struct([("line", pa.int64()), ("words", pa.int64())])
 
 
-def host_lines(docs: DataFrame, host: str, key: list[str]) -> DataFrame:
-    """``key``, ``host``, ``version`` and ``lines`` (hash and number of words of each different line)."""
+def line_key(host: bytes, folded: bytes) -> int:
+    """60 bits of the MD5 of a host and a line with A-Z in lower case and blanks folded."""
+    return int.from_bytes(hashlib.md5(host + b"\n" + folded).digest()[:8]) >> 4
 
-    def as_line(line: Column) -> Column:
-        words = F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), BLANK, " "))
-        number = F.conv(F.substring(F.md5(F.concat(F.col(host), F.lit("\n"), words)), 1, 15), 16, 10).cast("long")
-        return F.when(words != "", F.struct(number.alias("line"), F.size(F.split(words, " ")).cast("long").alias("words")))
 
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), as_line)
-    rows = docs.select(*key, F.col(host), F.filter(lines, F.isnotnull).alias("lines"))
-    return rows.withColumn("version", F.array_min(F.transform("lines", lambda x: x["line"])))
+def _lines(text: str, host: bytes) -> list[dict]:
+    words = [line.split() for line in text.encode().lower().split(b"\n")]
+    return [{"line": line_key(host, b" ".join(w)), "words": len(w)} for w in words if w]
 
 
-def common_lines(docs: DataFrame, lines: DataFrame, host: str, least: int, share: float) -> DataFrame:
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, size=CHUNK_BYTES // 2):
+        values = _measure(batch.column("text"))
+        hosts = [h.encode() for h in batch.column("host").to_pylist()]
+        lines = [_lines(t or "", h) for t, h in zip(batch.column("text").to_pylist(), hosts)]
+        kept = [n for n in batch.schema.names if n != "text"]
+        columns = [*[batch.column(n) for n in kept], *[pa.array(values[m].astype(np.int64)) for m in MEASURES], pa.array(lines, pa.list_(LINE))]
+        yield pa.RecordBatch.from_arrays(columns, [*kept, *MEASURES, "lines"])
+
+
+def common_lines(measured: DataFrame, least: int, share: float) -> DataFrame:
     """Lines in more documents of their host than ``least`` and than ``share`` of its documents."""
-    each = lines.select(host, "version", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    counts = each.groupBy(host, "line").agg(F.countDistinct("version").alias("documents"))
-    hosts = docs.groupBy(host).agg(F.count("*").alias("of"))
-    return counts.where(F.col("documents") > least).join(hosts, host).where(F.col("documents") > share * F.col("of")).select("line")
+    keys = F.transform("lines", lambda x: x["line"])
+    each = measured.select("host", F.array_min(keys).alias("version"), F.explode(F.array_distinct(keys)).alias("line"))
+    counts = each.groupBy("host", "line").agg(F.countDistinct("version").alias("documents"))
+    hosts = measured.groupBy("host").agg(F.count("*").alias("of"))
+    return counts.where(F.col("documents") > least).join(hosts, "host").where(F.col("documents") > share * F.col("of")).select("line")
 
 
 def quality(
@@ -129,16 +131,13 @@ def quality(
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text")
     ).withColumn("digest", F.xxhash64("text"))
-    lines = host_lines(rows, "host", ["doc_id", "digest"])
-    common = common_lines(rows, lines, "host", least, share)
-    found = lines.select("doc_id", "digest", "host", F.explode("lines").alias("x")).select("doc_id", "digest", "host", "x.line", "x.words")
-    lost = (
-        found.join(common, "line", "left_semi")
-        .groupBy("doc_id", "digest", "host")
-        .agg(F.sum("words").alias("lost"), F.count("*").alias("rows"))
-    )
-    schema = T.StructType([rows.schema["doc_id"], rows.schema["host"], rows.schema["digest"], *[T.StructField(m, T.LongType()) for m in MEASURES]])
-    measured = rows.select("doc_id", "host", "digest", "text").mapInArrow(_measured, schema)
+    fields = ", ".join(f"{m} long" for m in MEASURES)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, host string, digest long, {fields}, lines array<struct<line: long, words: long>>"
+    measured = materialize(rows.select("doc_id", "host", "digest", "text").mapInArrow(_measured, schema))
+    common = common_lines(measured, least, share)
+    found = measured.select("doc_id", "digest", "host", F.explode("lines").alias("x")).select("doc_id", "digest", "host", "x.line", "x.words")
+    lost = found.join(common, "line", "left_semi").groupBy("doc_id", "digest", "host").agg(F.sum("words").alias("lost"))
+    measured = measured.drop("lines")
     copies = measured.groupBy(*measured.columns).agg(F.count("*").alias("copies"))
     joined = copies.join(
         lost,
