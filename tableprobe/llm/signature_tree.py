@@ -19,7 +19,7 @@ Steps, each a Spark job whose result is stored:
 4. Entities of different classes that share a prefix shingle meet in trees. Hot
    shingles are split: the largest class is dealt out over several blocks, entities
    of other classes go to each of them.
-5. What the trees leave over is verified on the sets. An entity first tries a few
+5. What the trees leave over is verified on the sets, cluster by cluster. An entity first tries a few
    candidates of each other class; if those fail while more are left, a second pass
    takes all of them.
 """
@@ -47,6 +47,9 @@ LEAF = 16
 TRIES = 2
 SAMPLE_DOCS = 4000
 HOT_TOKENS = 50_000
+#: Rows of a few numbers that may be broadcast; counted before, more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+CLUSTER_PAIRS = 20_000
 
 
 # --- sets -----------------------------------------------------------------------------------------
@@ -320,15 +323,31 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        one, two = batch.column("items"), batch.column("other")
-        good = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(one, two)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "good"])
+    """Links among the pairs of a cluster; its sets come first. Pairs that are connected already are not compared."""
+    for rows in _groups(batches, ["cluster", "salt"]):
+        sets = {r["a"]: np.frombuffer(r["items"], np.uint64) for r in rows if r["items"] is not None}
+        parent = {k: k for k in sets}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for r in rows:
+            if r["items"] is None and root(r["a"]) != root(r["b"]) and linked(sets[r["a"]], sets[r["b"]], percent):
+                parent[root(r["b"])] = root(r["a"])
+                out.append((r["a"], r["b"]))
+        if out:
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Sets of the wanted rows (``doc_id`` and more columns), read from the text of one document each."""
-    joined = rows.join(wanted, "doc_id").select(*wanted.columns, "text")
+    wanted = materialize(wanted)
+    few = wanted.count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select(*wanted.columns, "text")
     schema = ", ".join(f"{n} {t}" for n, t in wanted.dtypes) + ", items binary"
     return joined.mapInArrow(partial(_sets, width=width), schema)
 
@@ -346,9 +365,13 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _meet(hits: DataFrame, about: DataFrame, labels: DataFrame) -> DataFrame:
     """Entities of shared prefix shingles that stand in several classes, ready for trees: ``key, salt, entity, label, n, bitmap``."""
     known = materialize(hits.join(labels, "entity"))
-    classes = known.groupBy("key", "label").agg(F.count("*").alias("rows"))
-    keys = classes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("rows").alias("rows"), F.max_by("label", "rows").alias("largest"))
-    keys = keys.where(F.col("classes") > 1).select("key", "largest", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "entity")).alias(f"mark{k}") for k in (0, 1)]
+    classes = known.groupBy("key", "label").agg(F.count("*").alias("rows"), *marks)
+    again = [F.bit_xor(f"mark{k}").alias(f"mark{k}") for k in (0, 1)]
+    keys = classes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("rows").alias("rows"), F.max_by("label", "rows").alias("largest"), *again)
+    # a passage has many shingles that the same entities share: one of these is enough
+    keys = keys.where(F.col("classes") > 1).groupBy("rows", "mark0", "mark1").agg(F.min_by(F.struct("key", "largest"), "key").alias("x"))
+    keys = keys.select("x.key", "x.largest", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     rows = known.join(keys, "key").join(about.select("entity", "n", "bitmap"), "entity")
     own = F.array(F.pmod("entity", "blocks").cast("int"))
     salts: Column = F.when(F.col("label") == F.col("largest"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -357,13 +380,19 @@ def _meet(hits: DataFrame, about: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _check(rows: DataFrame, about: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that link."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
-    wanted = about.join(ends, "entity").select("doc_id", "entity")
+    """Links that connect all linked pairs. Pairs are cut into clusters, so a set travels once, not once for each pair."""
+    clusters = components(pairs).select(F.col("node").alias("a"), F.col("label").alias("cluster"))
+    placed = pairs.join(clusters, "a")
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER_PAIRS).alias("salts"))
+    placed = materialize(placed.join(sizes, "cluster").select("cluster", F.pmod("a", "salts").alias("salt"), "a", "b"))
+    ends = placed.select("cluster", "salt", F.explode(F.array("a", "b")).alias("entity")).distinct()
+    wanted = about.join(ends.select("entity").distinct(), "entity").select("doc_id", "entity")
     sets = materialize(_sets_of(rows, wanted, width).select("entity", "items"))
-    joined = pairs.join(sets.select(F.col("entity").alias("a"), "items"), "a").join(sets.select(F.col("entity").alias("b"), F.col("items").alias("other")), "b")
-    judged = joined.select("a", "b", "items", "other").mapInArrow(partial(_verify, percent=percent), "a long, b long, good boolean")
-    return judged.where("good").select("a", "b")
+    held = ends.join(sets, "entity").select("cluster", "salt", F.col("entity").alias("a"), F.lit(None).cast("long").alias("b"), "items")
+    both = held.unionByName(placed.withColumn("items", F.lit(None).cast("binary")))
+    order = ["cluster", "salt", F.col("b").isNotNull()]
+    ready = both.repartition("cluster", "salt").sortWithinPartitions(*order)
+    return ready.mapInArrow(partial(_verify, percent=percent), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -395,7 +424,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", width: int = WIDT
     total = about.agg(F.sum("n")).first()[0] or 0
     prefixes = partial(_prefixes, width=width, percent=percent, hot=hot)
     found = recurring(rows, prefixes, parts_for(docs, total * (100 - percent) / 100))
-    hits = materialize(found.select(F.col("owner").alias("entity"), "key").distinct())
+    hits = materialize(found.select(F.col("owner").alias("entity"), "key").repartition("entity").distinct())
     for tries in (TRIES, None):
         tried = _meet(hits, about, labels).mapInArrow(partial(_candidates, percent=percent, tries=tries), "a long, b long, more boolean")
         pairs = materialize(tried.groupBy("a", "b").agg(F.min("more").alias("more"), F.max("more").alias("open")))
