@@ -105,4 +105,13 @@ def binned_scatter(spark, sf):
     return op.binned_scatter(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 20)
 
 
+@S.add(
+    "top_n_values_nan",
+    f"SELECT CAST(qty_inf AS STRING) AS value, count(*) AS n FROM ({derived_sql('readings', ['qty_inf'])}) WHERE isfinite(qty_inf) "
+    "GROUP BY qty_inf ORDER BY n DESC, value LIMIT 10",
+)
+def top_n_values_nan(spark, sf):
+    return op.top_n_values(derived(spark, sf, "readings", ["qty_inf"]), "qty_inf")
+
+
 QUERIES, SQL = S.queries, S.sql

@@ -110,4 +110,46 @@ def preview(spark, sf):
     return op.preview(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"])
 
 
+DIRTY = derived_sql("readings", ["l_orderkey", "l_linenumber", "qty_inf"])
+
+
+def _dirty(spark, sf):
+    return derived(spark, sf, "readings", ["l_orderkey", "l_linenumber", "qty_inf"])
+
+
+@S.add("filter_range_nan", f"SELECT * FROM ({DIRTY}) WHERE isfinite(qty_inf) AND qty_inf >= 20")
+def filter_range_nan(spark, sf):
+    """NaN and infinity are missing, so an open range leaves them out."""
+    return op.filter_range(_dirty(spark, sf), "qty_inf", 20, None)
+
+
+@S.add(
+    "filter_summary_nan",
+    f"WITH t AS ({DIRTY}), k AS (SELECT count(*) AS o, count_if(isfinite(qty_inf) AND qty_inf >= 20)::BIGINT AS k FROM t) "
+    "SELECT o AS original_rows, k AS kept_rows, o - k AS dropped_rows, round(100.0 * k / o, 6) AS percent_kept, ['qty_inf in [20, ]'] AS rules FROM k",
+)
+def filter_summary_nan(spark, sf):
+    return op.filter_summary(_dirty(spark, sf), op.range_filter("qty_inf", 20, None))
+
+
+@S.add(
+    "filter_options_nan",
+    f"SELECT 'qty_inf' AS \"column\", min(qty_inf) AS low, max(qty_inf) AS high FROM ({DIRTY}) WHERE isfinite(qty_inf)",
+)
+def filter_options_nan(spark, sf):
+    return op.filter_options(_dirty(spark, sf).select("qty_inf"))[1]
+
+
+@S.add("filter_time_range_mixed", f"SELECT event_id, {ts_text('ts')} AS ts FROM events WHERE ts >= TIMESTAMP '2024-01-09' AND ts <= TIMESTAMP '2024-01-10'")
+def filter_time_range_mixed(spark, sf):
+    """Ends written in different forms are compared as times."""
+    return op.filter_time_range(table(spark, sf, "events").select("event_id", "ts"), "ts", "2024-1-9", "2024-01-10")
+
+
+@S.add("filter_time_range_crossed", f"SELECT event_id, {ts_text('ts')} AS ts FROM events")
+def filter_time_range_crossed(spark, sf):
+    """As text the first end is the smaller one, as a time it is the later."""
+    return op.filter_time_range(table(spark, sf, "events").select("event_id", "ts"), "ts", "2024-10-9", "2024-9-10")
+
+
 QUERIES, SQL = S.queries, S.sql

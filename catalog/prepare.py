@@ -307,4 +307,14 @@ def schema_diff(spark, sf):
     return report_frame(spark, op.schema_diff(before, after), "column string, change string, before string, after string")
 
 
+@S.add(
+    "fill_mode_nan",
+    f"WITH t AS ({derived_sql('readings', ['l_orderkey', 'l_linenumber', 'qty_inf'])}), "
+    "best AS (SELECT qty_inf AS v FROM t WHERE isfinite(qty_inf) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) "
+    "SELECT l_orderkey, l_linenumber, CASE WHEN isfinite(qty_inf) THEN qty_inf ELSE v END AS qty_inf FROM t, best",
+)
+def fill_mode_nan(spark, sf):
+    return op.fill_missing(derived(spark, sf, "readings", ["l_orderkey", "l_linenumber", "qty_inf"]), [("qty_inf", "mode", None)])
+
+
 QUERIES, SQL = S.queries, S.sql

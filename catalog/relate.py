@@ -153,4 +153,14 @@ def linear_fit_gaps(spark, sf):
     return op.linear_fit(derived(spark, sf, "gauges"), "disc", "tax")
 
 
+@S.add(
+    "group_means_nan",
+    "SELECT CASE WHEN isfinite(qty_inf) THEN qty_inf END AS qty_inf, round(avg(l_orderkey), 6) AS l_orderkey "
+    f"FROM ({derived_sql('readings', ['qty_inf', 'l_orderkey'])}) GROUP BY 1",
+)
+def group_means_nan(spark, sf):
+    """Null, NaN and infinite targets are one group."""
+    return op.group_means(derived(spark, sf, "readings", ["qty_inf", "l_orderkey"]), "qty_inf")
+
+
 QUERIES, SQL = S.queries, S.sql

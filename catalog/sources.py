@@ -108,4 +108,50 @@ def load_many_merged(spark, sf):
     return readers.load_many(spark, paths, lines=True)[0]
 
 
+def _exported(spark, sf, name, fmt):
+    folder = scratch_path(spark, "round-trip")
+    file = writers.export_table(table(spark, sf, name), folder, fmt, name).first()["name"]
+    return readers.load_table(spark, f"{folder}/{file}")[0]
+
+
+@S.add(
+    "roundtrip_csv_documents",
+    "SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS text_md5, lang, source, n_chars FROM documents",
+)
+def roundtrip_csv_documents(spark, sf):
+    """Prose with quotes, commas and line breaks, loaded without options; only blanks at its ends are cleaned away."""
+    return _exported(spark, sf, "documents", "csv").select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
+EVENTS = f"SELECT event_id, {ts_text('ts')} AS ts, user_id, nullif(event_type, 'error') AS event_type, round(value, 6) AS value, props FROM events"
+
+
+@S.add("roundtrip_csv_events", EVENTS)
+def roundtrip_csv_events(spark, sf):
+    return _exported(spark, sf, "events", "csv")
+
+
+@S.add("roundtrip_json_events", EVENTS)
+def roundtrip_json_events(spark, sf):
+    """With all microseconds, which the format has on request."""
+    path = f"{scratch_path(spark, 'round-trip')}.json"
+    writers.write_json(table(spark, sf, "events"), path, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return readers.load_table(spark, path)[0]
+
+
+@S.add("load_table_jsonl", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer")
+def load_table_jsonl(spark, sf):
+    """The form that this library writes, under its usual name and without a flag."""
+    return _exported(spark, sf, "customer", "json")
+
+
+@S.add("load_many_jsonl", "SELECT 'customer.json' AS file, 'ok' AS status, count(*) AS rows FROM customer UNION ALL SELECT 'supplier.json', 'ok', count(*) FROM supplier")
+def load_many_jsonl(spark, sf):
+    folder = scratch_path(spark, "many")
+    for name in ("customer", "supplier"):
+        writers.write_json(table(spark, sf, name), f"{folder}/{name}.json")
+    _, report = readers.load_many(spark, [f"{folder}/customer.json", f"{folder}/supplier.json"])
+    return report["files"].select("file", "status", "rows")
+
+
 QUERIES, SQL = S.queries, S.sql

@@ -282,4 +282,14 @@ def prepare_for_ml(spark, sf):
     return op.prepare_for_ml(derived(spark, sf, "readings", ["l_orderkey", "qty_text", "disc", "empty_col"]))
 
 
+LONG = "CAST(1234567890000000000 + l_orderkey AS STRING)"
+
+
+@S.add("promote_numeric_long", f"SELECT {LONG.replace('STRING', 'BIGINT')} AS long_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS short_id FROM lineitem")
+def promote_numeric_long(spark, sf):
+    """Nineteen digits stay exact."""
+    df = table(spark, sf, "lineitem").selectExpr(f"{LONG} AS long_id", "CAST(l_orderkey * 10 + l_linenumber AS STRING) AS short_id")
+    return op.promote_numeric(df)[0]
+
+
 QUERIES, SQL = S.queries, S.sql

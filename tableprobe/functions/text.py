@@ -71,6 +71,14 @@ def parse_number(c: Column) -> Column:
     return F.when(bare.rlike(PLAIN_NUMBER), bare.try_cast("double"))
 
 
+DIGITS = r"^[+-]?\d{1,38}$"
+
+
+def whole_number(c: Column) -> Column:
+    """Text to a 64-bit whole number; null if it has another form or does not fit."""
+    return F.when(c.rlike(DIGITS), c.try_cast("bigint"))
+
+
 def parse_boolean(c: Column, wide: bool = False) -> Column:
     word = F.lower(strip(c))
     yes = TRUE_WORDS_WIDE if wide else TRUE_WORDS

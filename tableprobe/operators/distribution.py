@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.functions.columns import as_number, col
+from tableprobe.functions.columns import as_number, col, is_floating, no_nan
 from tableprobe.plans.frequency import column_quantiles, quantiles_of_counts
 from tableprobe.plans.ordered import size_bound
 
@@ -97,7 +97,8 @@ def top_n_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """(value, n): the most frequent values as text, ties by value."""
     if not 3 <= n <= 30:
         raise ValueError("Ask for 3 to 30 values.")
-    counts = df.where(col(column).isNotNull()).groupBy(col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    value = no_nan(col(column)) if is_floating(df.schema[column].dataType) else col(column)
+    counts = df.select(value.cast("string").alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), "value").limit(n)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprobe.functions.columns import col, columns_of, is_integral, is_numeric, is_text, numeric_columns, percent, text_columns
+from tableprobe.functions.columns import as_number, col, columns_of, is_integral, is_numeric, is_text, numeric_columns, percent, text_columns
 from tableprobe.functions.dates import to_timestamp
 from tableprobe.functions.frames import per_column, report_frame
 from tableprobe.plans.frequency import value_counts
@@ -55,12 +55,10 @@ def range_filter(column: str, low=None, high=None) -> Filter:
         return Filter(None, [], messages)
     if lo is not None and hi is not None and lo > hi:
         return Filter(None, [], messages + [f"{column}: minimum {lo:g} is above maximum {hi:g}; rule skipped."])
-    if lo is None:
-        predicate = col(column) <= F.lit(hi)
-    elif hi is None:
-        predicate = col(column) >= F.lit(lo)
-    else:
-        predicate = col(column).between(F.lit(lo), F.lit(hi))
+    # NaN sorts above infinity, so an open side ends before infinity: both count as missing.
+    low_side = col(column) > F.lit(float("-inf")) if lo is None else col(column) >= F.lit(lo)
+    high_side = col(column) < F.lit(float("inf")) if hi is None else col(column) <= F.lit(hi)
+    predicate = low_side & high_side
     return Filter(predicate, [f"{column} in [{'' if lo is None else f'{lo:g}'}, {'' if hi is None else f'{hi:g}'}]"], messages)
 
 
@@ -124,7 +122,7 @@ def filter_options(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             options = counts.join(F.broadcast(small), "column", "left_semi").select("column", "value").orderBy("column", "value")
     ranges = report_frame(spark, [], "column string, low double, high double")
     if numbers:
-        values = {c: col(c).cast("double") for c in numbers}
+        values = {c: as_number(col(c), df.schema[c].dataType) for c in numbers}
         ranges = per_column(df, values, {"low": F.min("value"), "high": F.max("value")}).drop("position")
     return options, ranges
 
@@ -146,9 +144,13 @@ def time_between(df: DataFrame, column: str, start=None, end=None) -> Column:
 
 def filter_time_range(df: DataFrame, column: str, start=None, end=None) -> DataFrame:
     """Keep rows inside the window; a window that ends before it starts is skipped."""
-    if start is not None and end is not None and str(start) > str(end):
+    if start is None and end is None:
         return df
-    return df if start is None and end is None else df.where(time_between(df, column, start, end))
+    inside = time_between(df, column, start, end)
+    if start is not None and end is not None:
+        # both are times, not text; the optimizer folds the comparison away
+        inside = inside | (F.lit(start).cast("timestamp") > F.lit(end).cast("timestamp"))
+    return df.where(inside)
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:

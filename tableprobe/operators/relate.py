@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.functions.columns import as_number, col, is_floating, is_numeric, numeric_columns, percent, present
+from tableprobe.functions.columns import as_number, col, is_floating, is_numeric, no_nan, numeric_columns, percent, present
 from tableprobe.functions.frames import one_row_per_column, report_frame
 from tableprobe.functions.stats import pair_correlation
 from tableprobe.operators.profile import numeric_statistics
@@ -122,9 +122,10 @@ def target_summary(df: DataFrame, target: str) -> dict[str, DataFrame]:
 
 
 def group_means(df: DataFrame, target: str) -> DataFrame:
-    """Mean of each numeric column per target value; the null group is kept."""
+    """Mean of each numeric column per target value; missing targets (null and NaN) are one group."""
     features = [c for c in numeric_columns(df) if c != target]
-    return df.groupBy(col(target)).agg(*[F.avg(_number(df, c)).alias(c) for c in features])
+    key = no_nan(col(target)) if is_floating(df.schema[target].dataType) else col(target)
+    return df.groupBy(key.alias(target)).agg(*[F.avg(_number(df, c)).alias(c) for c in features])
 
 
 def feature_importance(df: DataFrame, target: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tableprobe.functions.frames import report_frame
 from tableprobe.functions.text import strip
 from tableprobe.operators.findings import merge_findings, sanitize_findings
 from tableprobe.operators.merge import compare_schemas, merge_tables
-from tableprobe.operators.typing import sanitize
+from tableprobe.operators.typing import sanitize, unique_names
 
 SUPPORTED = ("csv", "json", "jsonl", "parquet", "pq")
 ORDER = "__order"
@@ -28,16 +28,37 @@ def file_order() -> Column:
     )
 
 
+def _paths(path: str | Sequence[str]) -> str | list[str]:
+    return path if isinstance(path, str) else list(path)
+
+
+def breaks_inside_quotes(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> bool:
+    """Whether a record may span lines: a line with an odd number of quotes opens or closes one.
+
+    Looks until it finds one. Files in wide encodings cannot be looked at as lines.
+    """
+    if encoding.upper().replace("-", "").startswith(("UTF16", "UTF32")):
+        return True
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(_paths(path)).where(quotes % 2 == 1).limit(1).count())
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
     header: bool = True,
     encoding: str = "UTF-8",
     delimiter: str = ",",
-    multiline: bool = False,
+    multiline: bool | None = None,
     with_order: bool = False,
 ) -> DataFrame:
-    """Every column as text; types are decided later by looking at all values."""
+    """Every column as text; types are decided later by looking at all values.
+
+    ``multiline=None`` looks whether quoted values hold line breaks. Only then are
+    files read whole; all others are split across tasks.
+    """
+    if multiline is None:
+        multiline = breaks_inside_quotes(spark, path, encoding)
     reader = (
         spark.read.option("header", header)
         .option("encoding", encoding)
@@ -47,15 +68,33 @@ def read_csv(
         .option("escape", '"')
         .option("inferSchema", False)
     )
-    df = reader.csv(path if isinstance(path, str) else list(path))
+    df = reader.csv(_paths(path))
     # A byte-order mark belongs to the file, not to the first name.
     clean = [c.lstrip("\ufeff") for c in df.columns]
     df = df if clean == df.columns else df.toDF(*clean)
     return df.withColumn(ORDER, file_order()) if with_order else df
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False, with_order: bool = False) -> DataFrame:
-    """An array of records, or one record per line (which is what splits across tasks)."""
+def json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the files hold one record per line, judged by the first line of each that is not blank.
+
+    A line that is a whole record says so; an array, or a record that goes on, is for
+    the whole-file reader. A mixture cannot be read in one go and is an error.
+    """
+    text = F.btrim("value", F.lit(" \t\r\ufeff"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), text.alias("line"))
+    first = lines.where("line <> ''").withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("line", F.struct("block", "at")).alias("line"))
+    whole = ~F.startswith("line", F.lit("[")) & F.try_parse_json("line").isNotNull()
+    kinds = [r["whole"] for r in first.select(whole.alias("whole")).distinct().collect()]  # two rows at most
+    if len(kinds) > 1:
+        raise ValueError(f"{path}: some files hold one record per line and some an array; read them apart.")
+    return bool(kinds and kinds[0])
+
+
+def read_json(spark: SparkSession, path: str, lines: bool | None = None, with_order: bool = False) -> DataFrame:
+    """One record per line, which splits across tasks, or an array of records; ``lines=None`` looks which it is."""
+    if lines is None:
+        lines = json_lines(spark, path)
     df = spark.read.option("multiLine", not lines).json(path)
     return df.withColumn(ORDER, file_order()) if with_order else df
 
@@ -70,13 +109,13 @@ def extension_of(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def read_table(spark: SparkSession, path: str, with_order: bool = False, lines: bool = False, **options) -> DataFrame:
+def read_table(spark: SparkSession, path: str, with_order: bool = False, lines: bool | None = None, **options) -> DataFrame:
     """Read by extension, without cleaning. ``lines`` is for JSON, the other options for CSV."""
     kind = extension_of(path)
     if kind == "csv":
         return read_csv(spark, path, with_order=with_order, **options)
     if kind in ("json", "jsonl"):
-        return read_json(spark, path, lines=lines or kind == "jsonl", with_order=with_order)
+        return read_json(spark, path, lines=True if kind == "jsonl" else lines, with_order=with_order)
     if kind in ("parquet", "pq"):
         return read_parquet(spark, path, with_order=with_order)
     raise ValueError(f"Unsupported file type {kind!r}; use one of: {', '.join(SUPPORTED)}.")
@@ -88,14 +127,8 @@ def load_table(spark: SparkSession, path: str, **options) -> tuple[DataFrame, di
 
 
 def header_names(values: Sequence[str | None]) -> list[str]:
-    """Column names from a row of values: trimmed, blanks numbered, repeats suffixed."""
-    seen: dict[str, int] = {}
-    names = []
-    for i, value in enumerate(values):
-        name = ("" if value is None else str(value)).strip() or f"Unnamed_{i}"
-        seen[name] = seen.get(name, -1) + 1
-        names.append(f"{name}_{seen[name]}" if seen[name] else name)
-    return names
+    """Column names from a row of values: trimmed, blank ones named by their place, all different."""
+    return unique_names([str("" if v is None else v).strip() or f"Unnamed_{place}" for place, v in enumerate(values)])
 
 
 def apply_header_overrides(

@@ -14,23 +14,36 @@ from tableprobe.operators.typing import stringify_nested
 
 # What users may call each format.
 FORMATS = {"CSV (.csv)": "csv", "JSON (.json)": "json", "Parquet (.parquet)": "parquet"}
-TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS"
+#: JSON times have milliseconds unless asked otherwise; CSV keeps all six digits.
+JSON_TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSS"
+CSV_TIMES = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """UTF-8 with a byte-order mark, so spreadsheet programs read it right.
 
-    Every part file carries its own header, hence its own mark.
+    Every part file carries its own header, hence its own mark. Values are written as
+    they are: blanks at their ends, line breaks (quoted) and microseconds stay. Times
+    are those of the session zone.
     """
     flat, _ = stringify_nested(df)
     first, *rest = flat.columns
     marked = flat.select(col(first).alias("\ufeff" + first), *[col(c) for c in rest])
-    marked.write.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
+    options = {
+        "header": True,
+        "encoding": "UTF-8",
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+        "timestampFormat": CSV_TIMES,
+        "timestampNTZFormat": CSV_TIMES,
+    }
+    marked.write.options(**options).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """One record per line, nulls kept, ISO timestamps."""
-    df.write.option("ignoreNullFields", False).option("timestampFormat", TIME_FORMAT).option("timestampNTZFormat", TIME_FORMAT).json(path)
+def write_json(df: DataFrame, path: str, time_format: str = JSON_TIMES) -> None:
+    """One record per line, nulls kept, ISO timestamps. ``time_format`` with six S keeps microseconds."""
+    df.write.option("ignoreNullFields", False).option("timestampFormat", time_format).option("timestampNTZFormat", time_format).json(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -38,9 +51,12 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def export_name(base: str | None, extension: str, now: datetime | None = None) -> str:
-    """A safe name with a time stamp, such as ``orders_20260102_030405.csv``."""
-    safe = re.sub(r"[^A-Za-z0-9_-]+", "_", base or "dataset").strip("_") or "dataset"
-    return f"{safe}_{(now or datetime.now()):%Y%m%d_%H%M%S}.{(extension or 'csv').lstrip('.').lower()}"
+    """Letters, digits, dashes and underscores of ``base``, then the time: ``orders_20260102_030405.csv``."""
+    words = re.findall(r"[A-Za-z0-9_-]+", base or "")
+    stem = "_".join(words).strip("_")
+    stamp = (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
+    kind = (extension or "csv").lower().removeprefix(".")
+    return f"{stem or 'dataset'}_{stamp}.{kind}"
 
 
 def export_table(df: DataFrame, folder: str, fmt: str = "csv", base: str = "dataset") -> DataFrame:
