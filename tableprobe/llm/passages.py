@@ -4,8 +4,9 @@ A window is a fixed number of units (words or bytes) of one document. Each windo
 picks an anchor, the smallest hash among the grams inside it, so equal windows pick
 equal anchors and neighbouring windows mostly share one. The work is then:
 
-1. Anchors held by several documents are found (``recurring.py``).
-2. Documents are read again; runs of windows with such an anchor become segments.
+1. Texts are digested; of exact copies only the first goes on. Anchors held by several
+   texts are found (``recurring.py``).
+2. Texts are read again; runs of windows with such an anchor become segments.
    Segments that a task saw before are settled there and then; the others are dealt
    out by anchor, so all equal windows of different segments meet in one part.
 3. Each part compares its segments (the operators differ here) and says which units
@@ -36,6 +37,7 @@ SAMPLE_DOCS = 2000
 HOT_GRAMS = 100_000
 #: Bytes of segments a task gathers before it folds and sends them.
 HELD_BYTES = 24_000_000
+SMALLEST = -(1 << 63)
 LAST = np.uint64(1) << np.uint64(63)
 
 
@@ -150,45 +152,45 @@ def _by_owner(owners: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Itera
             yield int(o[0].view(np.int64)), ranges_binary(s, e)
 
 
-SEGMENTS = "kind int, part long, owner long, at long, packed binary"
+SEGMENTS = "kind int, part long, owner long, rank long, at long, packed binary"
+COLUMNS = ("kind", "part", "owner", "rank", "at", "packed")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kind, part, owner, at, packed = zip(*rows) if rows else ((),) * 5
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(part, pa.int64()), pa.array(owner, pa.int64()), pa.array(at, pa.int64()), pa.array(packed, pa.binary())],
-        ["kind", "part", "owner", "at", "packed"],
-    )
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((),) * 6, kinds)], list(COLUMNS))
 
 
 def _segments(batches: Iterator[pa.RecordBatch], scheme: Scheme, parts: int, ordered: bool) -> Iterator[pa.RecordBatch]:
     """Segments to compare (kind 0) and ranges already settled (kind 1).
 
-    ``ordered``: of equal segments that of the smallest owner stays; else none does.
+    ``ordered``: of equal segments those of the smallest rank stay; else none does.
     """
     held: list[tuple] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        keys, owners, at, count, anchor = (np.concatenate([h[k] for h in held]) for k in range(5))
-        texts = [t for h in held for t in h[5]]
-        order = np.lexsort((at, owners if not ordered else owners.view(np.int64), keys))
+        keys, owners, ranks, at, count, anchor = (np.concatenate([h[k] for h in held]) for k in range(6))
+        texts = [t for h in held for t in h[6]]
+        order = np.lexsort((at, owners, ranks, keys))
+        place = np.ones(len(order), bool)  # the same row may come twice
+        place[1:] = (keys[order][1:] != keys[order][:-1]) | (owners[order][1:] != owners[order][:-1]) | (at[order][1:] != at[order][:-1])
+        order = order[place]
         new = np.ones(len(order), bool)
         new[1:] = keys[order][1:] != keys[order][:-1]
         group = np.cumsum(new) - 1
         lead = order[new][group]
-        several = np.bincount(group)[group] > 1
-        gone = order[(several & ~new & (owners[order] != owners[lead])) if ordered else several]
-        rows = [(1, int(o % parts), o, 0, x) for o, x in _by_owner(owners[gone], at[gone], at[gone] + count[gone] + scheme.window - 1)]
-        for n in order[new].tolist():
-            rows.append((0, int(anchor[n] % np.uint64(parts)), int(owners[n].view(np.int64)), int(at[n]), texts[n]))
+        gone = order[ranks[order] != ranks[lead] if ordered else np.bincount(group)[group] > 1]
+        rows = [(1, int(o % parts), o, 0, 0, x) for o, x in _by_owner(owners[gone], at[gone], at[gone] + count[gone] + scheme.window - 1)]
+        for n in order[(ranks[order] == ranks[lead]) if ordered else new].tolist():
+            rows.append((0, int(anchor[n] % np.uint64(parts)), int(owners[n].view(np.int64)), int(ranks[n]), int(at[n]), texts[n]))
         return _batch(rows)
 
     for batch in chunks(batches):
         found = _candidate_runs(batch, scheme)
         if len(found[0]):
             held.append(found)
-            size += sum(map(len, found[5])) + 100 * len(found[5])
+            size += sum(map(len, found[6])) + 100 * len(found[6])
         if size > HELD_BYTES:
             yield flush()
             held, size = [], 0
@@ -197,7 +199,7 @@ def _segments(batches: Iterator[pa.RecordBatch], scheme: Scheme, parts: int, ord
 
 
 def _candidate_runs(batch: pa.RecordBatch, scheme: Scheme) -> tuple:
-    """Segments of a slice: hash of the text, owner, first unit, number of window starts, anchor, and the text."""
+    """Segments of a slice: hash of the text, owner, rank, first unit, number of window starts, anchor, and the text."""
     units = scheme.units(batch.column("text"))
     places, inside = scheme.anchors(units)
     n = len(places)
@@ -235,10 +237,11 @@ def _candidate_runs(batch: pa.RecordBatch, scheme: Scheme) -> tuple:
     ends = np.cumsum([len(t) for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
     keys = span_hashes(joined, ends - [len(t) for t in texts], ends) if texts else np.zeros(0, np.uint64)
     keys = mix(keys + anchors) if texts else keys
-    return keys, _owners(batch)[text[begin]], (begin - units.first[text[begin]]).astype(np.int64), count, anchors, texts
+    ranks = batch.column("rank").to_numpy(zero_copy_only=False).astype(np.int64)
+    return keys, _owners(batch)[text[begin]], ranks[text[begin]], (begin - units.first[text[begin]]).astype(np.int64), count, anchors, texts
 
 
-Compare = Callable[[list[tuple[int, int, bytes]]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Compare = Callable[[list[tuple[int, int, int, bytes]]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _compare_parts(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[pa.RecordBatch]:
@@ -250,7 +253,7 @@ def _compare_parts(batches: Iterator[pa.RecordBatch], compare: Compare) -> Itera
     held, now = [], None
     for batch in batches:
         settled = []
-        for kind, part, owner, at, packed in zip(*(batch.column(n).to_pylist() for n in ("kind", "part", "owner", "at", "packed"))):
+        for kind, part, owner, rank, at, packed in zip(*(batch.column(n).to_pylist() for n in COLUMNS)):
             if kind == 1:
                 settled.append((owner, packed))
                 continue
@@ -258,7 +261,7 @@ def _compare_parts(batches: Iterator[pa.RecordBatch], compare: Compare) -> Itera
                 yield out([*_by_owner(*compare(held))])
                 held = []
             now = part
-            held.append((owner, at, packed))
+            held.append((owner, rank, at, packed))
         if settled:
             yield out(settled)
     if held:
@@ -271,6 +274,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.R
         units = scheme.units(batch.column("text"))
         raw, first = units.data.tobytes(), units.first
         total, removed, spans, left = [], [], [], []
+        whole = batch.column("whole").to_pylist()
         for n, ranges in enumerate(batch.column("ranges").to_pylist()):
             a, b = int(first[n]), int(first[n + 1])
             change = np.zeros(b - a + 1, np.int64)
@@ -279,6 +283,8 @@ def _cut_out(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.R
                 np.add.at(change, starts.astype(np.int64), 1)
                 np.add.at(change, ends.astype(np.int64), -1)
             gone = np.cumsum(change)[:-1] > 0
+            if whole[n] and b - a >= scheme.window:
+                gone[:] = True
             total.append(b - a)
             removed.append(int(gone.sum()))
             spans.append(int((gone & ~np.concatenate(([False], gone[:-1]))).sum()))
@@ -291,19 +297,31 @@ def _cut_out(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_units", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(rows: DataFrame, scheme: Scheme, compare: Compare, ordered: bool) -> DataFrame:
-    """``doc_id, n_units, n_removed, n_spans, kept`` for every row of ``rows`` (``owner, doc_id, text``)."""
+def remove_repeats(docs: DataFrame, doc_id: str, scheme: Scheme, compare: Compare, ordered: bool) -> DataFrame:
+    """``doc_id, n_units, n_removed, n_spans, kept`` for every row.
+
+    ``ordered``: a window stays in the document with the smallest id; else it goes
+    everywhere. A null id counts as the smallest.
+    """
+    number = F.coalesce(F.col(doc_id).cast("long"), F.lit(SMALLEST).cast("long"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("owner"), F.col(doc_id).cast("long").alias("doc_id"), number.alias("number"), text.alias("text"))
     scheme.hot = common_grams(rows, scheme)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     per_byte = 2 / (scheme.window - scheme.gram + 2) / (6 if scheme.words else 1)
     parts = parts_for(rows, size * per_byte)
+    leads = rows.groupBy("owner").agg(F.min("number").alias("rank"), (F.min("number") != F.max("number")).alias("copied"))
     hits = grouped(recurring(rows, partial(_anchor_pairs, scheme=scheme), parts), "keys")
-    ready = rows.join(hits, "owner", "left").select("owner", "text", "keys")
+    # both joins below shuffle the same columns by the same key, so Spark shuffles the texts once
+    facts = leads.join(hits, "owner", "left").withColumnRenamed("owner", "fact_owner")
+    ready = rows.join(facts, rows["owner"] == F.col("fact_owner"), "left").where("number = rank").select("owner", "rank", "text", "keys")
     sent = ready.mapInArrow(partial(_segments, scheme=scheme, parts=parts, ordered=ordered), SEGMENTS)
     compared = sent.repartition("part").sortWithinPartitions("kind", "part").mapInArrow(partial(_compare_parts, compare=compare), "owner long, ranges binary")
     gone = compared.groupBy("owner").agg(F.collect_list("ranges").alias("ranges"))
+    ends = leads.join(gone, "owner", "left").withColumnRenamed("owner", "fact_owner")
+    whole = (F.col("number") != F.col("rank")) if ordered else F.col("copied")
     return (
-        rows.join(gone, "owner", "left")
-        .select("doc_id", "text", "ranges")
+        rows.join(ends, rows["owner"] == F.col("fact_owner"), "left")
+        .select("doc_id", "text", "ranges", whole.alias("whole"))
         .mapInArrow(partial(_cut_out, scheme=scheme), "doc_id long, n_units long, n_removed long, n_spans long, kept binary")
     )

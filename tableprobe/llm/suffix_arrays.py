@@ -135,10 +135,10 @@ class Shard:
         return same & (low < len(self.sorted)), self.sorted[found]
 
 
-def _repeated(segments: list[tuple[int, int, bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _repeated(segments: list[tuple[int, int, int, bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, first and end byte of every repeated string."""
     texts: dict[bytes, list[tuple[int, int]]] = {}
-    for owner, at, text in segments:
+    for owner, _, at, text in segments:
         texts.setdefault(text, []).append((owner, at))
     groups: list[list[bytes]] = [[]]
     size = 0
@@ -179,9 +179,6 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", width: int
     one text are one document. Null, empty and short texts have no strings. What is
     left need not be valid UTF-8 and is binary. Other columns are ignored.
     """
-    rows = docs.select(
-        F.xxhash64(F.col(doc_id).cast("long"), F.col("text")).alias("owner"), F.col(doc_id).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    )
     scheme = Scheme(words=False, window=width, gram=gram, cut=2048)
-    done = remove_repeats(rows, scheme, partial(_repeated, width=width), ordered=False)
+    done = remove_repeats(docs, doc_id, scheme, partial(_repeated, width=width), ordered=False)
     return done.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept")
