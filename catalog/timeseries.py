@@ -195,4 +195,36 @@ def detect_datetime_columns(spark, sf):
     return report_frame(spark, [(n,) for n in names], "column string")
 
 
+SPIKE = "CASE WHEN event_id = 10 THEN CAST(1e15 AS DOUBLE) ELSE value END"
+OFFSET = "value + CAST(1e9 AS DOUBLE)"
+
+
+def _range_sql(aggregate: str, value: str, seconds: int, digits: int) -> str:
+    """DuckDB's own range frame; the start of the window is open."""
+    frame = f"OVER (ORDER BY ts RANGE BETWEEN INTERVAL {seconds * 1_000_000 - 1} MICROSECONDS PRECEDING AND CURRENT ROW)"
+    return f"SELECT event_id, round({aggregate}(v) {frame}, {digits}) AS out FROM (SELECT event_id, ts, {value} AS v FROM events) WHERE event_id <> 10"
+
+
+@S.add("rolling_mean_spike", _range_sql("avg", SPIKE, 3600, 6).replace("WHERE event_id <> 10", "QUALIFY max(abs(v)) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) < 1e15"))
+def rolling_mean_spike(spark, sf):
+    """One huge value leaves nothing behind in the windows after it."""
+    df = table(spark, sf, "events").selectExpr("event_id", "ts", f"{SPIKE} AS v")
+    out = op.rolling(df, "ts", "v", 3600, "mean", "out")
+    return out.where("out < 1e10").select("event_id", "out")
+
+
+@S.add("rolling_std_spike", _range_sql("stddev_samp", SPIKE, 3600, 6).replace("WHERE event_id <> 10", "QUALIFY max(abs(v)) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) < 1e15"))
+def rolling_std_spike(spark, sf):
+    df = table(spark, sf, "events").selectExpr("event_id", "ts", f"{SPIKE} AS v")
+    out = op.rolling(df, "ts", "v", 3600, "std", "out")
+    return out.where("event_id <> 10 AND (out IS NULL OR out < 1e10)").select("event_id", "out")
+
+
+@S.add("rolling_std_offset", _range_sql("stddev_samp", OFFSET, 3600, 2).replace(" WHERE event_id <> 10", ""))
+def rolling_std_offset(spark, sf):
+    """A large common part does not eat the digits of the spread."""
+    df = table(spark, sf, "events").selectExpr("event_id", "ts", f"{OFFSET} AS v")
+    return op.rolling(df, "ts", "v", 3600, "std", "out").select("event_id", F.round("out", 2).alias("out"))
+
+
 QUERIES, SQL = S.queries, S.sql

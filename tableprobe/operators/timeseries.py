@@ -64,10 +64,12 @@ def rolling(
 ) -> DataFrame:
     """Add the aggregate of the values in (t - seconds, t] to each row that has a value.
 
-    Each value enters at its time and leaves one window later, so the window's
-    content is a running total of arrivals and departures: the cost does not grow
-    with the number of rows in a window. Sums run over distances from the overall
-    mean, which keeps rounding small. Rows at the same time see each other.
+    Time is cut into slots as long as the window. A window is then the end of one slot
+    and the beginning of the next: a running total backwards in the one and forwards in
+    the other. The cost does not grow with the rows in a window, and no total ever holds
+    a value outside the window's two slots, so a large value leaves nothing behind.
+    Spreads are measured from each slot's median and merged by means and squared
+    distances. Rows at the same time see each other.
     """
     if aggregate not in AGGREGATES:
         raise ValueError(f"Use one of {AGGREGATES}.")
@@ -77,33 +79,41 @@ def rolling(
         raise ValueError("The window must be longer than zero.")
     t, v = _time(df, time), _value(df, value)
     rows = df.where(t.isNotNull() & v.isNotNull())
-    if aggregate == "count":
-        middle = 0.0
-    else:
-        middle = rows.agg(F.avg(v)).first()[0] or 0.0
-    d = v - F.lit(middle)
     us = F.unix_micros(t)
-    one = F.lit(1).cast("bigint")
-    enter = F.struct(us.alias("t"), one.alias("n"), d.alias("s"), (d * d).alias("q"), F.lit(True).alias("row"))
-    leave = F.struct((us + F.lit(width)).alias("t"), (-one).alias("n"), (-d).alias("s"), (-(d * d)).alias("q"), F.lit(False).alias("row"))
+    values = rows.select(us.alias("t"), v.alias("v")).withColumn("slot", F.expr(f"t div {width} - if(t % {width} < 0, 1, 0)"))
+    middles = values.groupBy("slot").agg(F.percentile_approx("v", 0.5, 100).alias("c"))
+    d = F.col("v") - F.col("c")
     events = (
-        rows.select(F.inline(F.array(enter, leave)))
-        .groupBy("t")
-        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.bool_or("row").alias("row"))
-    )
-    totals = running(
-        events, order=["t"], sums={"wn": "n", "ws": "s", "wq": "q"}, at_most=2 * size_bound(df), rows_per_chunk=rows_per_chunk
+        values.join(middles, "slot")
+        .groupBy("slot", "t", "c")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("x"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
     )
-    n, s = F.col("wn").cast("double"), F.col("ws")
+    sums = {f"w{c}": c for c in "nxsq"}
+    bound = size_bound(df)
+    ahead = running(events, order=["t"], by=["slot"], sums=sums, at_most=bound, rows_per_chunk=rows_per_chunk)
+    # a window that ends at t begins after t - width, in the slot before; at that time nothing is added
+    zero = [F.lit(0).cast(kind).alias(c) for c, kind in (("n", "bigint"), ("x", "double"), ("s", "double"), ("q", "double"))]
+    begins = events.select((F.col("slot") - 1).alias("slot"), (F.col("t") - width).alias("t"), F.lit(1).alias("begin"), *zero)
+    marked = events.select("slot", "t", F.lit(0).alias("begin"), *"nxsq").unionByName(begins)
+    back = running(marked, order=["t", "begin"], by=["slot"], sums=sums, descending=True, at_most=2 * bound, rows_per_chunk=rows_per_chunk)
+    earlier = back.where("begin = 1").select((F.col("slot") + 1).alias("slot"), (F.col("t") + width).alias("t"), *[F.col(f"w{c}").alias(f"e{c}") for c in "nxsq"])
+    before = middles.select((F.col("slot") + 1).alias("slot"), F.col("c").alias("ec"))
+    both = ahead.join(earlier, ["slot", "t"]).join(before, "slot", "left")
+    n = (F.col("wn") + F.col("en")).cast("double")
+
+    def spread(n: str, s: str, q: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col(q) - F.coalesce(F.try_divide(F.col(s) * F.col(s), F.col(n)), F.lit(0.0)))
+
+    apart = (F.col("c") + F.col("ws") / F.col("wn")) - (F.col("ec") + F.try_divide(F.col("es"), F.col("en")))
+    between = F.coalesce(apart * apart * F.col("wn") * F.col("en") / n, F.lit(0.0))
+    squares = spread("wn", "ws", "wq") + spread("en", "es", "eq") + between
     results = {
-        "count": F.col("wn"),
-        "mean": F.lit(middle) + F.try_divide(s, n),
-        "sum": F.lit(middle) * n + s,
-        "std": F.when(
-            F.col("wn") >= 2, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("wq") - F.try_divide(s * s, n), n - 1)))
-        ),
+        "count": F.col("wn") + F.col("en"),
+        "mean": (F.col("wx") + F.col("ex")) / n,
+        "sum": F.col("wx") + F.col("ex"),
+        "std": F.when(n >= 2, F.sqrt(squares / F.greatest(F.lit(1.0), n - 1))),
     }
-    lookup = totals.where("row").select(F.col("t").alias("__t"), results[aggregate].alias("__out"))
+    lookup = both.select(F.col("t").alias("__t"), results[aggregate].alias("__out"))
     return rows.join(lookup, us == F.col("__t")).select(*[col(c) for c in df.columns], F.col("__out").alias(output))
 
 
