@@ -48,7 +48,7 @@ from tableprobe.functions.text import (
     whole_number,
 )
 from tableprobe.plans.frequency import distinct_counts, number_counts, value_counts
-from tableprobe.plans.ordered import size_bound, spread
+from tableprobe.plans.ordered import size_bound
 
 NUMERIC_SHARE = 0.70
 DATE_SHARE = 0.85
@@ -56,7 +56,6 @@ DATE_HINT_SHARE = 0.70
 FEW_VALUES = 50
 MANY_ROWS = 1000
 LOW_RATIO = 0.5
-EXACT_DISTINCT_UP_TO = 1_000_000
 STATUS_CODE_SETS = ((0, 1), (1, 2), (-1, 0, 1), (0, 1, 2))  # fixed values
 
 
@@ -164,7 +163,7 @@ def _votes(
     """
     if not names:
         return {}
-    df = spread(df.select(*[col(n) for n in names]))
+    df = df.select(*[col(n) for n in names])
     text, number = F.col("text"), F.col("number")
     # One bit per known word; the bits set in the end are the different words seen.
     known = F.array_position(F.array(*[F.lit(w) for w in (*TRUE_WORDS, *FALSE_WORDS)]), F.lower(text))
@@ -278,39 +277,18 @@ def _low_cardinality(distinct: int, rows: int) -> bool:
     return distinct >= 1 and ((rows >= MANY_ROWS and distinct / rows <= LOW_RATIO) or distinct <= FEW_VALUES)
 
 
-def _settle_distinct(df: DataFrame, approximate: dict[str, int], rows: int) -> dict[str, int]:
-    """Exact distinct counts where they are cheap or could change a decision.
-
-    The sketch has a 2 % error. A count is made exact when it is small enough to
-    be cheap, or lies within a fifth of half the row count; elsewhere the sketch
-    is kept, since the decision cannot depend on it.
-    """
-    exact = [
-        c
-        for c, d in approximate.items()
-        if d <= EXACT_DISTINCT_UP_TO or 0.4 * rows <= d <= 0.6 * rows
-    ]
-    out = dict(approximate)
-    if exact:
-        out.update({c: 0 for c in exact})
-        out.update({r["column"]: r["unique"] for r in distinct_counts(df, exact).collect()})
-    return out
-
-
-def text_cardinality(df: DataFrame, rows: int, columns: Sequence[str] | None = None) -> dict[str, int]:
-    """Distinct values per text column: one bounded sketch each, exact where it matters."""
+def text_cardinality(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, int]:
+    """Distinct values per text column, exact at every size: one shuffle of different values, long ones as digests."""
     names = list(columns if columns is not None else text_columns(df))
     if not names:
         return {}
-    sketch = {"d": F.hll_sketch_estimate(F.hll_sketch_agg("value", F.lit(12)))}
-    rough = {r["column"]: r["d"] or 0 for r in per_column(df, {c: col(c) for c in names}, sketch).collect()}
-    return _settle_distinct(df, rough, rows)
+    return dict.fromkeys(names, 0) | {r["column"]: r["unique"] for r in distinct_counts(df, names).collect()}
 
 
 def tag_categoricals(df: DataFrame) -> tuple[DataFrame, list[dict[str, Any]]]:
     """Mark text columns with few distinct values as categories, in column metadata."""
     rows = size_bound(df)
-    distinct = text_cardinality(df, rows)
+    distinct = text_cardinality(df)
     hits = {c: d for c, d in distinct.items() if _low_cardinality(d, rows)}
     return _tag(df, hits), [{"column": c, "unique": d} for c, d in hits.items()]
 
@@ -331,7 +309,7 @@ def split_columns(df: DataFrame) -> dict[str, list[str]]:
     open_text = [c for c in text_columns(df) if c not in tagged]
     if open_text:
         rows = size_bound(df)
-        tagged += [c for c, d in text_cardinality(df, rows, open_text).items() if _low_cardinality(d, rows)]
+        tagged += [c for c, d in text_cardinality(df, open_text).items() if _low_cardinality(d, rows)]
     flags = columns_of(df, lambda t: isinstance(t, T.BooleanType))
     categorical = [c for c in df.columns if c in set(tagged) | set(flags)]
     return {"numeric": numeric_columns(df), "categorical": categorical, "datetime": time_columns(df)}
@@ -422,7 +400,7 @@ def sanitize(
         if isinstance(f.dataType, T.TimestampNTZType):
             new[f.name] = col(f.name).cast("timestamp")
     clean = _replace(_clean(flat, names, tokens), new)
-    distinct = text_cardinality(clean, rows, kept_text)
+    distinct = text_cardinality(clean, kept_text)
     categories = {c: d for c, d in distinct.items() if _low_cardinality(d, rows)}
     clean = _tag(clean, categories)
     replaced = {n: v["tokens"] for n, v in votes.items() if v["tokens"]}

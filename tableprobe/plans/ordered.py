@@ -24,7 +24,6 @@ from tableprobe.plans.storage import materialize
 ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 10_000
 SAMPLES_PER_CHUNK = 20
-SPREAD_FROM = 100_000
 CHUNK = "__chunk"
 
 
@@ -189,15 +188,3 @@ def _single(df, order, by, sums, last, previous, descending):
 def size_bound(df: DataFrame) -> int:
     """Row count of an input, used as the upper bound for what is derived from it."""
     return df.count()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small table out to all cores before work that is heavy per value.
-
-    A table of a few megabytes is often one file and would be one task. The row
-    count is checked first: beyond one chunk the input has splits enough, and the
-    table is left where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    rows = size_bound(df)
-    return df.repartition(cores) if SPREAD_FROM <= rows <= chunk_rows(df, None) else df
