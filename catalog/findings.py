@@ -138,13 +138,11 @@ def findings(spark, sf):
         ]
     )
     + f"), k AS (SELECT *, lower({STRENGTH_CV}) AS word FROM s) "
-    "SELECT 'Target returnflag is categorical with ' || (SELECT count(DISTINCT returnflag) FROM t) || ' groups.' AS line UNION ALL "
-    "SELECT format('{} varies {} across groups of returnflag (score {:.2f}).', feature, word, score) FROM (SELECT * FROM k ORDER BY score DESC, i LIMIT 5) UNION ALL "
-    "SELECT format('{} features vary very little across groups.', count(*)) FROM k WHERE score < 0.05 HAVING count(*) > 0",
+    "SELECT 'group_means' || CASE WHEN score < 0.05 THEN '_none' ELSE '' END AS rule, feature AS subject, round(score, 6) AS value, "
+    "format('{} and returnflag: {} ({:+.2f})', feature, word, score) AS text FROM k",
 )
 def target_findings(spark, sf):
-    lines = op.target_findings(derived(spark, sf, "gauges"), "returnflag")
-    return report_frame(spark, [(line,) for line in lines], "line string")
+    return op.target_findings(derived(spark, sf, "gauges"), "returnflag")
 
 
 @S.add("merge_findings", "SELECT line FROM (SELECT 'open lacks 1 columns others have: o_orderpriority.' AS line UNION ALL SELECT '1 shared columns have different types across tables.') WHERE (SELECT count(*) FROM orders) > 0")

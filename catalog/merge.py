@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.base import Section, derived_sql, table, ts_text
@@ -32,10 +35,12 @@ def compare_schemas(spark, sf):
 
 @S.add(
     "align_columns",
-    "SELECT o_orderkey, CAST(o_custkey AS STRING) AS o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, CAST(NULL AS STRING) AS o_orderpriority FROM orders WHERE o_orderstatus = 'O'",
+    "SELECT CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'pending' END AS part, o_orderkey, CAST(o_custkey AS STRING) AS o_custkey, "
+    "o_orderstatus, round(o_totalprice, 6) AS o_totalprice, CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS o_orderpriority FROM orders",
 )
 def align_columns(spark, sf):
-    return op.align_columns(_parts(spark, sf))["open"]
+    """All parts, each under its name."""
+    return reduce(DataFrame.unionAll, [df.select(F.lit(n).alias("part"), "*") for n, df in op.align_columns(_parts(spark, sf)).items()])
 
 
 @S.add(

@@ -122,35 +122,26 @@ def findings(df: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("position", "rule", "subject", "value", "text")
+    return out.select("position", "rule", "subject", "value", "text").orderBy("position", F.abs("value").desc_nulls_last(), "subject")
 
 
-def target_findings(df: DataFrame, target: str, n: int = 5) -> list[str]:
-    """Sentences about what goes with the target; there are at most a few per feature."""
+def target_findings(df: DataFrame, target: str) -> DataFrame:
+    """(rule, subject, value, text): one row per numeric feature, strongest first.
+
+    The rule says what was measured, ``correlation`` with a number or ``group_means``
+    over the groups of anything else, and whether it tells something: features below
+    the weakest strength have ``_none`` added.
+    """
     if target not in df.columns:
-        return [f"Target column {target} not found."]
-    if is_numeric(df.schema[target].dataType):
-        rows = target_correlations(df, target).collect()
-        if not rows:
-            return ["Not enough numeric features to compare with the target."]
-        known = [r for r in rows if r["r"] is not None]
-        lines = [f"Compared {len(rows)} numeric features with {target}."]
-        lines += [
-            f"{r['feature']} has a {r['strength'].lower()} {r['direction']} correlation ({r['r'] or 0.0:+.2f}) with {target}."
-            for r in rows[:n]
-        ]
-        strong = [r["feature"] for r in known if abs(r["r"]) >= 0.5]
-        lines.append(f"Strong relationships: {', '.join(strong[:5])}." if strong else "No strong linear relationships.")
-        weak = sum(abs(r["r"]) < 0.1 for r in known)
-        return lines + ([f"{weak} features show negligible correlation."] if weak else [])
-    groups = df.agg(F.count_distinct(target)).first()[0]
-    lines = [f"Target {target} is categorical with {groups} groups."]
-    rows = feature_importance(df, target).collect()
-    if not rows:
-        return lines + ["No numeric features to compare across groups."]
-    lines += [f"{r['feature']} varies {r['strength'].lower()} across groups of {target} (score {r['score']:.2f})." for r in rows[:n]]
-    weak = sum(r["score"] < 0.05 for r in rows)
-    return lines + ([f"{weak} features vary very little across groups."] if weak else [])
+        raise ValueError(f"There is no column {target}.")
+    numeric = is_numeric(df.schema[target].dataType)
+    rule = "correlation" if numeric else "group_means"
+    measured = target_correlations(df, target) if numeric else feature_importance(df, target)
+    value = F.coalesce("r" if numeric else "score", F.lit(0.0))
+    level = F.lower(F.coalesce("strength", F.lit("Negligible")))
+    text = F.format_string("%s and %s: %s (%+.2f)", F.col("feature"), F.lit(target), level, value)
+    name = F.when(level == "negligible", F.lit(f"{rule}_none")).otherwise(F.lit(rule))
+    return measured.select(name.alias("rule"), F.col("feature").alias("subject"), value.alias("value"), text.alias("text"))
 
 
 def merge_findings(schemas: DataFrame, merge_report: dict[str, Any]) -> list[str]:

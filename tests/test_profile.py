@@ -137,8 +137,10 @@ def test_scale_groups(spark):
 
 def test_target_findings_name_missing_targets(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.1), (3.0, 5.9)], "a double, b double")
-    assert findings.target_findings(df, "zz") == ["Target column zz not found."]
-    assert any("very strong positive" in line for line in findings.target_findings(df, "a"))
+    with pytest.raises(ValueError, match="zz"):
+        findings.target_findings(df, "zz")
+    row = findings.target_findings(df, "a").first()
+    assert (row["rule"], row["subject"], row["value"] > 0.99) == ("correlation", "b", True) and "very strong" in row["text"]
 
 
 def test_rounded_is_for_display(spark):
