@@ -171,7 +171,7 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 class SignatureTree:
-    """Sets in order of size; leaves of ``LEAF``, nodes of two below. A node has the OR of its bitmaps and its range of sizes."""
+    """Sets in order of size; leaves of up to ``LEAF``, nodes of two below. A node has the OR of its bitmaps and its range of sizes."""
 
     def __init__(self, sizes: np.ndarray, bitmaps: list[bytes], percent: int):
         self.percent = percent
@@ -179,8 +179,10 @@ class SignatureTree:
         self.sizes = sizes[self.order]
         self.maps = [np.frombuffer(bitmaps[n], np.uint8) for n in self.order]
         self.spare = self.sizes - np.array([int(np.bitwise_count(m).sum()) for m in self.maps])
-        self.leaves = [(a, min(a + LEAF, len(sizes))) for a in range(0, len(sizes), LEAF)]
-        level = [self._leaf(a, b) for a, b in self.leaves]
+        # a leaf holds bitmaps of one width: folded to a much smaller one, they would rule out nothing
+        widths = np.array([len(m) for m in self.maps])
+        edges = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), len(sizes)]
+        level = [self._leaf(a, min(a + LEAF, stop)) for start, stop in zip(edges, edges[1:]) for a in range(start, stop, LEAF)]
         while len(level) > 1:
             level = [self._join(level[n], level[n + 1]) if n + 1 < len(level) else level[n] for n in range(0, len(level), 2)]
         self.root = level[0]
@@ -194,8 +196,7 @@ class SignatureTree:
 
     def _leaf(self, a: int, b: int) -> tuple:
         maps = self.maps[a:b]
-        width = min(len(m) for m in maps)
-        rows = np.stack([_halve(m[None], width)[0] for m in maps])
+        rows = np.stack(maps)
         return int(self.sizes[a]), int(self.sizes[b - 1]), self._or(maps), int(self.spare[a:b].max()), (a, b, rows), None
 
     def _join(self, x: tuple, y: tuple) -> tuple:
