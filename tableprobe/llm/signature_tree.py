@@ -19,9 +19,9 @@ Steps, each a Spark job whose result is stored:
 4. Entities of different classes that share a prefix shingle meet in trees. Hot
    shingles are split: the largest class is dealt out over several blocks, entities
    of other classes go to each of them.
-5. What the trees leave over is verified on the sets, cluster by cluster. An entity first tries a few
-   candidates of each other class; if those fail while more are left, a second pass
-   takes all of them.
+5. What the trees leave over is verified on the sets, cluster by cluster. Each of a few
+   turns gives a group fewer pairs than it has classes. If pairs fail while others were
+   left out, a last pass takes all that are left between different classes.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ WIDTH = 5
 PERCENT = 80
 BLOCK = 2048
 LEAF = 16
-TRIES = 2
+TURNS = 3
 SAMPLE_DOCS = 4000
 HOT_TOKENS = 50_000
 #: Rows of a few numbers that may be broadcast; counted before, more are joined by shuffle.
@@ -288,31 +288,40 @@ def _link_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], percent: int, tries: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes that may link. With ``tries``, a set tries that many of each class and the rest is only noted."""
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int, turn: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes that may link.
+
+    With a ``turn``, classes that a pair would connect count as connected from then on,
+    so a group gives fewer pairs than it has classes; ``more`` says that others were
+    left out. Turns begin with different pairs. Without a turn, all pairs are given.
+    """
     for rows in _groups(batches, ["key", "salt"]):
         rows = list({r["entity"]: r for r in rows}.values())
-        label = np.array([r["label"] for r in rows])
+        _, label = np.unique([r["label"] for r in rows], return_inverse=True)
         entity = np.array([r["entity"] for r in rows])
         tree = SignatureTree(np.array([r["n"] for r in rows]), [r["bitmap"] for r in rows], percent)
-        tried: dict[tuple, int] = {}
-        a, b, more = [], [], []
+        one, two, more = [], [], False
+        first = label.copy()
         for i, j in tree.candidates():
-            apart = label[i] != label[j]
-            for x, y in zip(i[apart].tolist(), j[apart].tolist()):
-                if tries is not None:
-                    one, two = (x, label[y]), (y, label[x])
-                    used = min(tried.get(one, 0), tried.get(two, 0))
-                    if used > tries:
-                        continue
-                    tried[one], tried[two] = tried.get(one, 0) + 1, tried.get(two, 0) + 1
-                    more.append(used == tries)
-                else:
-                    more.append(False)
-                a.append(min(entity[x], entity[y]))
-                b.append(max(entity[x], entity[y]))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more)], ["a", "b", "more"])
+            if turn:
+                order = np.argsort(mix((entity[i] ^ entity[j]).view(np.uint64) + np.uint64(turn)), kind="stable")
+                i, j = i[order], j[order]
+            while len(i):
+                apart = label[i] != label[j]
+                more |= bool((~apart & (first[i] != first[j])).any())
+                i, j = i[apart], j[apart]
+                if turn is None or not len(i):
+                    one.append(i)
+                    two.append(j)
+                    break
+                one.append(i[:1])
+                two.append(j[:1])
+                label[label == label[j[0]]] = label[i[0]]
+                i, j = i[1:], j[1:]
+        if sum(map(len, one)):
+            x, y = entity[np.concatenate(one)], entity[np.concatenate(two)]
+            columns = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), more))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "more"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -426,12 +435,12 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", width: int = WIDT
     prefixes = partial(_prefixes, width=width, percent=percent, hot=hot)
     found = recurring(rows, prefixes, parts_for(docs, total * (100 - percent) / 100))
     hits = materialize(found.select(F.col("owner").alias("entity"), "key").repartition("entity").distinct())
-    for tries in (TRIES, None):
-        tried = _meet(hits, about, labels).mapInArrow(partial(_candidates, percent=percent, tries=tries), "a long, b long, more boolean")
-        pairs = materialize(tried.groupBy("a", "b").agg(F.min("more").alias("more"), F.max("more").alias("open")))
-        links = materialize(_check(rows, about, pairs.where("not more").select("a", "b"), width, percent))
+    for turn in (*range(TURNS), None):
+        tried = _meet(hits, about, labels).mapInArrow(partial(_candidates, percent=percent, turn=turn), "a long, b long, more boolean")
+        pairs = materialize(tried.groupBy("a", "b").agg(F.max("more").alias("more")))
+        links = materialize(_check(rows, about, pairs.select("a", "b"), width, percent))
         labels = _relabel(labels, links)
-        if tries is not None and not _open_pairs(pairs.where("open"), labels):
+        if turn is not None and not _open_pairs(pairs.where("more"), labels):
             break
 
     smallest = labels.join(about.select("entity", "doc_id"), "entity").groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -440,7 +449,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", width: int = WIDT
 
 
 def _open_pairs(pairs: DataFrame, labels: DataFrame) -> bool:
-    """Whether candidates that were not tried are still in different classes."""
+    """Whether pairs that failed could hide others: their ends are still in different classes."""
     ends = pairs.join(labels.select(F.col("entity").alias("a"), F.col("label").alias("x")), "a").join(
         labels.select(F.col("entity").alias("b"), F.col("label").alias("y")), "b"
     )
