@@ -26,6 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,7 +187,8 @@ def _segments(batches: Iterator[pa.RecordBatch], scheme: Scheme, parts: int, ord
             rows.append((0, int(anchor[n] % np.uint64(parts)), int(owners[n].view(np.int64)), int(ranks[n]), int(at[n]), texts[n]))
         return _batch(rows)
 
-    for batch in chunks(batches):
+    # copies are left out here and not by a filter, which would change the join's keys and cost another shuffle of the texts
+    for batch in chunks(b.filter(pc.equal(b.column("number"), b.column("rank"))) for b in batches):
         found = _candidate_runs(batch, scheme)
         if len(found[0]):
             held.append(found)
@@ -314,7 +316,7 @@ def remove_repeats(docs: DataFrame, doc_id: str, scheme: Scheme, compare: Compar
     hits = grouped(recurring(rows, partial(_anchor_pairs, scheme=scheme), parts), "keys")
     # both joins below shuffle the same columns by the same key, so Spark shuffles the texts once
     facts = leads.join(hits, "owner", "left").withColumnRenamed("owner", "fact_owner")
-    ready = rows.join(facts, rows["owner"] == F.col("fact_owner"), "left").where("number = rank").select("owner", "rank", "text", "keys")
+    ready = rows.join(facts, rows["owner"] == F.col("fact_owner"), "left").select("owner", "doc_id", "number", "text", "rank", "keys")
     sent = ready.mapInArrow(partial(_segments, scheme=scheme, parts=parts, ordered=ordered), SEGMENTS)
     compared = sent.repartition("part").sortWithinPartitions("kind", "part").mapInArrow(partial(_compare_parts, compare=compare), "owner long, ranges binary")
     gone = compared.groupBy("owner").agg(F.collect_list("ranges").alias("ranges"))
@@ -322,6 +324,6 @@ def remove_repeats(docs: DataFrame, doc_id: str, scheme: Scheme, compare: Compar
     whole = (F.col("number") != F.col("rank")) if ordered else F.col("copied")
     return (
         rows.join(ends, rows["owner"] == F.col("fact_owner"), "left")
-        .select("doc_id", "text", "ranges", whole.alias("whole"))
+        .select("owner", "doc_id", "number", "text", "ranges", whole.alias("whole"))
         .mapInArrow(partial(_cut_out, scheme=scheme), "doc_id long, n_units long, n_removed long, n_spans long, kept binary")
     )
