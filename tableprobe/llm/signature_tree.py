@@ -44,6 +44,7 @@ WIDTH = 5
 PERCENT = 80
 BLOCK = 2048
 LEAF = 16
+LEAST_BITS = 64
 TURNS = 3
 SAMPLE_DOCS = 4000
 HOT_TOKENS = 50_000
@@ -97,7 +98,7 @@ def entities(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def bitmap(values: np.ndarray) -> bytes:
     """One bit for each shingle, in a power of two of at least as many bits."""
-    bits = 64
+    bits = LEAST_BITS
     while bits < len(values):
         bits *= 2
     flags = np.zeros(bits, bool)
@@ -178,7 +179,6 @@ class SignatureTree:
         self.order = np.argsort(sizes, kind="stable")
         self.sizes = sizes[self.order]
         self.maps = [np.frombuffer(bitmaps[n], np.uint8) for n in self.order]
-        self.spare = self.sizes - np.array([int(np.bitwise_count(m).sum()) for m in self.maps])
         # a leaf holds bitmaps of one width: folded to a much smaller one, they would rule out nothing
         widths = np.array([len(m) for m in self.maps])
         edges = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), len(sizes)]
@@ -197,10 +197,19 @@ class SignatureTree:
     def _leaf(self, a: int, b: int) -> tuple:
         maps = self.maps[a:b]
         rows = np.stack(maps)
-        return int(self.sizes[a]), int(self.sizes[b - 1]), self._or(maps), int(self.spare[a:b].max()), (a, b, rows), None
+        return int(self.sizes[a]), int(self.sizes[b - 1]), self._or(maps), self._spare(self.sizes[a:b], rows), (a, b, rows), None
+
+    def _spare(self, sizes: np.ndarray, rows: np.ndarray) -> dict[int, int]:
+        """For each width down to the smallest: how many more shingles than bits a set has at most, folded to that width."""
+        spare = {}
+        while True:
+            spare[rows.shape[1]] = int((sizes - np.bitwise_count(rows).sum(axis=1, dtype=np.int64)).max())
+            if rows.shape[1] <= LEAST_BITS // 8:
+                return spare
+            rows = _halve(rows, rows.shape[1] // 2)
 
     def _join(self, x: tuple, y: tuple) -> tuple:
-        return x[0], y[1], self._or([x[2], y[2]]), max(x[3], y[3]), None, (x, y)
+        return x[0], y[1], self._or([x[2], y[2]]), {w: max(n, y[3][w]) for w, n in x[3].items() if w in y[3]}, None, (x, y)
 
     def _far(self, x: tuple, y: tuple) -> bool:
         """No set below ``x`` can link with one below ``y``."""
@@ -209,8 +218,8 @@ class SignatureTree:
             return True
         width = min(len(x[2]), len(y[2]))
         common = int(np.bitwise_count(_halve(x[2][None], width)[0] & _halve(y[2][None], width)[0]).sum())
-        # several shingles of a set may have one bit: it has at most ``spare`` more shingles than bits
-        return common + min(x[3], y[3]) < needed(x[0], y[0], self.percent)
+        # several shingles of a set may have one bit: at this width it has at most ``spare`` more shingles than bits
+        return common + min(x[3][width], y[3][width]) < needed(x[0], y[0], self.percent)
 
     def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Arrays of places (in the given rows) of pairs that may link, leaf pair by leaf pair."""
