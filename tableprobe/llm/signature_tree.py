@@ -116,12 +116,13 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("digest"),
                 pa.array(entities(values, first).view(np.int64), mask=empty),
                 pa.array(sizes.astype(np.int64)),
                 pa.array(smallest.view(np.int64), mask=empty),
                 pa.array(maps, pa.binary()),
             ],
-            ["doc_id", "entity", "n", "smallest", "bitmap"],
+            ["doc_id", "digest", "entity", "n", "smallest", "bitmap"],
         )
 
 
@@ -334,7 +335,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, turn: int | Non
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in chunks(batches):
+        # of rows with one id and one text, which are read alike, a task needs one
+        batch = batch.take(pa.array([n for n, x in enumerate(batch.column("entity").to_pylist()) if not (x in seen or seen.add(x))], pa.int64()))
         values, first = shingle_sets(batch.column("text"), width)
         items = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
         kept = [n for n in batch.schema.names if n != "text"]
@@ -363,11 +367,13 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Sets of the wanted rows (``doc_id`` and more columns), read from the text of one document each."""
+    """Sets of the wanted rows (``own_id``, ``own_digest`` and more columns, which are returned), read from the text of one document each."""
     wanted = materialize(wanted)
     few = wanted.count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select(*wanted.columns, "text")
-    schema = ", ".join(f"{n} {t}" for n, t in wanted.dtypes) + ", items binary"
+    same = rows["doc_id"].eqNullSafe(wanted["own_id"]) & (rows["digest"] == wanted["own_digest"])
+    more = [(n, t) for n, t in wanted.dtypes if n not in ("own_id", "own_digest")]
+    joined = rows.join(F.broadcast(wanted) if few else wanted, same).select(*[n for n, _ in more], "text")
+    schema = ", ".join(f"{n} {t}" for n, t in more) + ", items binary"
     return joined.mapInArrow(partial(_sets, width=width), schema)
 
 
@@ -405,8 +411,8 @@ def _check(rows: DataFrame, about: DataFrame, pairs: DataFrame, width: int, perc
     sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER_PAIRS).alias("salts"))
     placed = materialize(placed.join(sizes, "cluster").select("cluster", F.pmod("a", "salts").alias("salt"), "a", "b"))
     ends = placed.select("cluster", "salt", F.explode(F.array("a", "b")).alias("entity")).distinct()
-    wanted = about.join(ends.select("entity").distinct(), "entity").select("doc_id", "entity")
-    sets = materialize(_sets_of(rows, wanted, width).select("entity", "items"))
+    wanted = about.join(ends.select("entity").distinct(), "entity").select("own_id", "own_digest", "entity")
+    sets = materialize(_sets_of(rows, wanted, width))
     held = ends.join(sets, "entity").select("cluster", "salt", F.col("entity").alias("a"), F.lit(None).cast("long").alias("b"), "items")
     both = held.unionByName(placed.withColumn("items", F.lit(None).cast("binary")))
     order = ["cluster", "salt", F.col("b").isNotNull()]
@@ -424,18 +430,22 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", width: int = WIDT
     component of their own text. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = rows.mapInArrow(partial(_describe, width=width), "doc_id long, entity long, n long, smallest long, bitmap binary")
+    # an id may be null or stand beside several texts, so rows are told apart by the digest of the text as well
+    told = rows.withColumn("digest", F.xxhash64("text"))
+    described = told.mapInArrow(partial(_describe, width=width), "doc_id long, digest long, entity long, n long, smallest long, bitmap binary")
     every = materialize(described)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     about = materialize(
         every.where("entity is not null")
         .groupBy("entity")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("smallest").alias("smallest"), F.first("bitmap").alias("bitmap"))
+        .agg(F.min(own).alias("own"), F.first("n").alias("n"), F.first("smallest").alias("smallest"), F.first("bitmap").alias("bitmap"))
+        .select("entity", F.col("own.doc_id").alias("own_id"), F.col("own.digest").alias("own_digest"), "n", "smallest", "bitmap")
     )
 
     firsts = about.groupBy("smallest").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
     salt = F.pmod("entity", F.ceil(F.col("rows") / BLOCK)).alias("salt")
-    wanted = about.join(firsts, "smallest").select("doc_id", "entity", "smallest", salt)
-    blocks = _sets_of(rows, wanted, width).repartition("smallest", "salt").sortWithinPartitions("smallest", "salt")
+    wanted = about.join(firsts, "smallest").select("own_id", "own_digest", "entity", "smallest", salt)
+    blocks = _sets_of(told, wanted, width).repartition("smallest", "salt").sortWithinPartitions("smallest", "salt")
     links = materialize(blocks.mapInArrow(partial(_link_blocks, percent=percent), "a long, b long"))
     labels = _relabel(about.select("entity", F.col("entity").alias("label")), links)
 
@@ -447,12 +457,12 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", width: int = WIDT
     for turn in (*range(TURNS), None):
         tried = _meet(hits, about, labels).mapInArrow(partial(_candidates, percent=percent, turn=turn), "a long, b long, more boolean")
         pairs = materialize(tried.groupBy("a", "b").agg(F.max("more").alias("more")))
-        links = materialize(_check(rows, about, pairs.select("a", "b"), width, percent))
+        links = materialize(_check(told, about, pairs.select("a", "b"), width, percent))
         labels = _relabel(labels, links)
         if turn is not None and not _open_pairs(pairs.where("more"), labels):
             break
 
-    smallest = labels.join(about.select("entity", "doc_id"), "entity").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    smallest = labels.join(about.select("entity", "own_id"), "entity").groupBy("label").agg(F.min("own_id").alias("component_id"))
     classes = labels.join(smallest, "label").select("entity", "component_id")
     return every.join(classes, "entity", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -42,3 +42,31 @@ def test_near_copies_next_to_a_power_of_two(spark):
     expected = brute.similar([{"doc_id": n, "text": t} for n, t in rows])
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == expected
     assert all(expected[n][1] == n - n % 2 for n in expected)
+
+
+def versions(name, count):
+    """Near copies that differ in their first words or their last ones, so they have different smallest shingles."""
+    words = [f"{name}{k}" for k in range(120)]
+    return [" ".join(words[k:] if k % 2 else words[: 120 - k]) for k in range(count)]
+
+
+def test_null_ids_have_near_copies(spark):
+    """Of each other, and of documents with an id."""
+    rows = [(None, t) for t in versions("none", 8)] + [(None if k % 2 else k, t) for k, t in enumerate(versions("some", 8))]
+    rows += [(None if k else 50, t) for n in range(12) for k, t in enumerate(versions(f"more{n}x", 2))]
+    got = signature_tree.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert sorted(r["component_id"] for r in got if r["component_id"] is not None) == [0] * 8 + [50] * 24
+
+
+def test_texts_with_one_id_are_not_mixed(spark):
+    """Each id has a version of two documents; a set of the wrong text would lose links or invent some."""
+    rows, expected = [], []
+    for n in range(12):
+        left, right = versions(f"left{n}x", 4), versions(f"right{n}x", 4)
+        for k in range(4):
+            rows += [(100 * n + k, left[k]), (100 * n + (k + 1) % 4 + 10 * (k == 3), right[k])]
+            expected += [100 * n, 100 * n + 1]
+    docs = spark.createDataFrame([(*r, e) for r, e in zip(rows, expected)], "doc_id long, text string, expected long").repartition(3)
+    got = sorted((r["doc_id"], r["component_id"]) for r in signature_tree.similar_documents(docs).collect())
+    assert got == sorted((r[0], e) for r, e in zip(rows, expected))
