@@ -4,8 +4,11 @@ The tagger (``tagger.py``) is trained on labelled spans: generated e-mail addres
 IP addresses, card and phone numbers in many notations, and numbers that are none of
 these, set into snippets of a bounded sample of the documents. Every span of these
 kinds has a digit or an "@", so texts are read around these characters only, all of
-them, in overlapping windows. Each character takes its tag from the window in which
-it stands furthest from the edges; runs of one tag become spans. A span is added if
+them: around digits that stand near each other, and around each "@" with the words
+beside it. Such a run stands whole in one window if it fits, else in overlapping ones
+(windows around addresses are as wide as these, up to ``WIDEST``); where a tagged span reaches the last character that was read, reading goes on. Each
+character takes its tag from a window that holds its run, and of these from that in
+which it stands furthest from the edges; runs of one tag become spans. A span is added if
 its content is plausible for its kind and it touches no span found before.
 """
 
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
 
@@ -29,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 200
 TRAINING_WINDOWS = 2400
 WINDOW = 64
+#: Of a window around an address that does not fit ``WINDOW``; addresses have 320 characters at most.
+WIDEST = 512
 STRIDE = 32
 MARGIN = 20
 
@@ -38,7 +44,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+NUMBERS = re.compile(r"[0-9](?:[^0-9@]{0,4}+[0-9])*+")
+WORD = re.compile(r"\S+")
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -151,31 +158,66 @@ def train(docs: DataFrame, count: int = TRAINING_WINDOWS, epochs: int = 8, seed:
 # --- use --------------------------------------------------------------------------------------------
 
 
-def windows_of(text: str) -> list[int]:
-    """Starts of the windows that cover everything near a digit or an "@"."""
-    starts: list[int] = []
-    done = -1
-    for match in TRIGGER.finditer(text):
-        if match.start() + MARGIN <= done:
+def runs_of(text: str) -> list[tuple[int, int]]:
+    """Where spans can be: digits that stand near each other, and each "@" with the words beside it, one blank between at most."""
+    found = [(m.start(), m.end()) for m in NUMBERS.finditer(text)]
+    if "@" in text:
+        words = [(m.start(), m.end()) for m in WORD.finditer(text)]
+        for n, (start, end) in enumerate(words):
+            if text.find("@", start, end) < 0:
+                continue
+            lo, hi = start, end
+            if text[start] == "@" and n and text[words[n - 1][1] : start] == " ":
+                lo = words[n - 1][0]
+            if text[end - 1] == "@" and n + 1 < len(words) and text[end : words[n + 1][0]] == " ":
+                hi = words[n + 1][1]
+            found.append((lo, hi))
+    runs: list[tuple[int, int]] = []
+    for lo, hi in sorted(found):
+        if runs and lo < runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(runs[-1][1], hi))
+        else:
+            runs.append((lo, hi))
+    return runs
+
+
+def windows_of(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Starts and widths of windows that cover the runs and what stands near them; a run that fits one window is whole in one."""
+    windows: list[tuple[int, int]] = []
+    done = 0
+    for lo, hi in runs:
+        width = WINDOW
+        while width < min(hi - lo, WIDEST) and "@" in text[lo:hi]:
+            width *= 2
+        margin = max(min(MARGIN, (width - (hi - lo)) // 2), 0)
+        at = max(lo - margin, 0)
+        if windows and windows[-1][0] <= at and hi + margin <= done:
             continue
-        start = max(match.start() - MARGIN, 0) if match.start() - MARGIN > done - STRIDE else done - STRIDE
-        starts.append(start)
-        done = start + WINDOW
-    return starts
+        windows.append((at, width))
+        while at + width < hi:
+            at += width // 2
+            windows.append((at, width))
+        done = at + width
+    return windows
 
 
-def reconcile(size: int, starts: list[int], tags: np.ndarray) -> list[Span]:
-    """Spans from the tags of overlapping windows: the window counts in which a character is furthest from the edges."""
+def reconcile(size: int, windows: list[tuple[int, int]], tags: list[np.ndarray], runs: list[tuple[int, int]]) -> list[Span]:
+    """Spans from the tags of overlapping windows: one that holds the run of a character counts before others, then that in which it is furthest from the edges."""
     spans: list[Span] = []
     best: dict[int, tuple[int, int]] = {}
-    for start, row in zip(starts, tags):
+    for (start, width), row in zip(windows, tags):
+        inner = np.minimum(np.arange(width), np.arange(width)[::-1])
+        for lo, hi in runs[bisect_left(runs, (start, 0)) :]:
+            if lo >= start + width:
+                break
+            if hi <= start + width:
+                inner[lo - start : hi - start] += WIDEST
         for k in np.flatnonzero(row >= 0).tolist():
             at = start + k
             if at >= size:
                 break
-            inner = min(k, WINDOW - 1 - k)
-            if at not in best or best[at][0] < inner:
-                best[at] = (inner, int(row[k]))
+            if at not in best or best[at][0] < inner[k]:
+                best[at] = (int(inner[k]), int(row[k]))
     for at in sorted(best):
         kind = best[at][1] - 1
         if kind < 0:
@@ -187,25 +229,55 @@ def reconcile(size: int, starts: list[int], tags: np.ndarray) -> list[Span]:
     return spans
 
 
+def _tags(texts: list[str], rows: list[tuple[int, int, int]], tagger: Tagger) -> list[np.ndarray]:
+    """The tags of windows, given as text, start and width."""
+    tags = [np.zeros(0, np.int64)] * len(rows)
+    for width in sorted({w for _, _, w in rows}):
+        mine, some = [k for k, r in enumerate(rows) if r[2] == width], 512 * WINDOW // width
+        for at in range(0, len(mine), some):
+            x = np.full((len(mine[at : at + some]), width), PAD)
+            for line, k in zip(x, mine[at : at + some]):
+                n, start, _ = rows[k]
+                piece = codes(texts[n][start : start + width])
+                line[: len(piece)] = piece
+            for k, row in zip(mine[at : at + some], tagger.tag(x)):
+                tags[k] = row
+    return tags
+
+
+def _cut(size: int, windows: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int]]:
+    """More windows, over the ends of spans that reach the last character read on their side."""
+    first, last, done = set(), set(), -1
+    for start, width in sorted(windows):
+        if start > done:
+            first.add(start)
+            last.add(done)
+        done = max(done, min(start + width, size))
+    last.add(done)
+    more = {max(s - STRIDE, 0) for _, s, _ in spans if s in first and s > 0} | {e - STRIDE for _, _, e in spans if e in last and e < size}
+    return [(at, WINDOW) for at in sorted(more)]
+
+
 def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
     """What the tagger adds to the base spans of each text."""
-    starts = [windows_of(t) for t in texts]
-    rows = [(n, s) for n, each in enumerate(starts) for s in each]
+    runs = [runs_of(t) for t in texts]
+    windows = [windows_of(t, r) for t, r in zip(texts, runs)]
+    rows = [(n, *w) for n, each in enumerate(windows) for w in each]
+    tags: list[list[np.ndarray]] = [[] for _ in texts]
+    spans: list[list[Span]] = [[] for _ in texts]
+    while rows:
+        for (n, _, _), row in zip(rows, _tags(texts, rows, tagger)):
+            tags[n].append(row)
+        read, rows = sorted({n for n, _, _ in rows}), []
+        for n in read:
+            spans[n] = reconcile(len(texts[n]), windows[n], tags[n], runs[n])
+            more = _cut(len(texts[n]), windows[n], spans[n])
+            windows[n] += more
+            rows += [(n, *w) for w in more]
     out: list[list[Span]] = [[] for _ in texts]
-    tags: list[np.ndarray] = []
-    for at in range(0, len(rows), 512):
-        x = np.full((len(rows[at : at + 512]), WINDOW), PAD)
-        for k, (n, s) in enumerate(rows[at : at + 512]):
-            piece = codes(texts[n][s : s + WINDOW])
-            x[k, : len(piece)] = piece
-        tags.append(tagger.tag(x))
-    every = np.concatenate(tags) if tags else np.zeros((0, WINDOW), np.int64)
-    row = 0
     for n, text in enumerate(texts):
-        mine = every[row : row + len(starts[n])]
-        row += len(starts[n])
         taken = sorted((s, e) for _, s, e in base[n])
-        for kind, start, end in reconcile(len(text), starts[n], mine):
+        for kind, start, end in spans[n]:
             while start < end and not (text[start].isalnum() or text[start] in "+("):
                 start += 1
             while end > start and not text[end - 1].isalnum():
