@@ -8,10 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import bpe, decontaminate, licenses, line_frequency, line_spread, personal_data, phrases, signature_tree, suffix_arrays, token_files
+from tableprobe.llm import (
+    alignment,
+    bpe,
+    collocations,
+    decontaminate,
+    licenses,
+    line_frequency,
+    line_spread,
+    neighbours,
+    personal_data,
+    phrases,
+    signature_tree,
+    suffix_arrays,
+    token_files,
+)
 from tableprobe.plans.storage import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -168,3 +183,52 @@ def op10_personal_data(spark, sf_dir):
     found = personal_data.find_personal_data(table(spark, sf_dir, "documents"))
     counts = [f"n_{k}" for k in personal_data.KINDS]
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op11_pair_bitmaps(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM split GROUP BY 1),
+phrases AS (
+  SELECT lang, m, w[i:i + m - 1] AS words, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM split, range(1, 6) AS s(m) WHERE len(w) >= m)
+  GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+candidates AS (SELECT * FROM phrases WHERE m > 1),
+inside AS (
+  SELECT DISTINCT lang, words[k:k + p - 1] AS words, f
+  FROM candidates, range(2, 5) AS a(p), range(1, 5) AS b(k) WHERE p < m AND k + p - 1 <= m),
+kept AS (
+  SELECT c.* FROM candidates c
+  WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.words = c.words AND i.f >= c.f)),
+cuts AS (
+  SELECT c.lang, c.words, c.f AS a, k, x.f AS l, y.f AS r, t.n,
+    CAST((CAST(1000 AS HUGEINT) * c.f * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM kept c, range(1, 5) AS s(k), phrases x, phrases y, totals t
+  WHERE k < c.m AND x.lang = c.lang AND x.words = c.words[1:k] AND y.lang = c.lang AND y.words = c.words[k + 1:c.m] AND t.lang = c.lang),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS place FROM cuts),
+ranked AS (
+  SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank
+  FROM weakest WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query
+def op13_pruned_graph(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))

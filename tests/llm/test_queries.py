@@ -38,7 +38,7 @@ def result(spark, name, *columns):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
