@@ -19,6 +19,7 @@ import os
 import struct
 from collections.abc import Iterator
 from functools import cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from tableprobe.llm.recurring import pack, unpack
 from tableprobe.plans.storage import materialize
 
 #: Pieces a worker remembers; bounds its memory, not the result.
-PIECES_REMEMBERED = 150_000
+PIECES_REMEMBERED = 300_000
 #: (pair, document) entries after which a block of documents is closed.
 BLOCK_ENTRIES = 1_200_000
 #: Documents in a block at most: their numbers take 16 bits.
@@ -152,6 +153,8 @@ class Aligner(PieceTable):
         self.key_ends = np.zeros(1, np.int64)
 
     def _align(self, pieces: list[str]) -> list[tuple]:
+        # a text begins with a blank that its first piece may not show
+        pieces = [x if x[0] in " \n" else f" {x}" for x in pieces]
         raw = [x.encode() for x in pieces]
         a = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         # the model puts a blank before each text: a piece's own, or one that is taken off again
@@ -159,11 +162,11 @@ class Aligner(PieceTable):
         b = [ids if x[0] == " " else ids[1:] for x, ids in zip(pieces, b)]
         odd = np.zeros(len(pieces), bool)
         whole = b"".join(raw)
-        if any(b"".join([known[n] for ids in found for n in ids]) != whole for known, found in ((self.a_bytes, a), (self.b_bytes, b))):
+        if any(b"".join(map(known.__getitem__, chain.from_iterable(found))) != whole for known, found in ((self.a_bytes, a), (self.b_bytes, b))):
             for k, x in enumerate(raw):
                 if any(b"".join([known[n] for n in found[k]]) != x for known, found in ((self.a_bytes, a), (self.b_bytes, b))):
                     odd[k], a[k], b[k], raw[k] = True, [], [], b""
-        a_ids, b_ids = (np.fromiter((n for ids in x for n in ids), np.int64) for x in (a, b))
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
         ends, a_group, b_group = aligned(np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids]))
         piece = np.searchsorted(np.cumsum([len(x) for x in raw]), ends)
         group, keys, times = links(a_group, a_ids, b_group, b_ids)
@@ -186,14 +189,14 @@ class Aligner(PieceTable):
         count = int(groups.sum())
         a, b = [*map(str, a_ids.tolist())], [*map(str, b_ids.tolist())]
         a_at, b_at = (np.searchsorted(x, np.arange(count + 1)).tolist() for x in (a_group, b_group))
-        each = [f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:])]
+        each = [f"{a[i]}|{b[k]}" if j - i == 1 == m - k else f"{','.join(a[i:j])}|{','.join(b[k:m])}" for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:])]
         ends = np.cumsum(groups).tolist()
         return (";".join(each[i:j]).encode() for i, j in zip([0, *ends], ends))
 
     def documents(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray], list[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Numbers per text, digests of the groups, and (pair, text, links) of all texts."""
         filled = [k for k, x in enumerate(texts) if x]
-        numbers, counts = self.numbers([f" {texts[k]}" for k in filled])
+        numbers, counts = self.numbers([f" {texts[k]}" if texts[k][0] in " \n" else texts[k] for k in filled])
         text = np.repeat(np.array(filled, np.int64), counts)
         fine = np.bincount(text, self.tokens["odd"][numbers], len(texts)) == 0
         text, numbers = text[fine[text]], numbers[fine[text]]
