@@ -27,10 +27,8 @@ from tableprobe.plans.frequency import (
     column_quantiles,
     distinct_counts,
     number_counts,
-    quantiles_of_counts,
     value_counts,
 )
-from tableprobe.plans.ordered import size_bound
 
 
 def _filled(df: DataFrame, name: str) -> Column:
@@ -238,7 +236,11 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None, appr
         distinct = F.hll_sketch_estimate(F.hll_sketch_agg(x.cast("string"), F.lit(12)))
         ranks = per_column(df, values, {"distinct": distinct, "q": q}).drop("position")
     else:
-        ranks = quantiles_of_counts(number_counts(df, names), ["column"], quartiles, size_bound(df)).drop("n")
+        q = column_quantiles(df, names, quartiles)
+        distinct = number_counts(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+        known = report_frame(df.sparkSession, [(c, *q[c]) for c in names], "column string, q0 double, q1 double, q2 double")
+        # Both sides have one row per column.
+        ranks = known.join(F.broadcast(distinct), "column", "left").select("column", "distinct", F.array("q0", "q1", "q2").alias("q"))
     gap = F.col("rows") - F.col("count")
     # Both sides have one row per column.
     return moments.join(F.broadcast(ranks), "column", "left").select(

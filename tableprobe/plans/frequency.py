@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from tableprobe.functions.columns import as_number, col, is_integral, is_numeric, is_text
 from tableprobe.functions.frames import per_column, report_frame
 from tableprobe.functions.text import short_key
-from tableprobe.plans.ordered import chunk_rows, running, size_bound
+from tableprobe.plans.ordered import chunk_rows, running
+from tableprobe.plans.selection import selected_quantiles
 from tableprobe.plans.storage import materialize
 
 
@@ -112,19 +113,7 @@ def quantiles_of_counts(
     return found.select(*by, "n", "distinct", F.array(*q).alias("q"))
 
 
-def column_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    rows_per_chunk: int | None = None,
-) -> dict[str, list[float | None]]:
+def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact quantiles of a few columns, as plain numbers (one short list per column)."""
-    columns = [c for c in columns if is_numeric(df.schema[c].dataType)]
-    if not columns:
-        return {}
-    table = quantiles_of_counts(
-        number_counts(df, columns), ["column"], probabilities, size_bound(df), rows_per_chunk
-    )
-    out = {r["column"]: list(r["q"]) for r in table.collect()}  # one row per column
-    empty = [None] * len(probabilities)
-    return {c: out.get(c) or empty for c in columns}
+    numbers = {c: as_number(col(c), df.schema[c].dataType) + F.lit(0.0) for c in columns if is_numeric(df.schema[c].dataType)}
+    return selected_quantiles(df, numbers, probabilities) if numbers else {}
