@@ -8,7 +8,7 @@ from catalog.base import Section, derived, derived_sql, quote_list, table, ts_te
 from catalog.typing import clean
 from tableprobe.functions.frames import report_frame
 from tableprobe.functions.text import DATE_NULL_TOKENS
-from tableprobe.operators import dates, prepare as op
+from tableprobe.operators import dates, detect, prepare as op
 
 S = Section()
 DATES = quote_list(DATE_NULL_TOKENS)
@@ -121,6 +121,51 @@ def parse_datetime_inferred(spark, sf):
     return dates.parse_datetime(_mixed(spark, sf), "stamp", dayfirst=True)[0]
 
 
+# Form -> (pattern to write a time in, what is left of it in SQL).
+FORMS = (
+    ("MM/dd/yy", "date_trunc('day', ts)"),
+    ("MM/dd/yyyy h:mm a", "date_trunc('minute', ts)"),
+    ("HH:mm", "TIMESTAMP '1970-01-01' + (date_trunc('minute', ts) - date_trunc('day', ts))"),
+    ("MMM yyyy", "date_trunc('month', ts)"),
+    ("yyyy-MM", "date_trunc('month', ts)"),
+    ("EEE, dd MMM yyyy HH:mm:ss", "date_trunc('second', ts)"),
+    ("yyyy-MM-dd HH:mm:ss.SSSSSS'789'", "ts"),
+)
+
+
+def _written(form: str):
+    return F.date_format(F.col("ts").cast("timestamp"), form)
+
+
+@S.add(
+    "parse_datetime_forms",
+    f"SELECT event_id, CASE event_id % {len(FORMS) + 1} "
+    + " ".join(f"WHEN {k} THEN {ts_text(f'CAST({left} AS TIMESTAMP)')}" for k, (_, left) in enumerate(FORMS))
+    + " END AS stamp FROM events",
+)
+def parse_datetime_forms(spark, sf):
+    """Every event's time in one of seven written forms, or a text that is no date."""
+    text = F.lit("no 7th of anything")
+    for k, (form, _) in enumerate(FORMS):
+        text = F.when(F.col("event_id") % (len(FORMS) + 1) == k, _written(form)).otherwise(text)
+    return dates.parse_datetime(table(spark, sf, "events").select("event_id", text.alias("stamp")), "stamp")[0]
+
+
+@S.add(
+    "detect_datetime_forms",
+    "\nUNION ALL\n".join(
+        f"SELECT 'form_{k}' AS \"column\", 'parseable' AS detected, round(100.0 * count(*) FILTER (event_id % 20 <> {k}) / count(*), 6) AS confidence,"
+        f" count(*) FILTER (event_id % 20 = {k}) AS invalid FROM events"
+        for k in range(len(FORMS))
+    ),
+)
+def detect_datetime_forms(spark, sf):
+    """A column in each form, each with other rows that are no dates, beside one of words."""
+    events = table(spark, sf, "events")
+    columns = [F.when(F.col("event_id") % 20 == k, "soon").otherwise(_written(form)).alias(f"form_{k}") for k, (form, _) in enumerate(FORMS)]
+    return detect.datetime_detection_summary(events.select(*columns, F.col("event_type").alias("kind")))
+
+
 @S.add(
     "parse_datetime_stats",
     "WITH c AS (SELECT count(*) AS total, count_if(event_id % 4 <> 0)::BIGINT AS n, count_if(event_id % 4 = 2)::BIGINT AS ok FROM events) "

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tableprobe.functions.dateforms import timestamp_by_shape
 from tableprobe.functions.text import DATE_NULL_TOKENS, clean_text
 
 # The format presets offered to users, in builder notation, in order.
@@ -158,12 +159,12 @@ def infer_timestamp(c: Column, dayfirst: bool = False) -> Column:
             .when(t.rlike(_YEAR_LAST), F.coalesce(swapped(t, first), swapped(t, second)))
             .when(t.rlike(_COMPACT) & F.length(t).isin(8, 12, 14), _from_parts(F.regexp_replace(t, _COMPACT, "$1-$2-$3 $4:$5:$6")))
             .when(t.rlike(_CLOCK), _from_parts(F.concat(F.lit("1970-01-01 "), t)))
-            .when(t.rlike(_NAMED), _named(t))
             .when(t.rlike(_ZONED), t.try_cast("timestamp"))
+            .otherwise(F.coalesce(F.when(t.rlike(_NAMED), _named(t)), timestamp_by_shape(t, dayfirst)))
         )
 
-    # Dates are short and hold a digit, which lets most free text skip the shapes.
-    return let(c, lambda t: F.when(F.length(t).between(5, 40) & t.rlike(r"\d"), read(t)))
+    # A date holds a digit, which lets most words skip the shapes.
+    return let(c, lambda t: F.when(t.rlike(r"[0-9]"), read(t)))
 
 
 def _named(t: Column) -> Column:
