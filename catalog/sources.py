@@ -108,6 +108,51 @@ def load_many_merged(spark, sf):
     return readers.load_many(spark, paths, lines=True)[0]
 
 
+_BAD = "o_orderkey % 25 IN (3, 4)"
+
+
+def _ragged(spark, sf, path):
+    """Orders as CSV lines, some with a field too many and some with one too few."""
+    key, customer, priority = (F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderpriority"))
+    line = F.when(F.col("o_orderkey") % 25 == 3, F.concat_ws(",", key, customer, priority, F.lit("more"))).when(F.col("o_orderkey") % 25 == 4, F.concat_ws(",", key, customer)).otherwise(F.concat_ws(",", key, customer, priority))
+    # one column under a name that is the header of three
+    lines = table(spark, sf, "orders").select(line.alias("o_orderkey,o_custkey,o_orderpriority"))
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    return path
+
+
+@S.add("load_table_malformed", f"SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE NOT ({_BAD})")
+def load_table_malformed(spark, sf):
+    return readers.load_table(spark, _ragged(spark, sf, f"{scratch_path(spark, 'ragged')}.csv"))[0]
+
+
+@S.add(
+    "load_table_malformed_lines",
+    "SELECT CASE o_orderkey % 25 WHEN 3 THEN concat_ws(',', o_orderkey, o_custkey, o_orderpriority, 'more') ELSE concat_ws(',', o_orderkey, o_custkey) END AS line "
+    f"FROM orders WHERE {_BAD}",
+)
+def load_table_malformed_lines(spark, sf):
+    return readers.load_table(spark, _ragged(spark, sf, f"{scratch_path(spark, 'ragged')}.csv"))[1]["malformed"].select("line")
+
+
+@S.add(
+    "load_many_malformed",
+    f"SELECT 'orders.csv' AS file, 'ok' AS status, count(*) FILTER (NOT ({_BAD})) AS rows, count(*) FILTER ({_BAD}) AS malformed FROM orders UNION ALL "
+    "SELECT 'supplier.jsonl', 'ok', count(*) FILTER (s_suppkey % 7 <> 2), count(*) FILTER (s_suppkey % 7 = 2) FROM supplier UNION ALL "
+    "SELECT 'customer.csv', 'ok', count(*), 0 FROM customer",
+)
+def load_many_malformed(spark, sf):
+    folder = scratch_path(spark, "many")
+    paths = [f"{folder}/orders.csv", f"{folder}/supplier.jsonl", f"{folder}/customer.csv"]
+    _ragged(spark, sf, paths[0])
+    record = F.to_json(F.struct("s_suppkey", "s_name"))
+    broken = F.when(F.col("s_suppkey") % 7 == 2, F.substring(record, 1, 12)).otherwise(record)
+    table(spark, sf, "supplier").select(broken.alias("value")).write.text(paths[1])
+    writers.write_csv(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), paths[2])
+    _, report = readers.load_many(spark, paths)
+    return report["files"].select("file", "status", "rows", "malformed")
+
+
 def _exported(spark, sf, name, fmt):
     folder = scratch_path(spark, "round-trip")
     file = writers.export_table(table(spark, sf, name), folder, fmt, name).first()["name"]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableprobe.functions.columns import col, is_text
 from tableprobe.functions.frames import report_frame
@@ -43,6 +45,32 @@ def breaks_inside_quotes(spark: SparkSession, path: str | Sequence[str], encodin
     return bool(spark.read.text(_paths(path)).where(quotes % 2 == 1).limit(1).count())
 
 
+#: Column that holds a line which does not fit its file, and what readers may do with such lines.
+MALFORMED = "__malformed"
+MALFORMED_MODES = ("fail", "mark")
+
+
+def _marked(df: DataFrame, mode: str) -> DataFrame:
+    """The marked lines as an ordinary column: Spark refuses to read them without any other one."""
+    if mode != "mark":
+        return df
+    other = next(c for c in df.columns if c != MALFORMED)
+    always = F.length(F.substring(F.coalesce(col(other).cast("string"), F.lit("")), 1, 0)) >= 0
+    return df.withColumn(MALFORMED, F.when(always, col(MALFORMED)))
+
+
+def _check_mode(mode: str) -> None:
+    if mode not in MALFORMED_MODES:
+        raise ValueError(f"Unknown way to treat malformed lines {mode!r}; use one of: {', '.join(MALFORMED_MODES)}.")
+
+
+def _widest(spark: SparkSession, path: str | Sequence[str], delimiter: str) -> int:
+    """Fields of the line with the most delimiters; quoted ones count too, so it may be too many."""
+    line = F.col("value")
+    marks = F.length(line) - F.length(F.replace(line, F.lit(delimiter), F.lit("")))
+    return (spark.read.text(_paths(path)).agg(F.max(marks)).first()[0] or 0) // len(delimiter) + 1
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -51,12 +79,18 @@ def read_csv(
     delimiter: str = ",",
     multiline: bool | None = None,
     with_order: bool = False,
+    malformed: str = "fail",
 ) -> DataFrame:
     """Every column as text; types are decided later by looking at all values.
 
     ``multiline=None`` looks whether quoted values hold line breaks. Only then are
     files read whole; all others are split across tasks.
+
+    Lines with more or fewer fields than the header are never cut: with ``fail`` reading
+    them is an error, with ``mark`` they stand whole in the column ``__malformed``, which is
+    null for all others. Without a header the widest line decides; shorter ones end in nulls.
     """
+    _check_mode(malformed)
     if multiline is None:
         multiline = breaks_inside_quotes(spark, path, encoding)
     reader = (
@@ -68,13 +102,43 @@ def read_csv(
         .option("escape", '"')
         .option("inferSchema", False)
     )
+    if header:
+        names = reader.csv(_paths(path)).columns
+        mode = "FAILFAST" if malformed == "fail" else "PERMISSIVE"
+    else:
+        names, mode = [f"_c{i}" for i in range(_widest(spark, path, delimiter))], "PERMISSIVE"
+    marks = malformed == "mark" and header
+    fields = [T.StructField(n, T.StringType()) for n in (*names, *([MALFORMED] if marks else []))]
+    # a reader that skips fields it does not need would not notice that some are missing
+    reader = reader.schema(T.StructType(fields)).option("mode", mode).option("columnPruning", False).option("columnNameOfCorruptRecord", MALFORMED)
     df = reader.csv(_paths(path))
+    if not header:
+        df = _without_empty_end(df)
+        df = df.withColumn(MALFORMED, F.lit(None).cast("string")) if malformed == "mark" else df
     # A byte-order mark belongs to the file, not to the first name.
     clean = [c.lstrip("\ufeff") for c in df.columns]
     df = df if clean == df.columns else df.toDF(*clean)
+    df = _marked(df, malformed) if marks else df
     return df.withColumn(ORDER, file_order()) if with_order else df
 
 
+def _without_empty_end(df: DataFrame) -> DataFrame:
+    """Leave out the last columns as far as they hold nothing."""
+    filled = df.agg(*[F.count(col(c)).alias(c) for c in df.columns]).first()
+    used = max([i + 1 for i, c in enumerate(df.columns) if filled[c]], default=1)
+    return df.select(*[col(c) for c in df.columns[:used]])
+
+
+def malformed_lines(df: DataFrame) -> DataFrame:
+    """(file, line) of all lines that did not fit, from a table read with ``malformed="mark"``."""
+    return df.where(col(MALFORMED).isNotNull()).select(F.col("_metadata.file_name").alias("file"), col(MALFORMED).alias("line"))
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """The rows that did fit, without the mark."""
+    return df.where(col(MALFORMED).isNull()).drop(MALFORMED)
+
+
 def json_lines(spark: SparkSession, path: str) -> bool:
     """Whether the files hold one record per line, judged by the first line of each that is not blank.
 
@@ -91,11 +155,26 @@ def json_lines(spark: SparkSession, path: str) -> bool:
     return bool(kinds and kinds[0])
 
 
-def read_json(spark: SparkSession, path: str, lines: bool | None = None, with_order: bool = False) -> DataFrame:
-    """One record per line, which splits across tasks, or an array of records; ``lines=None`` looks which it is."""
+def read_json(
+    spark: SparkSession, path: str, lines: bool | None = None, with_order: bool = False, malformed: str = "fail"
+) -> DataFrame:
+    """One record per line, which splits across tasks, or an array of records; ``lines=None`` looks which it is.
+
+    Broken lines are an error with ``fail``; with ``mark`` they stand in ``__malformed``, as for CSV.
+    """
+    _check_mode(malformed)
     if lines is None:
         lines = json_lines(spark, path)
-    df = spark.read.option("multiLine", not lines).json(path)
+    reader = spark.read.option("multiLine", not lines)
+    # the columns are those of the records that can be read
+    fields = reader.option("mode", "DROPMALFORMED").json(path).schema.fields
+    if not fields:
+        raise ValueError(f"{path}: no line is a JSON record.")
+    if malformed == "mark":
+        schema = T.StructType([*fields, T.StructField(MALFORMED, T.StringType())])
+        df = _marked(reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).json(path), malformed)
+    else:
+        df = reader.schema(T.StructType(fields)).option("mode", "FAILFAST").json(path)
     return df.withColumn(ORDER, file_order()) if with_order else df
 
 
@@ -109,21 +188,33 @@ def extension_of(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def read_table(spark: SparkSession, path: str, with_order: bool = False, lines: bool | None = None, **options) -> DataFrame:
+def read_table(spark: SparkSession, path: str, with_order: bool = False, lines: bool | None = None, malformed: str = "fail", **options) -> DataFrame:
     """Read by extension, without cleaning. ``lines`` is for JSON, the other options for CSV."""
     kind = extension_of(path)
     if kind == "csv":
-        return read_csv(spark, path, with_order=with_order, **options)
+        return read_csv(spark, path, with_order=with_order, malformed=malformed, **options)
     if kind in ("json", "jsonl"):
-        return read_json(spark, path, lines=True if kind == "jsonl" else lines, with_order=with_order)
+        return read_json(spark, path, lines=True if kind == "jsonl" else lines, with_order=with_order, malformed=malformed)
     if kind in ("parquet", "pq"):
         return read_parquet(spark, path, with_order=with_order)
     raise ValueError(f"Unsupported file type {kind!r}; use one of: {', '.join(SUPPORTED)}.")
 
 
 def load_table(spark: SparkSession, path: str, **options) -> tuple[DataFrame, dict[str, Any]]:
-    """Read by extension, then clean: (table, report)."""
-    return sanitize(read_table(spark, path, **options))
+    """Read by extension, then clean: (table, report).
+
+    CSV lines with too many or too few fields and broken JSON lines are kept aside:
+    ``malformed`` in the report lists them as (file, line), ``malformed_per_file`` counts
+    them for every file. Both are DataFrames that cost nothing until they are used.
+    """
+    if extension_of(path) in ("parquet", "pq"):
+        df, report = sanitize(read_table(spark, path, **options))
+        none = report_frame(spark, [], "file string, line string")
+        return df, {**report, "malformed": none, "malformed_per_file": report_frame(spark, [], "file string, rows bigint, malformed bigint")}
+    marked = read_table(spark, path, malformed="mark", **options)
+    per_file = marked.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.count(col(MALFORMED)).alias("malformed"))
+    df, report = sanitize(whole_rows(marked))
+    return df, {**report, "malformed": malformed_lines(marked), "malformed_per_file": per_file}
 
 
 def header_names(values: Sequence[str | None]) -> list[str]:
@@ -163,12 +254,12 @@ def apply_header_overrides(
 def load_many(spark: SparkSession, paths: Sequence[str], **options) -> tuple[DataFrame | None, dict[str, Any]]:
     """Load each file, skip what fails or is empty, merge the rest.
 
-    The report holds ``files`` (one row per path with status and error), the schema
-    comparison, and the messages. Each file is parsed once here so that a broken
+    The report holds ``files`` (one row per path with status, lines that did not fit and
+    error), ``malformed`` with these lines, the schema comparison, and the messages. Each file is parsed once here so that a broken
     one is reported under its own name.
     """
     tables: dict[str, DataFrame] = {}
-    rows, messages = [], []
+    rows, aside, messages = [], [], []
     for path in paths:
         label = path.rstrip("/").rsplit("/", 1)[-1]
         if label in tables:
@@ -176,17 +267,21 @@ def load_many(spark: SparkSession, paths: Sequence[str], **options) -> tuple[Dat
         try:
             df, report = load_table(spark, path, **options)
             n = report["input_rows"]
+            bad = report["malformed"].count()
             if n == 0:
-                rows.append((label, "empty", 0, len(df.columns), "The file has no rows."))
+                rows.append((label, "empty", 0, len(df.columns), bad, "The file has no rows that fit its header." if bad else "The file has no rows."))
                 continue
             tables[label] = df
-            rows.append((label, "ok", n, len(df.columns), None))
+            aside.append(report["malformed"].withColumn("source", F.lit(label)))
+            rows.append((label, "ok", n, len(df.columns), bad, None))
+            messages += [f"{label}: {bad} lines do not fit and were kept aside."] if bad else []
             messages += [f"{label}: {m}" for m in sanitize_findings(report)]
         except Exception as error:  # a broken file must not stop the others
-            rows.append((label, "failed", 0, 0, str(error).splitlines()[0][:500]))
-    files = report_frame(spark, rows, "file string, status string, rows bigint, cols bigint, error string")
+            rows.append((label, "failed", 0, 0, 0, str(error).splitlines()[0][:500]))
+    files = report_frame(spark, rows, "file string, status string, rows bigint, cols bigint, malformed bigint, error string")
+    kept = reduce(DataFrame.unionByName, aside) if aside else report_frame(spark, [], "file string, line string, source string")
     if not tables:
-        return None, {"files": files, "messages": messages + ["No file could be loaded."]}
+        return None, {"files": files, "malformed": kept, "messages": messages + ["No file could be loaded."]}
     schemas = compare_schemas(spark, tables)
     merged, merge_report = merge_tables(tables)
-    return merged, {"files": files, "schemas": schemas, **merge_report, "messages": messages + merge_findings(schemas, merge_report)}
+    return merged, {"files": files, "malformed": kept, "schemas": schemas, **merge_report, "messages": messages + merge_findings(schemas, merge_report)}
