@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.llm.arrow import CHUNK_BYTES, chunks
@@ -105,11 +105,13 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_lines(measured: DataFrame, least: int, share: float) -> DataFrame:
-    """Lines in more documents of their host than ``least`` and than ``share`` of its documents."""
-    keys = F.transform("lines", lambda x: x["line"])
-    each = measured.select("host", F.array_min(keys).alias("version"), F.explode(F.array_distinct(keys)).alias("line"))
-    counts = each.groupBy("host", "line").agg(F.countDistinct("version").alias("documents"))
-    hosts = measured.groupBy("host").agg(F.count("*").alias("of"))
+    """Lines in more different documents of their host than ``least`` and than ``share`` of all its different ones.
+
+    Copies of one text are one document, on both sides of the share.
+    """
+    each = measured.select("host", "digest", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    counts = each.groupBy("host", "line").agg(F.countDistinct("digest").alias("documents"))
+    hosts = measured.groupBy("host").agg(F.countDistinct("digest").alias("of"))
     return counts.where(F.col("documents") > least).join(hosts, "host").where(F.col("documents") > share * F.col("of")).select("line")
 
 
@@ -121,7 +123,7 @@ def quality(
     share: float = 0.01,
     left: float = 0.3,
 ) -> DataFrame:
-    """One row per row of ``docs``: its measures, ``n_common_words``, ``base_failed`` and ``kept``.
+    """One row per row of ``docs``: its measures, ``n_common_words``, ``base_failed``, ``kept``, and ``common``, the keys of its common lines or null.
 
     ``kept`` is false for a document that fails the base rules or has less than
     ``left`` of its words outside common lines. A null text has no words (and fails);
@@ -130,34 +132,44 @@ def quality(
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text")
-    ).withColumn("digest", F.xxhash64("text"))
+    ).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
     fields = ", ".join(f"{m} long" for m in MEASURES)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, host string, digest long, {fields}, lines array<struct<line: long, words: long>>"
     measured = materialize(rows.select("doc_id", "host", "digest", "text").mapInArrow(_measured, schema))
     common = common_lines(measured, least, share)
     found = measured.select("doc_id", "digest", "host", F.explode("lines").alias("x")).select("doc_id", "digest", "host", "x.line", "x.words")
-    lost = found.join(common, "line", "left_semi").groupBy("doc_id", "digest", "host").agg(F.sum("words").alias("lost"))
+    lost = found.join(common, "line", "left_semi").groupBy("doc_id", "digest", "host").agg(F.sum("words").alias("lost"), F.collect_set("line").alias("common"))
     measured = measured.drop("lines")
     copies = measured.groupBy(*measured.columns).agg(F.count("*").alias("copies"))
     joined = copies.join(
         lost,
         copies["doc_id"].eqNullSafe(lost["doc_id"]) & (copies["digest"] == lost["digest"]) & (copies["host"] == lost["host"]),
         "left",
-    ).select(copies["*"], F.expr("coalesce(lost div copies, 0)").alias("n_common_words"))
+    ).select(copies["*"], F.expr("coalesce(lost div copies, 0)").alias("n_common_words"), "common")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = joined.withColumn("base_failed", failed).withColumn(
         "kept", ~failed & (F.col("n_words") - F.col("n_common_words") >= left * F.col("n_words"))
     )
     again = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
-    return out.withColumn("copy", again).select("doc_id", "host", "digest", *MEASURES, "n_common_words", "base_failed", "kept")
+    return out.withColumn("copy", again).select("doc_id", "host", "digest", *MEASURES, "n_common_words", "base_failed", "kept", "common")
+
+
+def _key(host: Column, line: Column) -> Column:
+    """``line_key`` of a line as it stands in a text."""
+    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    folded = F.btrim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))
+    return F.conv(F.substring(F.md5(F.concat(host, F.lit("\n"), folded)), 1, 15), 16, 10).cast("long")
 
 
 def good_documents(docs: DataFrame, doc_id: str = "doc_id", host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all their columns."""
-    kept = quality(docs, doc_id, host).where("kept").select(F.col("doc_id").alias("own_id"), F.col("host").alias("own_host"), F.col("digest").alias("own_digest")).distinct()
-    same = (
-        docs[doc_id].eqNullSafe(kept["own_id"])
-        & (F.coalesce(docs[host].cast("string"), F.lit("")) == kept["own_host"])
-        & (F.xxhash64(docs["text"].cast("string")) == kept["own_digest"])
-    )
-    return docs.join(kept, same, "left_semi")
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns; common lines are taken out of the text.
+
+    Null texts and texts without words fail the base rules and are gone; repeated rows
+    are treated alike, an empty table stays empty.
+    """
+    kept = quality(docs, doc_id, host).where("kept").groupBy(F.col("doc_id").alias("own_id"), F.col("host").alias("own_host"), F.col("digest").alias("own_digest")).agg(F.first("common").alias("own_common"))
+    text, name = docs["text"].cast("string"), F.coalesce(docs[host].cast("string"), F.lit(""))
+    same = docs[doc_id].eqNullSafe(kept["own_id"]) & (name == kept["own_host"]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == kept["own_digest"])
+    left = F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(kept["own_common"], _key(name, line)))
+    cleaned = F.when(kept["own_common"].isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
+    return docs.join(kept, same).select(*[cleaned.alias(c) if c == "text" else docs[c] for c in docs.columns])

@@ -64,8 +64,9 @@ WITH raw AS (
     unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
   FROM documents),
 lines AS (SELECT *, lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS folded FROM raw),
-texts AS (SELECT folded, digest, min(source) AS source, min(doc_id) AS doc_id FROM lines WHERE folded <> '' GROUP BY 1, 2),
-spread AS (SELECT folded, min(doc_id) AS first FROM texts GROUP BY 1 HAVING count(DISTINCT source) >= {min_sites}),
+spread AS (
+  SELECT folded, min(doc_id) AS first FROM lines WHERE folded <> ''
+  GROUP BY 1 HAVING count(DISTINCT source) >= {min_sites} AND count(DISTINCT digest) > 1),
 judged AS (SELECT doc_id, line, i, first IS NOT NULL AND first <> doc_id AS removed FROM lines LEFT JOIN spread USING (folded))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed), '')) AS kept_sha256
@@ -90,7 +91,7 @@ def op3_bpe(spark, sf_dir):
 
 @query
 def op4_line_frequency(spark, sf_dir):
-    columns = ("doc_id", *line_frequency.MEASURES, "n_common_words", "base_failed", "kept")
+    columns = ("doc_id", *line_frequency.MEASURES, "base_failed", "kept", "n_common_words")
     return line_frequency.quality(table(spark, sf_dir, "documents")).select(*columns)
 
 
@@ -103,11 +104,11 @@ lines AS (
 hashed AS (
   SELECT doc_id, source, line, len(w) AS words,
     CAST('0x' || substr(md5(source || chr(10) || array_to_string(w, ' ')), 1, 15) AS BIGINT) AS h FROM lines),
-versions AS (SELECT doc_id, min(h) AS version FROM hashed GROUP BY 1),
-hosts AS (SELECT source, count(*) AS n FROM d GROUP BY 1),
+texts AS (SELECT doc_id, md5(t) AS digest FROM d),
+hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY 1),
 common AS (
-  SELECT source, h FROM hashed JOIN versions USING (doc_id) JOIN hosts USING (source)
-  GROUP BY source, h, n HAVING count(DISTINCT version) > 20 AND count(DISTINCT version) > 0.01 * n),
+  SELECT source, h FROM hashed JOIN texts USING (doc_id) JOIN hosts USING (source)
+  GROUP BY source, h, n HAVING count(DISTINCT digest) > 20 AND count(DISTINCT digest) > 0.01 * n),
 lost AS (SELECT doc_id, sum(words) AS n_common_words FROM hashed SEMI JOIN common USING (source, h) GROUP BY 1),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY 1),
 places AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d),

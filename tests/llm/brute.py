@@ -124,23 +124,26 @@ def line_key(line):
 
 def line_spread(rows, min_sites):
     sites, first = defaultdict(set), {}
-    home = {}
-    for r in rows:
-        home[r["text"]] = min(home.get(r["text"], r["source"]), r["source"])
+    texts = defaultdict(set)
     for r in rows:
         for line in {line_key(x) for x in (r["text"] or "").split("\n")} - {""}:
-            sites[line].add(home[r["text"]])
+            sites[line].add(r["source"])
+            texts[line].add(r["text"])
             first[line] = min(first.get(line, r["doc_id"]), r["doc_id"])
     out = {}
     for r in rows:
         lines = (r["text"] or "").split("\n")
-        kept = [x for x in lines if len(sites[line_key(x)]) < min_sites or not line_key(x) or first[line_key(x)] == r["doc_id"]]
+        kept = [x for x in lines if len(sites[line_key(x)]) < min_sites or len(texts[line_key(x)]) < 2 or not line_key(x) or first[line_key(x)] == r["doc_id"]]
         out[r["doc_id"]] = (len(lines) - len(kept), "\n".join(kept))
     return out
 
 
+def line_hash(r, line):
+    return int(hashlib.md5(f"{r['source']}\n{' '.join(WORD.findall(line.translate(LOWER)))}".encode()).hexdigest()[:15], 16)
+
+
 def good(rows, least=20, share=0.01, left=0.3):
-    """Ids that the quality rules keep."""
+    """Ids that the quality rules keep, with the texts without common lines."""
     keys, words = {}, {}
     for r in rows:
         found = {}
@@ -150,19 +153,21 @@ def good(rows, least=20, share=0.01, left=0.3):
                 key = int(hashlib.md5(f"{r['source']}\n{' '.join(w)}".encode()).hexdigest()[:15], 16)
                 found.setdefault(key, []).append(len(w))
         keys[r["doc_id"]], words[r["doc_id"]] = found, WORD.findall(r["text"] or "")
-    versions, hosts = defaultdict(set), Counter(r["source"] for r in rows)
+    texts, hosts = defaultdict(set), Counter(s for s, _ in {(r["source"], r["text"] or "") for r in rows})
     for r in rows:
         for key in keys[r["doc_id"]]:
-            versions[key].add(min(keys[r["doc_id"]]))
-    out = set()
+            texts[key].add(r["text"])
+    out = {}
     for r in rows:
         w = words[r["doc_id"]]
         windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         often = Counter(windows)
         repeated = {j for i, x in enumerate(windows) if often[x] > 1 for j in range(i, i + 3)}
-        lost = sum(sum(n) for k, n in keys[r["doc_id"]].items() if len(versions[k]) > max(least, share * hosts[r["source"]]))
+        lost = sum(sum(n) for k, n in keys[r["doc_id"]].items() if len(texts[k]) > max(least, share * hosts[r["source"]]))
         if len(w) >= 50 and 100 * len(repeated) <= 50 * len(w) and len(w) - lost >= left * len(w):
-            out.add(r["doc_id"])
+            lines = (r["text"] or "").split("\n")
+            common = [len(texts[line_hash(r, x)]) > max(least, share * hosts[r["source"]]) for x in lines]
+            out[r["doc_id"]] = "\n".join(x for x, gone in zip(lines, common) if not gone)
     return out
 
 

@@ -102,7 +102,8 @@ def test_personal_data(spark, rows):
 
 def test_pipeline(spark, rows, tokenizer):
     items = pq.read_table(f"{SMALL}/benchmark.parquet").to_pylist()
-    docs = [r for r in rows if r["doc_id"] in brute.good(rows)]
+    good = brute.good(rows)
+    docs = [r | {"text": good[r["doc_id"]]} for r in rows if r["doc_id"] in good]
     changed = brute.line_spread(docs, 10)
     docs = [r | {"text": changed[r["doc_id"]][1]} for r in docs if changed[r["doc_id"]][0] == 0 or changed[r["doc_id"]][1].strip()]
     groups = brute.similar(docs)
