@@ -16,15 +16,19 @@ from tableprobe.plans.storage import materialize
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is one, follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not mostly lines common on their host."""
-    return line_frequency.good_documents(docs)
+    """Documents that pass the base rules and are not mostly lines common on their host, without these lines."""
+    return _measured(line_frequency.good_documents(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines are taken out; ``n_chars`` follows the text."""
-    cleaned = line_spread.without_boilerplate(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
+    return _measured(line_spread.without_boilerplate(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
