@@ -4,8 +4,11 @@ Every run of three words of a document is joined by hash with the runs of the
 license templates, and compared word by word. A hit at word ``at`` of the document
 and ``place`` of the template votes for the diagonal ``at - place``: a copy of the
 template puts all its votes on one diagonal. A word put in or left out moves the
-rest to a neighbouring diagonal, so neighbours are merged. A merged diagonal is
-verified by the share of the template that its hits cover and by its length.
+rest to a neighbouring diagonal, so neighbours are merged: from each diagonal on,
+those that follow at small steps and lie at most the template's length away. The
+merged votes are verified by the share of the template that they cover. A name that
+is repeated many times makes a long chain of diagonals, which is thus cut at every
+one of them and hides no notice.
 
 The templates are fixed text of this module, a few hundred runs; they are the only
 thing that is broadcast.
@@ -57,6 +60,8 @@ def license_spans(docs: DataFrame, key: list[str], templates=TEMPLATES) -> DataF
 
     A run that stands in several templates votes for each of them, and one that is
     repeated in the document votes for each of its diagonals; no vote is dropped.
+    A diagonal that covers as much alone as with its neighbours is a span by itself.
+    Spans of one notice may overlap. Documents without words have none.
     """
     found = find_windows(docs, key, template_runs(docs.sparkSession, templates), [RUN])
     votes = found.select(*key, "template", "label", "runs", "place", "at", (F.col("at") - F.col("place")).alias("diagonal"))
@@ -65,14 +70,21 @@ def license_spans(docs: DataFrame, key: list[str], templates=TEMPLATES) -> DataF
     )
     order = Window.partitionBy(*key, "template").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True))
-    grouped = diagonals.withColumn("band", F.sum(far.cast("int")).over(order))
-    spans = grouped.groupBy(*key, "template", "label", "runs", "band").agg(
-        (F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("runs")).alias("score"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
+    banded = diagonals.withColumn("far", far.cast("int")).withColumn("band", F.sum("far").over(order))
+    longest = max(len(text) for _, text in templates) // 2 + 1  # words, at most
+    ahead = F.collect_list(F.struct("band", "diagonal", "places", "low", "high")).over(order.rangeBetween(0, longest + NEAR))
+    mates = F.filter("ahead", lambda x: (x["band"] == F.col("band")) & (x["diagonal"] <= F.col("diagonal") + F.col("runs") + NEAR))
+    merged = banded.withColumn("ahead", ahead).withColumn("mates", mates)
+    covered = F.size(F.array_distinct(F.flatten(F.transform("mates", lambda x: x["places"]))))
+    alone = F.size("places") >= covered
+    spans = merged.select(
+        *key,
+        "label",
+        F.when(alone, F.col("low")).otherwise(F.array_min(F.transform("mates", lambda x: x["low"]))).alias("first_word"),
+        (F.when(alone, F.col("high")).otherwise(F.array_max(F.transform("mates", lambda x: x["high"]))) + RUN - 1).alias("last_word"),
+        (covered / F.col("runs")).alias("score"),
     )
-    verified = (F.col("score") >= COVER) & (F.col("high") - F.col("low") < 2 * F.col("runs") + NEAR)
-    return spans.where(verified).select(*key, "label", F.col("low").alias("first_word"), (F.col("high") + RUN - 1).alias("last_word"), "score")
+    return spans.where(F.col("score") >= COVER)
 
 
 def _phrase_places(words: Column, phrase: str) -> Column:

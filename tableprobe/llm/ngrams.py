@@ -15,13 +15,19 @@ def plain_words(text: str | Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def windows(words: Column, hashes: Column, n: int) -> Column:
-    """``at`` (from 0), ``n`` and ``hash`` of every window of ``n`` words; ``hashes`` are those of the words."""
+#: Window starts of a block. A row of a window carries its block's words, never those of the whole document.
+BLOCK = 32
+
+
+def windows(words: Column, hashes: Column, n: int, most: int | None = None) -> Column:
+    """``at`` (from 0), ``n`` and ``hash`` of every window of ``n`` words, or of the first ``most``; ``hashes`` are those of the words."""
 
     def window(i: Column) -> Column:
         return F.struct((i - 1).alias("at"), F.lit(n).alias("n"), F.xxhash64(F.slice(hashes, i, F.lit(n))).alias("hash"))
 
-    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    last = F.size(words) - (n - 1)
+    last = last if most is None else F.least(last, F.lit(most))
+    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, window)
 
 
@@ -29,15 +35,21 @@ def find_windows(docs: DataFrame, key: list[str], targets: DataFrame, lengths: l
     """Every place in ``docs`` (``key``, ``words``) where a target's words stand.
 
     ``targets`` has ``target`` (words), its ``hash`` and whatever is wanted beside
-    them; it is broadcast, so the caller has bounded it. Windows meet targets by
-    hash inside the scan stage, and their words are compared there too: only true
-    places leave it, with ``at``, the document's ``words`` and the target's columns.
+    them; it is broadcast, so the caller has bounded it. Documents are cut into
+    blocks of window starts, so the work grows with the length of a document and not
+    with its square. Windows meet targets by hash inside the scan stage, and their
+    words are compared there too: only true places leave it, with ``at`` and the
+    target's columns. A document without words has no places.
     """
-    hashed = docs.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    found = F.concat(*[windows(F.col("words"), F.col("hashes"), n) for n in lengths])
-    rows = hashed.select(*key, "words", F.inline(found))
-    joined = rows.join(F.broadcast(targets), "hash")
-    return joined.where(F.slice("words", F.col("at") + 1, F.col("n")) == F.col("target"))
+    room = BLOCK + max(lengths) - 1
+    firsts = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(firsts, lambda b: F.struct(b.alias("first"), F.slice("words", b + 1, F.lit(room)).alias("near")))
+    blocks = docs.select(*key, F.inline(cut))
+    hashed = blocks.withColumn("hashes", F.transform("near", lambda w: F.xxhash64(w)))
+    found = F.concat(*[windows(F.col("near"), F.col("hashes"), n, BLOCK) for n in lengths])
+    rows = hashed.select(*key, "first", "near", F.inline(found))
+    joined = rows.join(F.broadcast(targets), "hash").where(F.slice("near", F.col("at") + 1, F.col("n")) == F.col("target"))
+    return joined.withColumn("at", F.col("first") + F.col("at")).drop("first", "near")
 
 
 def hashed_targets(words: Column) -> Column:

@@ -44,6 +44,30 @@ def licenses(rows):
     return out
 
 
+def license_labels(text, templates, run=3, near=3, cover=0.6):
+    """Labels of the templates that the words of a text cover, diagonal by diagonal."""
+    words = PLAIN.findall((text or "").translate(LOWER))
+    found = {}
+    for label, notice in templates:
+        target = PLAIN.findall(notice.translate(LOWER))
+        runs = len(target) - run + 1
+        places = defaultdict(set)
+        for at in range(len(words) - run + 1):
+            for place in range(runs):
+                if words[at : at + run] == target[place : place + run]:
+                    places[at - place].add(place)
+        band, bands, last = 0, {}, None
+        for d in sorted(places):
+            band += last is not None and d - last > near
+            bands[d], last = band, d
+        for d in places:
+            mates = [e for e in places if bands[e] == bands[d] and d <= e <= d + runs + near]
+            score = len(set().union(*(places[e] for e in mates))) / runs
+            if score >= cover:
+                found[label] = max(found.get(label, 0), score)
+    return found
+
+
 def phrases(rows, width=13):
     words = {r["doc_id"]: (r["text"] or "").encode().split() for r in rows}
     first = {}

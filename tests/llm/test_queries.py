@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from check_sql import TABLES, compare
-from tableprobe.llm import line_spread
+from tableprobe.llm import licenses, line_spread
 from tableprobe.llm.queries import QUERIES, SQL
 from tests.conftest import SMALL, plan
 from tests.llm import brute
@@ -78,6 +78,9 @@ def test_licenses(spark, rows):
         assert set(base.split(",")) - {""} <= set(every.split(",")) and 0 <= score <= 1
         for phrase, label in notices:
             assert (phrase in r["text"]) == (label in every.split(",")), r["doc_id"]
+        more = brute.license_labels(r["text"], licenses.TEMPLATES)
+        assert set(every.split(",")) - {""} == set(base.split(",")) - {""} | set(more), r["doc_id"]
+        assert score == (1 if base else max(more.values(), default=0))
 
 
 def test_phrases(spark, rows):
