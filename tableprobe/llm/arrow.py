@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 
+Run = Callable[..., Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """``run`` gives freed memory back when its task ends; workers live on, and later stages need the room."""
+
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch], *args, **options) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches, *args, **options)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in the GNU C library
+            if trim:
+                trim(0)
+
+    return inner
+
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and where each row starts in them; nulls are empty."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.llm.arrow import CHUNK_BYTES, chunks
+from tableprobe.llm.arrow import CHUNK_BYTES, chunks, tidy
 from tableprobe.llm.words import Words, covered, mix, not_blank, span_hashes
 from tableprobe.plans.storage import materialize
 
@@ -94,6 +94,7 @@ def _lines(text: str, host: bytes) -> list[dict]:
     return [{"line": line_key(host, b" ".join(w)), "words": len(w)} for w in words if w]
 
 
+@tidy
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, size=CHUNK_BYTES // 2):
         values = _measure(batch.column("text"))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.llm.arrow import chunks, text_bytes
+from tableprobe.llm.arrow import chunks, text_bytes, tidy
 from tableprobe.llm.recurring import fold, grouped, pack, parts_for, recurring, unpack
 from tableprobe.llm.words import FACTOR, Words, mix, not_blank, span_hashes
 
@@ -64,16 +64,22 @@ class Scheme:
     cut: int
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
-    def units(self, column: pa.Array) -> Units:
+    @property
+    def slice_bytes(self) -> int:
+        """Text worked on at once: every unit costs about a hundred bytes, and a byte is a unit."""
+        return 1 << 20 if self.words else 1 << 18
+
+    def units(self, column: pa.Array, hashed: bool = True) -> Units:
+        none = np.zeros(0, np.uint64)
         if self.words:
             words = Words(column, not_blank())
-            grams, _ = words.grams(words.hashes(), self.gram)
+            grams = words.grams(words.hashes(), self.gram)[0] if hashed else none
             return Units(grams, words.text, words.start, words.end, words.data, words.first)
         data, first = text_bytes(column)
         n = len(data)
         at = np.arange(n)
         short = max(n - self.gram + 1, 0)
-        grams = span_hashes(data, at[:short], at[:short] + self.gram)
+        grams = span_hashes(data, at[:short], at[:short] + self.gram) if hashed else none
         return Units(grams, np.repeat(np.arange(len(first) - 1), np.diff(first)), at, at + 1, data, first)
 
     def anchors(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +97,8 @@ class Scheme:
             table = np.zeros(1 << 16, bool)
             table[(self.hot >> np.uint64(48)).astype(np.int64)] = True
             maybe = np.flatnonzero(table[(units.grams >> np.uint64(48)).astype(np.int64)])
-            common = maybe[np.isin(units.grams[maybe], self.hot)]
+            nearest = np.minimum(np.searchsorted(self.hot, units.grams[maybe]), len(self.hot) - 1)
+            common = maybe[self.hot[nearest] == units.grams[maybe]]
             order[common] |= LAST
         inside = units.text[:n] == units.text[self.window - 1 :]
         order |= np.arange(len(order), dtype=np.uint64)
@@ -115,7 +122,7 @@ def _owners(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _anchor_pairs(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, size=scheme.slice_bytes):
         units = scheme.units(batch.column("text"))
         places, inside = scheme.anchors(units)
         new = inside.copy()
@@ -124,8 +131,9 @@ def _anchor_pairs(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator
         yield units.grams[places[at]], _owners(batch)[units.text[at]]
 
 
+@tidy
 def _every_gram(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, size=scheme.slice_bytes):
         units = scheme.units(batch.column("text"))
         grams, _, _ = fold(units.grams, units.text[: len(units.grams)].astype(np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["key"])
@@ -162,6 +170,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((),) * 6, kinds)], list(COLUMNS))
 
 
+@tidy
 def _segments(batches: Iterator[pa.RecordBatch], scheme: Scheme, parts: int, ordered: bool) -> Iterator[pa.RecordBatch]:
     """Segments to compare (kind 0) and ranges already settled (kind 1).
 
@@ -188,7 +197,7 @@ def _segments(batches: Iterator[pa.RecordBatch], scheme: Scheme, parts: int, ord
         return _batch(rows)
 
     # copies are left out here and not by a filter, which would change the join's keys and cost another shuffle of the texts
-    for batch in chunks(b.filter(pc.equal(b.column("number"), b.column("rank"))) for b in batches):
+    for batch in chunks((b.filter(pc.equal(b.column("number"), b.column("rank"))) for b in batches), size=scheme.slice_bytes):
         found = _candidate_runs(batch, scheme)
         if len(found[0]):
             held.append(found)
@@ -246,6 +255,7 @@ def _candidate_runs(batch: pa.RecordBatch, scheme: Scheme) -> tuple:
 Compare = Callable[[list[tuple[int, int, int, bytes]]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+@tidy
 def _compare_parts(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by kind and part; a part is compared when it is complete."""
 
@@ -270,10 +280,11 @@ def _compare_parts(batches: Iterator[pa.RecordBatch], compare: Compare) -> Itera
         yield out([*_by_owner(*compare(held))])
 
 
+@tidy
 def _cut_out(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     """``n_units, n_removed, n_spans`` and what is left of each text."""
-    for batch in chunks(batches):
-        units = scheme.units(batch.column("text"))
+    for batch in chunks(batches, size=scheme.slice_bytes):
+        units = scheme.units(batch.column("text"), hashed=False)
         raw, first = units.data.tobytes(), units.first
         total, removed, spans, left = [], [], [], []
         whole = batch.column("whole").to_pylist()

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableprobe.llm.arrow import tidy
+
 #: Pairs that a task gathers before it folds and sends them.
 FOLD_PAIRS = 1_500_000
 
@@ -57,6 +59,7 @@ def _rows(kind: int, part: np.ndarray, keys: np.ndarray, owners: np.ndarray) ->
         yield kind, int(p), pack(k, o)
 
 
+@tidy
 def _send(batches: Iterator[pa.RecordBatch], pairs: Keys, parts: int) -> Iterator[pa.RecordBatch]:
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys, owners, several = fold(np.concatenate([k for k, _ in held]), np.concatenate([o for _, o in held]))
@@ -81,6 +84,7 @@ def _send(batches: Iterator[pa.RecordBatch], pairs: Keys, parts: int) -> Iterato
         yield flush(held)
 
 
+@tidy
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by part; each part is settled when it is complete."""
 
