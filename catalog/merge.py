@@ -33,6 +33,26 @@ def compare_schemas(spark, sf):
     return op.compare_schemas(spark, _parts(spark, sf))
 
 
+@S.add(
+    "type_survival",
+    "WITH k AS (SELECT o_orderkey, o_orderkey + 9007199254740992 AS amount FROM orders) "
+    "SELECT 'keys' AS \"table\", 'o_orderkey' AS \"column\", 'bigint' AS type, 'bigint' AS common_type, count(*) AS rows, count(o_orderkey) AS filled, count(o_orderkey) AS survive FROM k "
+    "UNION ALL SELECT 'keys', 'amount', 'bigint', 'double', count(*), count(amount), CAST(count_if(CAST(CAST(amount AS DOUBLE) AS BIGINT) = amount) AS BIGINT) FROM k "
+    "UNION ALL SELECT 'keys', 'code', 'string', 'string', count(*), count(o_comment), count(o_comment) FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN 'x' END AS o_comment FROM orders) "
+    "UNION ALL SELECT 'prices', 'amount', 'double', 'double', count(*), count(o_totalprice), count(o_totalprice) FROM orders "
+    "UNION ALL SELECT 'prices', 'code', 'bigint', 'string', count(*), count(o_custkey), count(o_custkey) FROM orders",
+)
+def type_survival(spark, sf):
+    """Long numbers that doubles do not hold, and numbers next to text."""
+    orders = table(spark, sf, "orders")
+    key, code = F.col("o_orderkey").cast("long"), F.when(F.col("o_orderkey") % 5 > 0, "x")
+    parts = {
+        "keys": orders.select(key.alias("o_orderkey"), (key + 9007199254740992).alias("amount"), code.alias("code")),
+        "prices": orders.select(F.col("o_totalprice").cast("double").alias("amount"), F.col("o_custkey").cast("long").alias("code")),
+    }
+    return op.type_survival(spark, parts)
+
+
 @S.add(
     "align_columns",
     "SELECT CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'pending' END AS part, o_orderkey, CAST(o_custkey AS STRING) AS o_custkey, "
@@ -115,6 +135,18 @@ def asof_join_by_user(spark, sf):
     return op.asof_join(left, right, "ts", by=["user_id"])
 
 
+@S.add(
+    "asof_join_all_types",
+    "WITH r AS (SELECT user_id, ts + INTERVAL 1 HOUR AS ts, max(event_id) AS earlier_id, arg_max(event_type, event_id) AS earlier_type FROM events GROUP BY ALL) "
+    f"SELECT l.user_id, l.event_id, l.event_type, {ts_text('l.ts')} AS ts, r.earlier_id, r.earlier_type FROM events l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts",
+)
+def asof_join_all_types(spark, sf):
+    """For every event, the latest one of the same user that is at least an hour older."""
+    e = table(spark, sf, "events")
+    right = e.select("user_id", F.expr("ts + INTERVAL 1 HOUR").alias("ts"), F.col("event_id").alias("earlier_id"), F.col("event_type").alias("earlier_type"))
+    return op.asof_join(e.select("user_id", "event_id", "event_type", "ts"), right, "ts", by=["user_id"], tie=["earlier_id"])
+
+
 @S.add(
     "time_align",
     "WITH a AS (SELECT 'views' AS source_file, event_id, ts, value FROM events WHERE event_type = 'view' UNION ALL SELECT 'clicks', event_id, ts, value FROM events WHERE event_type = 'click'), "
