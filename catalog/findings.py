@@ -145,12 +145,14 @@ def target_findings(spark, sf):
     return op.target_findings(derived(spark, sf, "gauges"), "returnflag")
 
 
-@S.add("merge_findings", "SELECT line FROM (SELECT 'open lacks 1 columns others have: o_orderpriority.' AS line UNION ALL SELECT '1 shared columns have different types across tables.') WHERE (SELECT count(*) FROM orders) > 0")
+@S.add("merge_findings", "SELECT line FROM (SELECT 'open lacks 1 columns others have: o_orderpriority.' AS line UNION ALL SELECT '1 shared columns have different types across tables.' UNION ALL "
+    "SELECT format('o_custkey becomes string: {} of {} filled cells keep their value.', count(CAST(o_custkey AS STRING)), count(o_custkey)) FROM orders) WHERE (SELECT count(*) FROM orders) > 0")
 def merge_findings(spark, sf):
     from catalog.merge import _parts
-    from tableprobe.operators.merge import compare_schemas
+    from tableprobe.operators.merge import compare_schemas, type_survival
 
-    lines = op.merge_findings(compare_schemas(spark, _parts(spark, sf)), {"merge": "stack"})
+    parts = _parts(spark, sf)
+    lines = op.merge_findings(compare_schemas(spark, parts), {"merge": "stack"}, type_survival(spark, parts))
     return report_frame(spark, [(line,) for line in lines], "line string")
 
 

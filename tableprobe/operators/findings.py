@@ -144,8 +144,12 @@ def target_findings(df: DataFrame, target: str) -> DataFrame:
     return measured.select(name.alias("rule"), F.col("feature").alias("subject"), value.alias("value"), text.alias("text"))
 
 
-def merge_findings(schemas: DataFrame, merge_report: dict[str, Any]) -> list[str]:
-    """Sentences about missing columns, clashing types and the merge that was chosen."""
+def merge_findings(schemas: DataFrame, merge_report: dict[str, Any], survival: DataFrame | None = None) -> list[str]:
+    """Sentences about missing columns, clashing types and the merge that was chosen.
+
+    With ``survival`` (from ``merge.type_survival``) each clashing column also says
+    how many of its filled cells keep their value in the common type.
+    """
     lines = []
     clashes: list[str] = []
     for r in schemas.collect():  # one row per input table
@@ -155,6 +159,10 @@ def merge_findings(schemas: DataFrame, merge_report: dict[str, Any]) -> list[str
             lines.append(f"{r['table']} lacks {len(r['missing'])} columns others have: {', '.join(r['missing'][:5])}{more}.")
     if clashes:
         lines.append(f"{len(clashes)} shared columns have different types across tables.")
+    if survival is not None:
+        kept = survival.groupBy("column", "common_type").agg(F.sum("filled").alias("filled"), F.sum("survive").alias("survive"), F.countDistinct("type").alias("types"))
+        for r in kept.where("types > 1").orderBy("column").collect():  # one row per clashing column
+            lines.append(f"{r['column']} becomes {r['common_type']}: {r['survive']} of {r['filled']} filled cells keep their value.")
     if merge_report.get("merge") == "time_align":
         used = ", ".join(f"{n}: {c}" for n, c in merge_report["time_columns"].items())
         lines.append(f"Tables were aligned on time ({used}).")
