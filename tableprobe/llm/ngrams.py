@@ -16,7 +16,7 @@ def plain_words(text: str | Column) -> Column:
 
 
 #: Window starts of a block. A row of a window carries its block's words, never those of the whole document.
-BLOCK = 32
+BLOCK = 64
 
 
 def windows(words: Column, hashes: Column, n: int, most: int | None = None) -> Column:
