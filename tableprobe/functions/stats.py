@@ -6,12 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def pair_correlation(a: Column, b: Column) -> Column:
-    """Pearson r over the rows where both sides are present; null for constants."""
-    sxy, sxx, syy = F.regr_sxy(a, b), F.regr_sxx(a, b), F.regr_syy(a, b)
-    return F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy))
-
-
 def sample_skewness(c: Column) -> Column:
     """Bias-corrected skewness; null below three values or without spread."""
     n = F.count(c).cast("double")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import as_number, col, is_floating, is_numeric, no_nan, numeric_columns, percent, present
 from tableprobe.functions.frames import one_row_per_column, report_frame
-from tableprobe.functions.stats import pair_correlation
 from tableprobe.operators.profile import numeric_statistics
+from tableprobe.plans.comoments import pair_correlations
+
 
 def _number(df: DataFrame, name: str) -> Column:
     return as_number(col(name), df.schema[name].dataType)
@@ -20,19 +21,12 @@ def _number(df: DataFrame, name: str) -> Column:
 def _pair_table(df: DataFrame, names: Sequence[str], target: str | None = None) -> DataFrame:
     """(position, a, b, r) for all pairs, or for each name with the target.
 
-    A row's numbers form one array and its pairs are two positions in it, so the
-    generated code is the same size for any number of columns. Pairs are folded
-    before the shuffle: what travels is one partial sum per pair and task.
+    All pairs come from matrix products over batches of rows, see ``plans/comoments.py``;
+    what travels is one row per column and task.
     """
     columns = [*names, *([target] if target else [])]
     p = len(columns)
-    row = df.select(F.array(*[_number(df, c) for c in columns]).alias("v"))
-    if target:
-        pairs = row.select("v", F.explode(F.sequence(F.lit(0), F.lit(p - 2))).alias("i")).withColumn("j", F.lit(p - 1))
-    else:
-        firsts = row.select("v", F.explode(F.sequence(F.lit(0), F.lit(p - 2))).alias("i"))
-        pairs = firsts.select("v", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(p - 1))).alias("j"))
-    r = pairs.groupBy("i", "j").agg(pair_correlation(F.get("v", "i"), F.get("v", "j")).alias("r"))
+    r = pair_correlations(df, [_number(df, c) for c in columns], target is not None).select("i", "j", "r")
     spine = [(i, p - 1) for i in range(p - 1)] if target else list(combinations(range(p), 2))
     labels = report_frame(
         df.sparkSession, [(n, i, j, columns[i], columns[j]) for n, (i, j) in enumerate(spine)], "position int, i int, j int, a string, b string"
