@@ -9,19 +9,9 @@ from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import is_numeric, numeric_columns
 from tableprobe.functions.frames import report_frame
-from tableprobe.operators.profile import (
-    column_health,
-    duplicate_summary,
-    missing_summary,
-    numeric_statistics,
-    outliers_iqr,
-    overview,
-    quality_status,
-    time_coverage,
-    top_values,
-    type_counts,
-)
-from tableprobe.operators.relate import correlation_matrix, feature_importance, target_correlations, top_correlations
+from tableprobe.operators.profile import duplicate_summary, missing_summary, numeric_statistics, outliers_iqr, top_values
+from tableprobe.operators.relate import correlation_matrix, feature_importance, strongest, target_correlations
+from tableprobe.operators.state import table_state
 from tableprobe.operators.typing import split_columns
 
 # When something is worth telling.
@@ -34,52 +24,68 @@ OUTLIER_PCT = 5.0
 SCHEMA = "rule string, subject string, value double, text string"
 
 
-def _finding(rule: str, subject: Column, value: Column, text: Column) -> list[Column]:
-    return [F.lit(rule).alias("rule"), subject.alias("subject"), value.cast("double").alias("value"), text.alias("text")]
+def _row(rule: str, subject: Column, value: Column, told: Column, limit: str | None = None) -> list[Column]:
+    """A finding as typed fields; its text only strings them together: rule, subject, what was measured, limit."""
+    parts = [F.concat(F.lit(rule), F.lit(":")), subject, told, F.lit(f"(limit {limit})" if limit else None)]
+    return [
+        F.lit(rule).alias("rule"),
+        subject.cast("string").alias("subject"),
+        value.cast("double").alias("value"),
+        F.concat_ws(" ", *parts).alias("text"),
+    ]
 
 
-def findings_missing(df: DataFrame) -> DataFrame:
-    """Columns missing a fifth or more; or one line when nothing is missing at all."""
-    gaps = missing_summary(df)
+def _nothing(rule: str, value: float | None, limit: str | None = None) -> list[Column]:
+    return _row(rule, F.lit(None).cast("string"), F.lit(value), F.lit("nothing"), limit)
+
+
+def _missing_lines(gaps: DataFrame) -> DataFrame:
     pct = F.col("missing_pct")
     high = gaps.where(pct >= MISSING_PCT).select(
-        *_finding("missing", F.col("column"), pct, F.format_string("Column %s has %.1f%% missing values.", F.col("column"), pct))
-    )
-    none = gaps.agg(F.sum("missing").alias("m")).where("m = 0").select(
-        *_finding("missing", F.lit(None).cast("string"), F.lit(0.0), F.lit("No missing values in the table."))
+        *_row("missing", F.col("column"), pct, F.format_string("%.1f %%", pct), f"{MISSING_PCT:.0f} %")
     )
+    none = gaps.agg(F.sum("missing").alias("m")).where("m = 0").select(*_nothing("missing", 0.0))
     return high.unionByName(none)
 
 
+def findings_missing(df: DataFrame) -> DataFrame:
+    """Columns missing a fifth or more; or one line when nothing is missing at all."""
+    return _missing_lines(missing_summary(df))
+
+
+def _duplicate_lines(repeated: DataFrame) -> DataFrame:
+    n, pct = F.col("duplicates"), F.col("duplicate_pct")
+    told = F.when(n > 0, F.format_string("%d rows, %.1f %%", n, pct)).otherwise("nothing")
+    return repeated.select(*_row("duplicates", F.lit(None).cast("string"), n, told))
+
+
 def findings_duplicates(df: DataFrame) -> DataFrame:
     """Always one line."""
-    n, pct = F.col("duplicates"), F.col("duplicate_pct")
-    text = F.when(n > 0, F.format_string("%d duplicate rows (%.1f%% of the table).", n, pct)).otherwise(F.lit("No duplicate rows."))
-    return duplicate_summary(df).select(*_finding("duplicates", F.lit(None).cast("string"), n, text))
+    return _duplicate_lines(duplicate_summary(df))
 
 
-def findings_correlation(df: DataFrame) -> DataFrame:
-    """Pairs with |r| of 0.7 or more; or one line when there are pairs but none is strong."""
-    if len(numeric_columns(df)) < 2:
-        return report_frame(df.sparkSession, [], SCHEMA)
-    pairs = correlation_matrix(df)
-    r = F.col("r")
-    subject = F.concat_ws(" ~ ", "a", "b")
-    word = F.when(r > 0, "positive").otherwise("negative")
+def _correlation_lines(pairs: DataFrame) -> DataFrame:
+    r, limit = F.col("r"), f"{STRONG_R:.2f}"
     strong = pairs.where(F.abs(r) >= STRONG_R).select(
-        *_finding("correlation", subject, r, F.format_string("Strong %s correlation (%.2f) between %s and %s.", word, F.abs(r), F.col("a"), F.col("b")))
+        *_row("correlation", F.concat_ws(" ~ ", "a", "b"), r, F.format_string("%+.2f", r), limit)
     )
     none = pairs.agg(F.coalesce(F.max(F.abs(r)), F.lit(0.0)).alias("best")).where(F.col("best") < STRONG_R).select(
-        *_finding("correlation", F.lit(None).cast("string"), F.lit(None), F.lit("No strongly correlated numeric pairs."))
+        *_nothing("correlation", None, limit)
     )
     return strong.unionByName(none)
 
 
+def findings_correlation(df: DataFrame) -> DataFrame:
+    """Pairs with |r| of 0.7 or more; or one line when there are pairs but none is strong."""
+    if len(numeric_columns(df)) < 2:
+        return report_frame(df.sparkSession, [], SCHEMA)
+    return _correlation_lines(correlation_matrix(df))
+
+
 def _skew_lines(stats: DataFrame) -> DataFrame:
     skew = F.col("skew")
-    side = F.when(skew > 0, "right").otherwise("left")
     return stats.where((F.col("count") >= 3) & (F.abs(skew) >= SKEW)).select(
-        *_finding("skew", F.col("column"), skew, F.format_string("%s is %s-skewed (skew = %.2f).", F.col("column"), side, skew))
+        *_row("skew", F.col("column"), skew, F.format_string("%+.2f", skew), f"{SKEW:.2f}")
     )
 
 
@@ -87,41 +93,51 @@ def findings_skew(df: DataFrame) -> DataFrame:
     return _skew_lines(numeric_statistics(df))
 
 
+def _dominant_lines(top: DataFrame) -> DataFrame:
+    pct = F.col("pct")
+    return top.where(pct >= DOMINANT_PCT).select(
+        *_row("dominant", F.col("column"), pct, F.format_string("'%s' %.1f %%", F.col("value"), pct), f"{DOMINANT_PCT:.0f} %")
+    )
+
+
 def findings_dominant(df: DataFrame) -> DataFrame:
     """Categories where one value has 60 % or more."""
     names = split_columns(df)["categorical"]
     if not names:
         return report_frame(df.sparkSession, [], SCHEMA)
-    pct = F.col("pct")
-    return top_values(df, names, 1).where(pct >= DOMINANT_PCT).select(
-        *_finding("dominant", F.col("column"), pct, F.format_string("%s is dominated by '%s' (%.1f%% of values).", F.col("column"), F.col("value"), pct))
-    )
+    return _dominant_lines(top_values(df, names, 1))
 
 
-def findings_outliers(df: DataFrame) -> DataFrame:
-    """Columns where the quartile fences leave out 5 % or more."""
-    pct = F.col("outlier_pct")
-    return outliers_iqr(df).where((F.col("outliers") > 0) & (pct >= OUTLIER_PCT)).select(
-        *_finding("outliers", F.col("column"), pct, F.format_string("%s has %d outliers (%.1f%%).", F.col("column"), F.col("outliers"), pct))
+def _outlier_lines(outliers: DataFrame) -> DataFrame:
+    n, pct = F.col("outliers"), F.col("outlier_pct")
+    return outliers.where((n > 0) & (pct >= OUTLIER_PCT)).select(
+        *_row("outliers", F.col("column"), pct, F.format_string("%d values, %.1f %%", n, pct), f"{OUTLIER_PCT:.0f} %")
     )
 
 
-RULES = (
-    findings_missing,
-    findings_duplicates,
-    findings_correlation,
-    findings_skew,
-    findings_dominant,
-    findings_outliers,
-)
+def findings_outliers(df: DataFrame) -> DataFrame:
+    """Columns where the quartile fences leave out 5 % or more."""
+    return _outlier_lines(outliers_iqr(df))
 
 
 def findings(df: DataFrame) -> DataFrame:
-    """(position, rule, subject, value, text): all rules in order, strongest first within a rule."""
-    parts = [rule(df).withColumn("position", F.lit(i)) for i, rule in enumerate(RULES)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """(position, rule, subject, value, text): all rules in order, strongest first within a rule.
+
+    All of them come from one profile of the table, see ``operators/state.py``.
+    """
+    known = table_state(df, all_values=False, top_share=DOMINANT_PCT)
+    several = sum(1 for c in known.columns if c["numeric"]) > 1
+    parts = [
+        _missing_lines(known.missing()),
+        _duplicate_lines(known.repeated()),
+        _correlation_lines(known.correlations()) if several else report_frame(df.sparkSession, [], SCHEMA),
+        _skew_lines(known.statistics()),
+        _dominant_lines(known.dominant()),
+        _outlier_lines(known.outliers()),
+    ]
+    out = parts[0].withColumn("position", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        out = out.unionByName(p.withColumn("position", F.lit(i)))
     return out.select("position", "rule", "subject", "value", "text").orderBy("position", F.abs("value").desc_nulls_last(), "subject")
 
 
@@ -185,16 +201,18 @@ def sanitize_findings(report: dict[str, Any]) -> list[str]:
 
 
 def report_tables(df: DataFrame, top: int = 5) -> dict[str, DataFrame]:
-    """The content of a report, one table per section."""
+    """The content of a report, one table per section, all from one profile."""
+    known = table_state(df)
+    pairs = known.correlations()
     return {
-        "overview": overview(df),
-        "quality": quality_status(df),
-        "types": type_counts(df),
-        "time_coverage": time_coverage(df),
-        "column_health": column_health(df),
-        "numeric": numeric_statistics(df),
-        "correlation": correlation_matrix(df).drop("position"),
-        "top_correlations": top_correlations(df, top),
+        "overview": known.overview(),
+        "quality": known.quality(),
+        "types": known.types(),
+        "time_coverage": known.coverage(),
+        "column_health": known.health(),
+        "numeric": known.statistics(),
+        "correlation": pairs.drop("position"),
+        "top_correlations": strongest(pairs, top),
     }
 
 

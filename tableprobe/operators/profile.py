@@ -71,6 +71,24 @@ def missing_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def row_keys(flat: DataFrame) -> list[Column]:
+    """k0, k1, ...: one for each column, equal when the cells of two rows count as equal."""
+    keys = []
+    for i, c in enumerate(flat.columns):
+        dtype, x = flat.schema[c].dataType, _filled(flat, c)
+        if is_floating(dtype):
+            x = x + F.lit(0.0)
+        elif is_time(dtype):
+            x = F.unix_micros(x.cast("timestamp"))  # text forms of a time may drop digits
+        keys.append(x.alias(f"k{i}"))
+    return keys
+
+
+def row_digest(keys: Sequence[str | Column]) -> Column:
+    """32 bytes that stand for the content of a row."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*keys)), 256))
+
+
 def _identical_rows(df: DataFrame) -> DataFrame:
     """(n, gaps): size of each group of identical rows and missing cells per row.
 
@@ -80,14 +98,7 @@ def _identical_rows(df: DataFrame) -> DataFrame:
     the row.
     """
     flat, _ = stringify_nested(df)
-    keys = []
-    for i, c in enumerate(flat.columns):
-        dtype, x = flat.schema[c].dataType, _filled(flat, c)
-        if is_floating(dtype):
-            x = x + F.lit(0.0)
-        elif is_time(dtype):
-            x = F.unix_micros(x.cast("timestamp"))  # text forms of a time may drop digits
-        keys.append(x.alias(f"k{i}"))
+    keys = row_keys(flat)
     names = [f"k{i}" for i in range(len(keys))]
     rows = flat.select(*keys)
     gaps = F.lit(0)
@@ -95,7 +106,7 @@ def _identical_rows(df: DataFrame) -> DataFrame:
         gaps = gaps + F.col(k).isNull().cast("int")
     wide = len(names) > 8 or any(is_text(f.dataType) for f in flat.schema.fields)
     if wide:
-        digest = F.unhex(F.sha2(F.to_json(F.struct(*names)), 256))
+        digest = row_digest(names)
         return rows.groupBy(digest.alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.max(gaps).alias("gaps"))
     return rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).select("n", gaps.alias("gaps"))
 
@@ -241,9 +252,14 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None, appr
         known = report_frame(df.sparkSession, [(c, *q[c]) for c in names], "column string, q0 double, q1 double, q2 double")
         # Both sides have one row per column.
         ranks = known.join(F.broadcast(distinct), "column", "left").select("column", "distinct", F.array("q0", "q1", "q2").alias("q"))
-    gap = F.col("rows") - F.col("count")
     # Both sides have one row per column.
-    return moments.join(F.broadcast(ranks), "column", "left").select(
+    return statistics_of(moments.join(F.broadcast(ranks), "column", "left"))
+
+
+def statistics_of(columns: DataFrame) -> DataFrame:
+    """The table of ``numeric_statistics`` from moments, ``distinct`` and three quartiles ``q``."""
+    gap = F.col("rows") - F.col("count")
+    return columns.select(
         "column",
         "count",
         gap.alias("missing"),
@@ -350,6 +366,11 @@ def column_health(df: DataFrame, approx: bool = False) -> DataFrame:
     filled = _completeness(flat)
     unique = distinct_counts(flat, flat.columns, approx)
     types = F.create_map(*[x for n, t in df.dtypes for x in (F.lit(n), F.lit(t))])
+    return health_of(filled.join(F.broadcast(unique), "column", "left").withColumn("type", types[F.col("column")]), approx)
+
+
+def health_of(columns: DataFrame, approx: bool = False) -> DataFrame:
+    """Status of each column, from (position, column, type, rows, filled, unique)."""
     distinct = F.coalesce("unique", F.lit(0))
     share = percent(F.col("rows") - F.col("filled"), F.col("rows"))
     status = (
@@ -360,8 +381,7 @@ def column_health(df: DataFrame, approx: bool = False) -> DataFrame:
         .otherwise("OK")
     )
     return (
-        filled.join(F.broadcast(unique), "column", "left")
-        .select("position", "column", types[F.col("column")].alias("type"), share.alias("missing_pct"), distinct.alias("unique"), status.alias("status"))
+        columns.select("position", "column", "type", share.alias("missing_pct"), distinct.alias("unique"), status.alias("status"))
         .orderBy(F.desc("missing_pct"), "position")
         .drop("position")
     )
@@ -377,6 +397,11 @@ def time_coverage(df: DataFrame) -> DataFrame:
     spans = per_column(
         df, {c: col(c).cast("timestamp") for c in names}, {"start": F.min(t), "end": F.max(t), "non_null": F.count(t)}
     )
+    return widest_span(spans)
+
+
+def widest_span(spans: DataFrame) -> DataFrame:
+    """The time column to show, from (position, column, start, end, non_null)."""
     span = (F.unix_micros("end") - F.unix_micros("start")) / F.lit(1e6)
     return (
         spans.withColumn("duration_seconds", span)
@@ -395,6 +420,11 @@ def quality_status(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("n") * F.col("gaps")), F.lit(0)).alias("missing_cells"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
     )
+    return graded_quality(one)
+
+
+def graded_quality(one: DataFrame) -> DataFrame:
+    """Shares and grades, from (rows, columns, missing_cells, duplicates)."""
     missing = percent(F.col("missing_cells"), F.col("rows") * F.col("columns"))
     repeated = percent(F.col("duplicates"), F.col("rows"))
 

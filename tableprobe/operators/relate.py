@@ -45,10 +45,14 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 def top_correlations(df: DataFrame, n: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
     """The strongest pairs with strength and direction words."""
+    return strongest(correlation_matrix(df, columns), n)
+
+
+def strongest(pairs: DataFrame, n: int) -> DataFrame:
+    """The same, from (position, a, b, r)."""
     size = F.abs("r")
     return (
-        correlation_matrix(df, columns)
-        .where("r is not null")
+        pairs.where("r is not null")
         .orderBy(size.desc(), "position")
         .limit(n)
         .select(

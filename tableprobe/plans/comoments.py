@@ -8,6 +8,7 @@ out by that column, so that no task merges the whole matrix of a wide table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,9 +21,11 @@ CELLS = 1_000_000
 
 #: n rows with both, means, squared deviations and the product of deviations.
 MOMENTS = ("n", "mx", "my", "sxx", "syy", "sxy")
-STATE = "i int, " + ", ".join(f"{m} array<double>" for m in MOMENTS)
+STATE = "i int, outside bigint, " + ", ".join(f"{m} array<double>" for m in MOMENTS)
 
 State = tuple[np.ndarray, ...]
+#: Lowest and highest value that is not outside; None without values.
+Fence = tuple[float | None, float | None] | None
 
 
 def merged(a: State, b: State) -> State:
@@ -83,39 +86,62 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarra
             yield _matrix(batch.slice(at, step), width)
 
 
-def _states(found: dict[int, State]) -> pa.RecordBatch:
+def _states(found: dict[int, State], outside: dict[int, int]) -> pa.RecordBatch:
     keys = sorted(found)
     lists = [pa.array([found[k][at].tolist() for k in keys], pa.list_(pa.float64())) for at in range(len(MOMENTS))]
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *lists], names=["i", *MOMENTS])
+    apart = pa.array([outside[k] for k in keys], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), apart, *lists], names=["i", "outside", *MOMENTS])
 
 
-def moment_states(df: DataFrame, values: Sequence[Column], target: bool = False) -> DataFrame:
-    """What each task knows of its rows: one row for each first column, moments with all later columns (or the last)."""
+def moment_states(df: DataFrame, values: Sequence[Column], target: bool = False, fences: Sequence[Fence] | None = None) -> DataFrame:
+    """What each task knows of its rows: one row for each column, moments with all later columns (or the last).
+
+    ``outside`` counts its values below or above its fence, in the same pass.
+    """
     width = len(values)
-    firsts = list(range(width - 1))
-    seconds = [width - 1] if target else list(range(width))
+    firsts = list(range(width))
+    seconds = [width - 1] if target else firsts
+    low, high = (np.array([math.nan if f is None or f[side] is None else f[side] for f in fences or [None] * width], float) for side in (0, 1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: State | None = None
+        apart = np.zeros(width, np.int64)
         with np.errstate(all="ignore"):
             for x in _slices(batches, width):
                 part = batch_moments(x, firsts, seconds)
                 total = part if total is None else merged(total, part)
+                apart += ((x < low) | (x > high)).sum(axis=0)
         if total is not None:
-            yield _states({i: tuple(m[i, 0 if target else i + 1 :] for m in total) for i in firsts})
+            yield _states({i: tuple(m[i, 0 if target else i + 1 :] for m in total) for i in firsts}, dict(enumerate(apart.tolist())))
 
     return df.select(*[v.cast("double").alias(f"c{k}") for k, v in enumerate(values)]).mapInArrow(measure, STATE)
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[int, State] = {}
+    outside: dict[int, int] = {}
     with np.errstate(all="ignore"):
         for batch in batches:
-            for at, i in enumerate(batch.column(0).to_pylist()):
-                part = tuple(batch.column(c + 1)[at].values.to_numpy(zero_copy_only=False) for c in range(len(MOMENTS)))
+            for at, (i, apart) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                part = tuple(batch.column(c + 2)[at].values.to_numpy(zero_copy_only=False) for c in range(len(MOMENTS)))
                 found[i] = merged(found[i], part) if i in found else part
+                outside[i] = outside.get(i, 0) + apart
     if found:
-        yield _states(found)
+        yield _states(found, outside)
+
+
+def column_states(df: DataFrame, values: Sequence[Column], target: bool = False, fences: Sequence[Fence] | None = None) -> DataFrame:
+    """The moments of all rows together, a row for each column; none for an empty table."""
+    return moment_states(df, values, target, fences).repartition("i").mapInArrow(_together, STATE)
+
+
+def correlations_of(states: DataFrame, last: int | None = None) -> DataFrame:
+    """(i, j, n, r) from such rows; ``last`` is the place of the target, if there is one."""
+    pairs = states.select("i", F.posexplode(F.arrays_zip("n", "sxx", "syy", "sxy")).alias("at", "s"))
+    second = F.col("i") + F.col("at") + 1 if last is None else F.lit(last)
+    r = F.try_divide(F.col("s.sxy"), F.sqrt("s.sxx") * F.sqrt("s.syy"))
+    out = pairs.select("i", second.cast("int").alias("j"), F.col("s.n").cast("bigint").alias("n"), r.alias("r"))
+    return out if last is None else out.where(F.col("i") != last)
 
 
 def pair_correlations(df: DataFrame, values: Sequence[Column], target: bool = False) -> DataFrame:
@@ -124,8 +150,4 @@ def pair_correlations(df: DataFrame, values: Sequence[Column], target: bool = Fa
     Over the ``n`` rows where both are present; ``r`` is null where one side is constant
     or there are none. An empty table gives no row.
     """
-    states = moment_states(df, values, target).repartition("i").mapInArrow(_together, STATE)
-    pairs = states.select("i", F.posexplode(F.arrays_zip("n", "sxx", "syy", "sxy")).alias("at", "s"))
-    second = F.lit(len(values) - 1) if target else F.col("i") + F.col("at") + 1
-    r = F.try_divide(F.col("s.sxy"), F.sqrt("s.sxx") * F.sqrt("s.syy"))
-    return pairs.select("i", second.cast("int").alias("j"), F.col("s.n").cast("bigint").alias("n"), r.alias("r"))
+    return correlations_of(column_states(df, values, target), len(values) - 1 if target else None)

@@ -30,11 +30,8 @@ def _long(df: DataFrame, columns: Sequence[str], values: list[Column]) -> DataFr
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], short: bool = False) -> DataFrame:
-    """(column, value as text, n) for columns of any simple type.
-
-    ``short`` lets digests stand in for long text, for callers who only count.
-    """
+def value_texts(df: DataFrame, columns: Sequence[str], short: bool = False) -> list[Column]:
+    """What stands for a value of any simple type when equal ones are counted."""
     values = []
     for c in columns:
         dtype = df.schema[c].dataType
@@ -42,7 +39,15 @@ def value_counts(df: DataFrame, columns: Sequence[str], short: bool = False) ->
         x = as_number(col(c), dtype) + F.lit(0.0) if isinstance(dtype, (T.FloatType, T.DoubleType)) else col(c)
         text = x.cast("string")
         values.append(short_key(text) if short and is_text(dtype) else text)
-    return _long(df, columns, values)
+    return values
+
+
+def value_counts(df: DataFrame, columns: Sequence[str], short: bool = False) -> DataFrame:
+    """(column, value as text, n) for columns of any simple type.
+
+    ``short`` lets digests stand in for long text, for callers who only count.
+    """
+    return _long(df, columns, value_texts(df, columns, short))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:

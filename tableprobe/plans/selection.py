@@ -134,19 +134,36 @@ def _proposed(df: DataFrame, stacked: DataFrame, values: Sequence[Column], proba
     return MARGINS[at], around([MARGINS[at]]), near
 
 
-def selected_quantiles(df: DataFrame, values: Mapping[str, Column], probabilities: Sequence[float], most_inside: int = MOST_INSIDE) -> dict[str, list[float | None]]:
+def sketch_shares(probabilities: Sequence[float]) -> list[list[float]]:
+    """The two shares around each probability that a sketch of all rows should tell."""
+    margin = 2.0 / ACCURACY
+    return [[max(0.0, p - margin), min(1.0, p + margin)] for p in probabilities]
+
+
+def selected_quantiles(
+    df: DataFrame,
+    values: Mapping[str, Column],
+    probabilities: Sequence[float],
+    most_inside: int = MOST_INSIDE,
+    sketched: Mapping[int, tuple[int, list[list[float]]]] | None = None,
+) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of double columns; None where a column has no values.
 
     Takes two scans of the columns for tables up to some ten million rows, and two more
     for each further factor of some hundred, as brackets are narrowed in turn. A bracket
     is narrow enough when few values lie between its ends; values equal to an end are
-    one value, however many there are, so ties do not keep it wide.
+    one value, however many there are, so ties do not keep it wide. A caller that has been
+    over all rows already gives what it ``sketched``: per place of a column, how many values
+    and those at ``sketch_shares``; that saves the first scan.
     """
     names, places = list(values), range(len(probabilities))
     stacked = _stacked(df, [values[n] for n in names])
     out: dict[str, list[float | None]] = {n: [None] * len(probabilities) for n in names}
     enough = max(100, most_inside // max(1, len(names) * len(probabilities)))
-    margin, wanted, near = _proposed(df, stacked, [values[n] for n in names], probabilities)
+    if sketched is None:
+        margin, wanted, near = _proposed(df, stacked, [values[n] for n in names], probabilities)
+    else:
+        margin, wanted, near = 2.0 / ACCURACY, [sketch_shares(probabilities) for _ in names], dict(sketched)
     # from a sample these are estimates; what is decided by ranks counts first
     counts = {k: n for k, (n, _) in near.items() if n}
     if not counts:
