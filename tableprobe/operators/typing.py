@@ -47,8 +47,9 @@ from tableprobe.functions.text import (
     strip,
     whole_number,
 )
-from tableprobe.plans.frequency import distinct_counts, number_counts, value_counts
+from tableprobe.plans.frequency import distinct_counts, number_counts
 from tableprobe.plans.ordered import size_bound
+from tableprobe.plans.smallest import smallest_values
 
 NUMERIC_SHARE = 0.70
 DATE_SHARE = 0.85
@@ -455,16 +456,15 @@ def numeric_convertibility(df: DataFrame, threshold: float = NUMERIC_SHARE, exam
         )
     text = {c: clean_text(col(c), NUMERIC_NULL_TOKENS) for c in names}
     counts = per_column(df, text, {"non_null": F.count("value"), "valid": F.count(parse_number(F.col("value")))})
-    rejected = value_counts(
-        df.select(*[F.when(text[c].isNotNull() & parse_number(text[c]).isNull(), col(c)).alias(c) for c in names]), names
-    )
-    place = Window.partitionBy("column").orderBy("value")
-    shown = (
-        rejected.withColumn("place", F.row_number().over(place))
-        .where(F.col("place") <= examples)
-        .groupBy("column")
-        .agg(F.sort_array(F.collect_list("value")).alias("invalid_examples"))
+    ids = {f"c{i}": c for i, c in enumerate(names)}
+    labels = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    rejected = (
+        df.select(*[F.when(text[c].isNotNull() & parse_number(text[c]).isNull(), col(c)).alias(i) for i, c in ids.items()])
+        .unpivot([], list(ids), "column", "value")
+        .where("value is not null")
+        .withColumn("column", labels[F.col("column")])
     )
+    shown = smallest_values(rejected, examples).withColumnRenamed("values", "invalid_examples")
     invalid = F.col("non_null") - F.col("valid")
     return counts.join(shown, "column", "left").select(
         "column",
