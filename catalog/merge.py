@@ -123,6 +123,19 @@ def asof_join(spark, sf):
     return op.asof_join(left, right, "ts")
 
 
+#: Small enough for many ranges of keys at every scale.
+CHUNK_ROWS = 500
+
+
+@S.add("asof_join_chunked", S.sql["asof_join"])
+def asof_join_chunked(spark, sf):
+    """The same over many ranges of keys."""
+    e = table(spark, sf, "events").selectExpr("event_id", "ts", "CASE WHEN user_id % 3 = 0 THEN NULL ELSE value END AS v", "event_type")
+    left = e.where("event_type = 'click'").select("event_id", "ts", F.col("v").alias("reading"))
+    right = e.where("event_type = 'purchase'").select(F.col("event_id").alias("lab_id"), "ts", F.col("v").alias("assay"))
+    return op.asof_join(left, right, "ts", rows_per_chunk=CHUNK_ROWS)
+
+
 @S.add(
     "asof_join_by_user",
     "WITH l AS (SELECT * FROM events WHERE event_type = 'view'), r AS (SELECT * FROM events WHERE event_type = 'click') "

@@ -308,6 +308,15 @@ for _case, _rules, _order, _sql in (
     S.add(_case, _sql)(_fill(_rules, _order))
 
 
+@S.add("fill_ffill_chunked", S.sql["fill_ffill"])
+def fill_ffill_chunked(spark, sf):
+    """The same over many ranges of keys."""
+    df = derived(spark, sf, "stamps", _KEYS)
+    for column in ("gap_value", "kind"):
+        df = op.fill_neighbor(df, column, _BOTH, rows_per_chunk=500)
+    return df
+
+
 _SPEC = ["l_orderkey", "l_linenumber", "qty_text", "ship_text", "flag_text", "disc", "tax"]
 
 

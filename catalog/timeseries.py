@@ -38,6 +38,13 @@ for _aggregate, _seconds in (("mean", 3600), ("sum", 86400), ("count", 900), ("s
     S.add(f"rolling_{_aggregate}", rolling_sql(_aggregate, _seconds))(_rolling(_aggregate, _seconds))
 
 
+@S.add("rolling_mean_chunked", S.sql["rolling_mean"])
+def rolling_mean_chunked(spark, sf):
+    """The same over many ranges of keys."""
+    df = derived(spark, sf, "stamps", ["event_id", "ts", "gap_value"])
+    return op.rolling(df, "ts", "gap_value", 3600, "mean", rows_per_chunk=500)
+
+
 def resample_sql(source: str, time: str, values: list[str], step: str, aggregate: str) -> str:
     slot = {
         "5min": f"time_bucket(INTERVAL 5 minutes, {time})",
@@ -170,6 +177,14 @@ def seasonality(spark, sf):
     return op.seasonality(table(spark, sf, "orders").select("o_orderdate", wave.alias("wave")), "o_orderdate", "wave")
 
 
+@S.add("seasonality_chunked", S.sql["seasonality"])
+def seasonality_chunked(spark, sf):
+    """The same over many ranges of keys."""
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    wave = F.col("o_totalprice") + 300000 * F.sin(2 * F.pi() * days / 700.0)
+    return op.seasonality(table(spark, sf, "orders").select("o_orderdate", wave.alias("wave")), "o_orderdate", "wave", rows_per_chunk=500)
+
+
 _TEXT = derived_sql("readings", ["ship_text", "qty_mixed", "flag_text"])
 
 

@@ -19,7 +19,8 @@ from tableprobe.functions.frames import report_frame
 from tableprobe.functions.dates import to_timestamp
 from tableprobe.functions.text import parse_number, strip
 from tableprobe.plans.frequency import column_quantiles
-from tableprobe.plans.ordered import running, size_bound
+from tableprobe.plans.ordered import chunk_by_range, running
+from tableprobe.plans.storage import materialize
 
 LAGS = (7, 12, 24, 30)  # fixed values
 AXIS_RATIO = 10.0
@@ -81,39 +82,44 @@ def rolling(
     rows = df.where(t.isNotNull() & v.isNotNull())
     us = F.unix_micros(t)
     values = rows.select(us.alias("t"), v.alias("v")).withColumn("slot", F.expr(f"t div {width} - if(t % {width} < 0, 1, 0)"))
-    middles = values.groupBy("slot").agg(F.percentile_approx("v", 0.5, 100).alias("c"))
-    d = F.col("v") - F.col("c")
-    events = (
-        values.join(middles, "slot")
-        .groupBy("slot", "t", "c")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("x"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
-    )
-    sums = {f"w{c}": c for c in "nxsq"}
-    bound = size_bound(df)
-    ahead = running(events, order=["t"], by=["slot"], sums=sums, at_most=bound, rows_per_chunk=rows_per_chunk)
+    if aggregate == "std":
+        # spreads need a centre for each slot, other aggregates do not
+        middles = values.groupBy("slot").agg(F.percentile_approx("v", 0.5, 100).alias("c"))
+        d = F.col("v") - F.col("c")
+        events = values.join(middles, "slot").groupBy("slot", "t", "c").agg(F.count(F.lit(1)).alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
+        parts = ["n", "s", "q"]
+    else:
+        events = values.groupBy("slot", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("x"))
+        parts = ["n", "x"]
+    sums = {f"w{c}": c for c in parts}
+    kept = ["c", *parts] if aggregate == "std" else parts
     # a window that ends at t begins after t - width, in the slot before; at that time nothing is added
-    zero = [F.lit(0).cast(kind).alias(c) for c, kind in (("n", "bigint"), ("x", "double"), ("s", "double"), ("q", "double"))]
+    zero = [F.lit(None if c == "c" else 0).cast("bigint" if c == "n" else "double").alias(c) for c in kept]
     begins = events.select((F.col("slot") - 1).alias("slot"), (F.col("t") - width).alias("t"), F.lit(1).alias("begin"), *zero)
-    marked = events.select("slot", "t", F.lit(0).alias("begin"), *"nxsq").unionByName(begins)
-    back = running(marked, order=["t", "begin"], by=["slot"], sums=sums, descending=True, at_most=2 * bound, rows_per_chunk=rows_per_chunk)
-    earlier = back.where("begin = 1").select((F.col("slot") + 1).alias("slot"), (F.col("t") + width).alias("t"), *[F.col(f"w{c}").alias(f"e{c}") for c in "nxsq"])
-    before = middles.select((F.col("slot") + 1).alias("slot"), F.col("c").alias("ec"))
-    both = ahead.join(earlier, ["slot", "t"]).join(before, "slot", "left")
+    marked = events.select("slot", "t", F.lit(0).alias("begin"), *kept).unionByName(begins)
+    # stored once, then totalled along both directions
+    marked = chunk_by_range(marked, ["slot", "t", "begin"], rows_per_chunk)
+    ahead = running(marked, order=["t", "begin"], by=["slot"], sums=sums).where("begin = 0").select("slot", "t", *kept[: len(kept) - len(parts)], *sums)
+    back = running(marked, order=["t", "begin"], by=["slot"], sums=sums, descending=True)
+    earlier = back.where("begin = 1").select((F.col("slot") + 1).alias("slot"), (F.col("t") + width).alias("t"), *[F.col(f"w{c}").alias(f"e{c}") for c in parts])
+    both = ahead.join(earlier, ["slot", "t"])
     n = (F.col("wn") + F.col("en")).cast("double")
-
-    def spread(n: str, s: str, q: str) -> Column:
-        return F.greatest(F.lit(0.0), F.col(q) - F.coalesce(F.try_divide(F.col(s) * F.col(s), F.col(n)), F.lit(0.0)))
-
-    apart = (F.col("c") + F.col("ws") / F.col("wn")) - (F.col("ec") + F.try_divide(F.col("es"), F.col("en")))
-    between = F.coalesce(apart * apart * F.col("wn") * F.col("en") / n, F.lit(0.0))
-    squares = spread("wn", "ws", "wq") + spread("en", "es", "eq") + between
-    results = {
-        "count": F.col("wn") + F.col("en"),
-        "mean": (F.col("wx") + F.col("ex")) / n,
-        "sum": F.col("wx") + F.col("ex"),
-        "std": F.when(n >= 2, F.sqrt(squares / F.greatest(F.lit(1.0), n - 1))),
-    }
-    lookup = both.select(F.col("t").alias("__t"), results[aggregate].alias("__out"))
+    if aggregate == "std":
+        both = both.join(marked.where("begin = 0").groupBy((F.col("slot") + 1).alias("slot")).agg(F.max("c").alias("ec")), "slot", "left")
+
+        def spread(n: str, s: str, q: str) -> Column:
+            return F.greatest(F.lit(0.0), F.col(q) - F.coalesce(F.try_divide(F.col(s) * F.col(s), F.col(n)), F.lit(0.0)))
+
+        apart = (F.col("c") + F.col("ws") / F.col("wn")) - (F.col("ec") + F.try_divide(F.col("es"), F.col("en")))
+        between = F.coalesce(apart * apart * F.col("wn") * F.col("en") / n, F.lit(0.0))
+        squares = spread("wn", "ws", "wq") + spread("en", "es", "eq") + between
+        result = F.when(n >= 2, F.sqrt(squares / F.greatest(F.lit(1.0), n - 1)))
+    elif aggregate == "count":
+        result = F.col("wn") + F.col("en")
+    else:
+        total = F.col("wx") + F.col("ex")
+        result = total / n if aggregate == "mean" else total
+    lookup = both.select(F.col("t").alias("__t"), result.alias("__out"))
     return rows.join(lookup, us == F.col("__t")).select(*[col(c) for c in df.columns], F.col("__out").alias(output))
 
 
@@ -185,7 +191,7 @@ def trend_direction(df: DataFrame, time: str, value: str, rows_per_chunk: int |
     form, so copies are never expanded. Slope and direction need three rows.
     """
     placed = running(
-        _runs(df, time, value), order=["t", "v"], sums={"upto": "c"}, at_most=size_bound(df), rows_per_chunk=rows_per_chunk
+        _runs(df, time, value), order=["t", "v"], sums={"upto": "c"}, rows_per_chunk=rows_per_chunk
     )
     c = F.col("c").cast("double")
     before = (F.col("upto") - F.col("c")).cast("double")
@@ -225,7 +231,7 @@ def peak_trough(df: DataFrame, time: str, value: str) -> DataFrame:
 def largest_steps(df: DataFrame, time: str, value: str, rows_per_chunk: int | None = None) -> DataFrame:
     """(kind, time, step): the biggest rise and fall between consecutive rows."""
     stepped = running(
-        _runs(df, time, value), order=["t", "v"], previous={"prev": "v"}, at_most=size_bound(df), rows_per_chunk=rows_per_chunk
+        _runs(df, time, value), order=["t", "v"], previous={"prev": "v"}, rows_per_chunk=rows_per_chunk
     ).select("t", (F.col("v") - F.col("prev")).alias("step"))
     got = stepped.where("step is not null").agg(
         F.max_by(F.struct("t", "step"), F.struct(F.col("step"), -F.col("t"))).alias("rise"),
@@ -246,8 +252,8 @@ def autocorrelation(
     copies per point finds them all.
     """
     reach = max(lags)
-    rows = size_bound(df)
-    runs = running(_runs(df, time, value), order=["t", "v"], sums={"upto": "c"}, at_most=rows, rows_per_chunk=rows_per_chunk)
+    # Read four times below: the ordered runs are computed once.
+    runs = materialize(running(_runs(df, time, value), order=["t", "v"], sums={"upto": "c"}, rows_per_chunk=rows_per_chunk).select("upto", "c", "v"))
     shape = runs.agg(F.sum("c").alias("n"), F.try_divide(F.sum(F.col("c") * F.col("v")), F.sum("c")).alias("m")).first()
     n, middle = shape["n"] or 0, shape["m"] or 0.0
     usable = [k for k in lags if k < n - 1]

@@ -1,12 +1,12 @@
 """Running values over a global order, without putting the order in one task.
 
 A window with no partition sorts the whole table in a single task, and a window
-over fixed time slices breaks when one slice holds most of the rows. Here the
-rows are cut into chunks of about equal size along their full order key: a small
-sample of keys gives the cut points, the chunk number becomes a column computed
-from literals, and each chunk is one window partition. What a chunk needs from
-the chunks before it is one row per chunk, at most ``MAX_CHUNKS`` in all, and is
-broadcast. The sample only decides where the cuts fall; it never changes results.
+over fixed time slices breaks when one slice holds most of the rows. Here Spark
+partitions the rows by range of their full order key; the number of the partition
+becomes the chunk, is stored with the row once, and each chunk is one window
+partition. What a chunk needs from the chunks before it is one row per chunk (and
+for the groups that reach over its two edges), and is broadcast. Range partitioning
+samples keys to balance chunks; this never changes results. It is one plan at every size.
 """
 
 from __future__ import annotations
@@ -16,63 +16,39 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tableprobe.functions.columns import col, is_time
+from tableprobe.functions.columns import col
 from tableprobe.plans.storage import materialize
 
 ROWS_PER_CHUNK = 2_000_000
-MAX_CHUNKS = 10_000
-SAMPLES_PER_CHUNK = 20
 CHUNK = "__chunk"
 
 
 def chunk_rows(df: DataFrame, rows_per_chunk: int | None) -> int:
     """Rows one task may order on its own."""
-    if rows_per_chunk:
-        return rows_per_chunk
-    return int(df.sparkSession.conf.get("tableprobe.rowsPerChunk", str(ROWS_PER_CHUNK)))
+    return _wanted_rows(df, rows_per_chunk) or ROWS_PER_CHUNK
 
 
-def _key_field(df: DataFrame, name: str) -> Column:
-    dtype = df.schema[name].dataType
-    if is_time(dtype):
-        return F.unix_micros(col(name).cast("timestamp"))
-    return col(name)
+def _wanted_rows(df: DataFrame, rows_per_chunk: int | None) -> int | None:
+    """Rows per chunk, if somebody asks for a number."""
+    asked = rows_per_chunk or df.sparkSession.conf.get("tableprobe.rowsPerChunk", None)
+    return int(asked) if asked else None
 
 
-def _cut_points(df: DataFrame, keys: Sequence[str], n_rows: int, n_chunks: int):
-    """Evenly spaced keys from a bounded sample, in order."""
-    key = F.struct(*[_key_field(df, k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key")
-    share = min(1.0, SAMPLES_PER_CHUNK * n_chunks / n_rows)
-    sample = df.select(key) if share >= 1.0 else df.select(key).sample(fraction=share, seed=17)
-    rows = [r["key"] for r in sample.distinct().orderBy("key").collect()]
-    step = max(1, round(len(rows) / n_chunks))
-    return key, rows[step::step], sample.schema["key"].dataType
+def chunk_by_range(df: DataFrame, keys: Sequence[str], rows_per_chunk: int | None = None) -> DataFrame:
+    """The rows with the number of their range of keys, stored.
 
-
-def _literal(value, dtype: T.DataType) -> Column:
-    return F.lit(value).cast(dtype)
-
-
-def _chunk_number(key: Column, points: list, key_type: T.StructType) -> tuple[Column, Column]:
-    """How many cut points are at or below the key, by binary search over a literal."""
-    cuts = F.array(
-        *[
-            F.struct(*[_literal(p[f.name], f.dataType).alias(f.name) for f in key_type.fields])
-            for p in points
-        ]
-    )
-    n = len(points)
-    steps = [1 << b for b in range(n.bit_length() - 1, -1, -1)]
-    number = F.reduce(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.lit(n)) & (F.element_at(cuts, F.least(at + step, F.lit(n))) <= key), at + step
-        ).otherwise(at),
-    )
-    return number, cuts
+    There are as many ranges as shuffle partitions, fewer where Spark puts small ones
+    together; only a wanted number of rows per chunk makes it count them first.
+    """
+    order = [col(k) for k in keys]
+    limit = _wanted_rows(df, rows_per_chunk)
+    if limit:
+        df = materialize(df)
+        ranged = df.repartitionByRange(max(1, math.ceil(df.count() / limit)), *order)
+    else:
+        ranged = df.repartitionByRange(*order)
+    return materialize(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
 def running(
@@ -83,9 +59,7 @@ def running(
     last: Mapping[str, str] | None = None,
     previous: Mapping[str, str] | None = None,
     descending: bool = False,
-    at_most: int | None = None,
     rows_per_chunk: int | None = None,
-    stored: bool = False,
 ) -> DataFrame:
     """Add running values along ``order`` inside each ``by`` group.
 
@@ -93,45 +67,24 @@ def running(
     ``last``      output -> column: newest non-null value, this row included
     ``previous``  output -> column: newest non-null value, this row excluded
 
-    ``at_most`` is a proven upper bound of the row count; when it fits one chunk
-    nothing is counted, sampled or stored first. ``stored`` says the input is a
-    stored table already. Callers collapse rows with equal
-    keys beforehand, so that a key shared by very many rows is one row here.
+    Callers collapse rows with equal keys beforehand, so that a key shared by very
+    many rows is one row here. What ``chunk_by_range`` gave for the same keys is not
+    dealt out again, so several passes share one stored table. Null keys come first; an empty table stays empty.
     """
     sums, last, previous = dict(sums or {}), dict(last or {}), dict(previous or {})
-    limit = chunk_rows(df, rows_per_chunk)
-    if at_most is not None and at_most <= limit:
-        return _single(df, order, by, sums, last, previous, descending)
-    if not stored:  # the chunks read their input several times
-        df = materialize(df)
-    n_rows = df.count()
-    if n_rows <= limit:
-        return _single(df, order, by, sums, last, previous, descending)
-    n_chunks = min(MAX_CHUNKS, math.ceil(n_rows / limit))
-    key, points, key_type = _cut_points(df, [*by, *order], n_rows, n_chunks)
-    if not points:
-        return _single(df, order, by, sums, last, previous, descending)
-    number, cuts = _chunk_number(key, points, key_type)
-    chunked = df.withColumn(CHUNK, number)
+    chunked = df if CHUNK in df.columns else chunk_by_range(df, [*by, *order], rows_per_chunk)
 
     inside = _window([*by, CHUNK], order, descending)
     detail = _apply(chunked, inside, sums, last, previous)
 
     # A chunk passes something on only within a group that reaches over one of its
-    # edges, and the cut point at that edge belongs to the group. At most two groups
-    # per chunk qualify, whatever the number of groups.
+    # edges, which is its first or its last: two groups per chunk, whatever their number.
     edge_rows = chunked
     if by:
-        group = F.struct(*[_key_field(df, b).alias(f"k{i}") for i, b in enumerate(by)])
-
-        def edge(position: Column) -> Column:
-            cut = F.get(cuts, position)
-            return F.struct(*[cut[f"k{i}"].alias(f"k{i}") for i in range(len(by))]).eqNullSafe(group)
-
-        edge_rows = chunked.where(
-            F.when(col(CHUNK) > 0, edge(col(CHUNK) - 1)).otherwise(False)
-            | F.when(col(CHUNK) < len(points), edge(col(CHUNK))).otherwise(False)
-        )
+        group = F.struct(*[col(b).alias(f"k{i}") for i, b in enumerate(by)])
+        ends = chunked.groupBy(col(CHUNK).alias("__of")).agg(F.min(group).alias("__first"), F.max(group).alias("__last"))
+        # One row per chunk.
+        edge_rows = chunked.join(F.broadcast(ends), col(CHUNK) == F.col("__of")).where(group.eqNullSafe(F.col("__first")) | group.eqNullSafe(F.col("__last")))
     pick = F.min_by if descending else F.max_by
     rank = F.struct(*[col(o) for o in order])
     held = [F.sum(c).alias(f"__s_{o}") for o, c in sums.items()]
@@ -156,10 +109,10 @@ def running(
     match = col(CHUNK) == col("__at")
     for i, b in enumerate(by):
         match = match & col(b).eqNullSafe(col(f"__by{i}"))
-    # Bounded: one row per chunk that continues a group, never more than MAX_CHUNKS.
+    # Bounded: one row per chunk that continues a group.
     joined = detail.join(F.broadcast(carry), match, "left")
     return joined.select(
-        *[col(c) for c in df.columns],
+        *[col(c) for c in df.columns if c != CHUNK],
         *[(col(o) + F.coalesce(col(f"__s_{o}"), F.lit(0))).alias(o) for o in sums],
         *[F.coalesce(col(o), col(f"__l_{o}")).alias(o) for o in {**last, **previous}],
     )
@@ -181,10 +134,6 @@ def _apply(df, window, sums, last, previous):
     )
 
 
-def _single(df, order, by, sums, last, previous, descending):
-    return _apply(df, _window(by, order, descending), sums, last, previous)
-
-
 def size_bound(df: DataFrame) -> int:
-    """Row count of an input, used as the upper bound for what is derived from it."""
+    """Row count of an input."""
     return df.count()
