@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import as_number, col, is_floating, no_nan
@@ -14,6 +14,15 @@ def _number(df: DataFrame, name: str):
     return as_number(col(name), df.schema[name].dataType)
 
 
+def _bin(x: Column, lo: float, hi: float, bins: int) -> Column:
+    """1 to ``bins``: the whole widths between ``lo`` and the value, the last bin closed.
+
+    Counted in widths, as the bins' edges are. ``width_bucket`` scales the value first and
+    rounds otherwise, which puts values next to an edge into the neighbouring bin.
+    """
+    return F.least(F.floor(F.try_divide(x - F.lit(lo), F.lit((hi - lo) / bins))), F.lit(bins - 1).cast("bigint")) + 1
+
+
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """(bin, low, high, n) over equal widths from minimum to maximum, last bin closed.
 
@@ -30,7 +39,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
-    number = F.least(F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins).cast("bigint"))
+    number = _bin(x, lo, hi, bins)
     counts = df.where(x.isNotNull()).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # Every bin enters once with nothing in it; adding up replaces a join.
     listed = spark.range(1, bins + 1).select(F.col("id").alias("bin"), F.lit(0).cast("bigint").alias("n"))
@@ -116,7 +125,7 @@ def binned_scatter(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     def cell(name, lo, hi):
         if lo is None or lo == hi:
             return F.lit(1).cast("bigint")
-        return F.least(F.width_bucket(F.col(name), F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)), F.lit(bins).cast("bigint"))
+        return _bin(F.col(name), float(lo), float(hi), bins)
 
     return points.groupBy(cell("x", b["x0"], b["x1"]).alias("x_bin"), cell("y", b["y0"], b["y1"]).alias("y_bin")).agg(
         F.count(F.lit(1)).alias("n")
