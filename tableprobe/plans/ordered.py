@@ -3,15 +3,15 @@
 A window with no partition sorts the whole table in a single task, and a window
 over fixed time slices breaks when one slice holds most of the rows. Here Spark
 partitions the rows by range of their full order key; the number of the partition
-becomes the chunk, is stored with the row once, and each chunk is one window
-partition. What a chunk needs from the chunks before it is one row per chunk (and
-for the groups that reach over its two edges), and is broadcast. Range partitioning
-samples keys to balance chunks; this never changes results. It is one plan at every size.
+becomes the chunk, or begins the numbers of its chunks if somebody wants small ones.
+It is stored with the row once, and each chunk is one window partition. What a chunk
+needs from the chunks before it is one row per chunk (and for the groups that reach over
+its two edges), and is broadcast. Range partitioning samples keys to balance chunks; this
+never changes results. It is one plan at every size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,16 +39,18 @@ def chunk_by_range(df: DataFrame, keys: Sequence[str], rows_per_chunk: int | Non
     """The rows with the number of their range of keys, stored.
 
     There are as many ranges as shuffle partitions, fewer where Spark puts small ones
-    together; only a wanted number of rows per chunk makes it count them first.
+    together. A wanted number of rows per chunk cuts each range further, along its own
+    order, so that the number of tasks and of stored files does not grow with the chunks.
     """
     order = [col(k) for k in keys]
     limit = _wanted_rows(df, rows_per_chunk)
-    if limit:
-        df = materialize(df)
-        ranged = df.repartitionByRange(max(1, math.ceil(df.count() / limit)), *order)
-    else:
-        ranged = df.repartitionByRange(*order)
-    return materialize(ranged.withColumn(CHUNK, F.spark_partition_id()))
+    ranged = df.repartitionByRange(*order)
+    if limit is None:
+        return materialize(ranged.withColumn(CHUNK, F.spark_partition_id()))
+    # numbers rise along a sorted partition, and from one partition to the next
+    placed = ranged.sortWithinPartitions(*order).withColumn(CHUNK, F.monotonically_increasing_id())
+    at = F.lit((1 << 33) - 1)
+    return materialize(placed.withColumn(CHUNK, col(CHUNK) - col(CHUNK).bitwiseAND(at) % limit))
 
 
 def running(

@@ -10,7 +10,7 @@ from tableprobe.operators.prepare import fill_neighbor
 from tableprobe.operators.timeseries import autocorrelation, largest_steps, rolling, seasonality, trend_direction
 from tableprobe.operators.profile import numeric_statistics
 from tableprobe.plans.frequency import column_quantiles, quantiles_of_counts
-from tableprobe.plans.ordered import running
+from tableprobe.plans.ordered import CHUNK, chunk_by_range, running
 
 CHUNKS = [7, 40, 10_000]
 
@@ -185,3 +185,23 @@ def test_short_series(spark):
     empty = df.where("false")
     assert trend_direction(empty, "t", "v").first()["n"] == 0
     assert rolling(empty, "t", "v", 60).count() == 0
+
+
+def test_small_chunks_do_not_make_more_tasks(spark):
+    """One file is one task that wrote it; chunks follow the order and hold at most the wanted rows."""
+    rows = spark.range(0, 6000, 1, 7).selectExpr("pmod(id * 7919, 6000) AS k")
+    chunked = chunk_by_range(rows, ["k"], 5)
+    assert chunked.select(F.input_file_name()).distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = chunked.groupBy(CHUNK).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy(CHUNK).collect()
+    assert len(got) >= 1200 and max(r["n"] for r in got) == 5
+    assert all(a["high"] < b["low"] for a, b in zip(got, got[1:]))
+
+
+def test_running_values_over_several_ranges_of_small_chunks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keeps small ranges apart
+    try:
+        placed = running(spark.range(0, 1000, 1, 7), ["id"], sums={"s": "id"}, previous={"p": "id"}, rows_per_chunk=9).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(r["s"] == r["id"] * (r["id"] + 1) // 2 and r["p"] == (r["id"] - 1 if r["id"] else None) for r in placed)
+    assert len(placed) == 1000
