@@ -44,32 +44,38 @@ CENTURY = 69
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    # element_at keeps its type; get works it out from the whole body again for every row
+    return F.element_at(F.transform(F.array(value), body), F.lit(1))
 
 
 def _lookup(rules: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]), key)
 
 
-def _date(date: Column, rules: dict[str, str]) -> Column:
-    """(year, month, day) of a date text, null if its key has no rule."""
-    month = F.regexp_extract(date, _MONTH, 1)
+def _shape(date: Column) -> Column:
+    """Key, numbers and month name of a date text."""
     key = F.regexp_replace(F.regexp_replace(F.regexp_replace(date, _MONTH, "b"), "[0-9]{4}", "y"), "[0-9]{1,2}(?:st|nd|rd|th)?", "n")
+    numbers = F.transform(F.regexp_extract_all(date, F.lit("([0-9]+)"), F.lit(1)), lambda n: F.struct(n.try_cast("int").alias("value"), F.length(n).alias("length")))
+    return F.struct(key.alias("key"), numbers.alias("numbers"), F.regexp_extract(date, _MONTH, 1).alias("month"))
 
-    def build(found: Column) -> Column:
-        rule, numbers = found["rule"], found["numbers"]
 
+def _date(shape: Column, rules: dict[str, str]) -> Column:
+    """(year, month, day) of the shape of a date, null if its key has no rule."""
+
+    def build(rule: Column) -> Column:
         def at(place: int) -> Column:
-            return F.get(numbers, F.substring(rule, place, 1).try_cast("int")).try_cast("int")
+            return F.get(shape["numbers"], F.substring(rule, place, 1).try_cast("int"))
+
+        def whole(year: Column) -> Column:
+            short = F.when(year["value"] < CENTURY, year["value"] + 2000).otherwise(year["value"] + 1900)
+            return F.when(year["length"] > 2, year["value"]).otherwise(short)
 
-        named = F.ceil(F.instr(F.lit("".join(MONTHS)), month) / 3).cast("int")
-        year = at(1)
-        year = F.when(F.length(F.get(numbers, F.substring(rule, 1, 1).try_cast("int"))) > 2, year).when(year < CENTURY, year + 2000).otherwise(year + 1900)
-        second = F.when(F.substring(rule, 2, 1) == "b", named).otherwise(at(2))
-        day = F.when(F.substring(rule, 3, 1) == "-", F.lit(1)).otherwise(at(3))
-        return F.when(rule.isNotNull(), F.struct(year.alias("year"), second.alias("month"), day.alias("day")))
+        named = F.ceil(F.instr(F.lit("".join(MONTHS)), shape["month"]) / 3).cast("int")
+        second = F.when(F.substring(rule, 2, 1) == "b", named).otherwise(at(2)["value"])
+        day = F.when(F.substring(rule, 3, 1) == "-", F.lit(1)).otherwise(at(3)["value"])
+        return F.when(rule.isNotNull(), F.struct(_let(at(1), whole).alias("year"), second.alias("month"), day.alias("day")))
 
-    return _let(F.struct(_lookup(rules, key).alias("rule"), F.regexp_extract_all(date, F.lit("([0-9]+)"), F.lit(1)).alias("numbers")), build)
+    return _let(_lookup(rules, shape["key"]), build)
 
 
 def timestamp_by_shape(text: Column, dayfirst: bool = False) -> Column:
@@ -82,34 +88,50 @@ def timestamp_by_shape(text: Column, dayfirst: bool = False) -> Column:
     """
     first, second = (RULES | DAY_FIRST, RULES) if dayfirst else (RULES, RULES | DAY_FIRST)
 
+    # Whatever is used more than once is bound first: Spark works out every use of an expression anew.
     def read(t: Column) -> Column:
         # only a clock has a zone, so that 11-2024 stays a month
-        zone = F.when(t.contains(":"), F.regexp_extract(t, _ZONE, 1)).otherwise(F.lit(""))
+        return _let(F.when(t.contains(":"), F.regexp_extract(t, _ZONE, 1)).otherwise(F.lit("")), lambda zone: unzoned(t, zone))
+
+    def unzoned(t: Column, zone: Column) -> Column:
         bare = F.regexp_replace(F.when(zone == "", t).otherwise(F.regexp_replace(t, _ZONE, "")), _WEEKDAY, "")
-        return _let(F.struct(zone.alias("zone"), F.regexp_extract(bare, _HALF, 1).alias("half"), F.regexp_replace(bare, _HALF, "").alias("text")), timed)
+        return _let(bare, lambda x: _let(F.regexp_extract(x, _HALF, 1), lambda half: halved(F.when(half == "", x).otherwise(F.regexp_replace(x, _HALF, "")), half, zone)))
 
-    def timed(parts: Column) -> Column:
-        t, half, zone = parts["text"], parts["half"], parts["zone"]
+    def halved(text: Column, half: Column, zone: Column) -> Column:
         # a clock has a colon, or stands alone before AM or PM
-        clocked = t.rlike(_CLOCK) & (t.contains(":") | (half != ""))
+        def parted(t: Column) -> Column:
+            return _let(t.rlike(_CLOCK) & (t.contains(":") | (half != "")), lambda clocked: timed(t, half, zone, clocked))
+
+        return _let(text, parted)
+
+    def timed(t: Column, half: Column, zone: Column, clocked: Column) -> Column:
         date = F.btrim(F.when(clocked, F.regexp_replace(t, _CLOCK, "")).otherwise(t))
 
         def clock(group: int) -> Column:
             return F.when(clocked, F.coalesce(F.regexp_extract(t, _CLOCK, group).try_cast("int"), F.lit(0))).otherwise(F.lit(0))
 
-        hour = F.when(half == "", clock(1)).when(clock(1).between(1, 12), clock(1) % 12 + F.when(half == "p", 12).otherwise(0))
         micros = F.when(clocked, F.rpad(F.substring(F.regexp_extract(t, _CLOCK, 4), 1, 6), 6, "0").try_cast("int")).otherwise(F.lit(0))
         seconds = clock(3) + micros.cast("decimal(9,0)") / F.lit(1_000_000).cast("decimal(9,0)")
         sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
-        digits = F.regexp_replace(zone, "[^0-9]", "")
-        shift = F.when(digits == "", F.lit(0)).otherwise(sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")))
-        fine = (zone == "") | (clocked & (F.abs(shift) <= 14 * 60))
+
+        def offset(digits: Column) -> Column:
+            return F.when(digits == "", F.lit(0)).otherwise(sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")))
+
+        shift = F.when(zone == "", F.lit(0)).otherwise(_let(F.regexp_replace(zone, "[^0-9]", ""), offset))
+        parts = F.struct(date.alias("date"), clock(1).alias("hour"), clock(2).alias("minute"), seconds.cast("decimal(8,6)").alias("second"), shift.alias("shift"))
+        return _let(parts, lambda p: joined(p, half, zone, clocked))
+
+    def joined(p: Column, half: Column, zone: Column, clocked: Column) -> Column:
+        fine = (zone == "") | (clocked & (F.abs(p["shift"]) <= 14 * 60))
+        hour = F.when(half == "", p["hour"]).when(p["hour"].between(1, 12), p["hour"] % 12 + F.when(half == "p", 12).otherwise(0))
 
         def made(day: Column) -> Column:
-            return F.try_make_timestamp(day["year"], day["month"], day["day"], hour, clock(2), seconds.cast("decimal(8,6)"))
+            return F.try_make_timestamp(day["year"], day["month"], day["day"], hour, p["minute"], p["second"])
 
         epoch = F.struct(F.lit(1970).alias("year"), F.lit(1).alias("month"), F.lit(1).alias("day"))
-        found = F.when((date == "") & clocked, made(epoch)).when((half == "") | clocked, F.coalesce(_let(_date(date, first), made), _let(_date(date, second), made)))
-        return F.when(fine, F.timestamp_micros(F.unix_micros(found) - F.coalesce(shift, F.lit(0)).cast("bigint") * F.lit(60_000_000)))
+        dated = _let(_shape(p["date"]), lambda shape: F.coalesce(_let(_date(shape, first), made), _let(_date(shape, second), made)))
+        found = F.when((p["date"] == "") & clocked, made(epoch)).when((half == "") | clocked, dated)
+        moved = F.timestamp_micros(F.unix_micros(found) - F.coalesce(p["shift"], F.lit(0)).cast("bigint") * F.lit(60_000_000))
+        return F.when(fine, F.when(zone == "", found).otherwise(moved))
 
     return _let(F.lower(text), lambda t: F.when(t.rlike("[0-9]") & t.rlike(_DATE_LIKE), read(t)))

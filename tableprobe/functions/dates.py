@@ -123,7 +123,8 @@ _ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:?\d{2
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Compute ``value`` once and use it many times inside one expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    # element_at keeps its type; get works it out from the whole body again for every row
+    return F.element_at(F.transform(F.array(value), body), F.lit(1))
 
 
 def _from_parts(text: Column) -> Column:

@@ -1,12 +1,14 @@
 """Date texts of many forms against the timestamps they stand for."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tableprobe.functions.dates import infer_timestamp
 from tableprobe.operators import detect
+from tests.conftest import plan
 
 FORMS = {
     "01/02/24": "2024-01-02", "13/02/24": "2024-02-13", "1-2-99": "1999-01-02", "31.12.68": "2068-12-31", "31.12.69": "1969-12-31",
@@ -50,3 +52,12 @@ def test_columns_in_one_form_are_found(spark, form):
     days = spark.sql("SELECT explode(sequence(timestamp'2020-01-01 01:00:00', timestamp'2024-06-01 01:00:00', interval 5 days 7 hours)) AS t")
     df = days.select(F.date_format("t", form).alias("when"), F.lit("no date").alias("word"))
     assert detect.detect_datetime_columns(df) == ["when"]
+
+
+def test_equal_texts_are_read_once_and_all_are_counted(spark):
+    """Reading stands behind a shuffle of different texts; short, long, equal and missing ones all count."""
+    texts = ["01/02/24"] * 40 + ["2024-01-02"] * 30 + [" " * 90 + "Jan 2024"] * 15 + ["x" * 90] * 10 + ["soon"] * 5 + [None] * 20
+    df = spark.createDataFrame([(x, None) for x in texts], "text string, none string").repartition(3)
+    found = detect.datetime_detection_summary(df)
+    assert [tuple(r) for r in found.collect()] == [("text", "parseable", 85.0, 15)]
+    assert re.search(r"hashpartitioning\(id#\d+, value#\d+, long_parsed#\d+", plan(found))
