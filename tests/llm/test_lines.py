@@ -1,8 +1,11 @@
 """Sites and documents are counted in full: made-up tables on which counting something less shows."""
 
+import duckdb
+import pandas as pd
 import pytest
 
 from tableprobe.llm import line_frequency, line_spread
+from tableprobe.llm.queries import line_spread_sql
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, source string"
@@ -30,6 +33,19 @@ def test_copies_of_one_text_alone_make_no_boilerplate(spark):
     assert all(r["n_removed"] == 0 for r in got)
 
 
+def test_blanks_between_words_do_not_tell_lines_apart(spark):
+    blanks = [" ", "  ", "\t", " \t ", "\x0b", "\x0c", "\r", "   "]
+    lines = [f"{b}Shared{b}LINE of{b}words{b}" for b in blanks]
+    rows = numbered((f"own words of text {n}\n{lines[n % 8]}\nsharedline of words", f"s{n % 12}") for n in range(24))
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_spread.dedup_lines(frame(spark, rows), min_sites=12).collect()}
+    assert got[0] == (0, rows[0]["text"])
+    assert all(got[n] == (2, f"own words of text {n}") for n in range(1, 24))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows))
+    said = con.execute(line_spread_sql(12)).fetchall()
+    assert {r[0]: r[2] for r in said} == {k: n for k, (n, _) in got.items()}
+
+
 def words(label, n):
     return " ".join(f"{label}w{k}" for k in range(n))
 
