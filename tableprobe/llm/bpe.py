@@ -13,6 +13,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tableprobe.llm.arrow import chunks, lists
+from tableprobe.llm.arrow import chunks, lists, tidy
 from tableprobe.llm.pieces import PieceTable
 
 # Fixed value: the word pattern of this family of tokenizers.
@@ -30,6 +31,10 @@ NEVER = np.int64(1) << 40
 #: What a worker remembers at most; bounds its memory, not the result.
 WORDS_REMEMBERED = 250_000
 PIECES_REMEMBERED = 400_000
+#: Words of more bytes are merged one by one, which is not quadratic in their length.
+TOGETHER_BYTES = 64
+#: Bytes at the start of a token that tell how long one that begins with them can be.
+HEAD = 3
 
 
 def byte_letters() -> dict[int, str]:
@@ -92,9 +97,12 @@ class Bpe(Vocabulary):
         ranks = np.array([r for r, _ in self.merge.values()] or [NEVER], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], ranks[order]
+        self.pair_tokens = np.array([n for _, n in self.merge.values()] or [-1], np.int64)[order]
         self.tokens = {self.bytes_of[n]: n for n in vocab.values()}
         self._drop_unreachable()
-        self.longest = max(map(len, self.tokens))
+        self.reach: dict[bytes, int] = {}
+        for x in self.tokens:
+            self.reach[x[:HEAD]] = max(self.reach.get(x[:HEAD], 0), len(x))
         added = "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))
         self.added_pattern = regex.compile(f"({added})") if added else None
         self.word_pattern = regex.compile(WORD)
@@ -125,9 +133,7 @@ class Bpe(Vocabulary):
         live = np.arange(len(x))
         while len(live):
             u, v = x[live], y[live]
-            keys = u * self.size + v
-            slot = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-            rank = np.where(self.pair_keys[slot] == keys, self.pair_ranks[slot], NEVER)
+            _, rank = self.rank(u, v)
             meet = 2 * rank < until[live]
             good[live[meet]] = False
             made_x, made_y = self.made[u], self.made[v]
@@ -138,10 +144,17 @@ class Bpe(Vocabulary):
             live = live[~meet & (np.maximum(made_x, made_y) >= 0)]
         return good
 
+    def rank(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and rank of the merge of each two tokens; never, if there is none."""
+        keys = a * self.size + b
+        slot = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return slot, np.where(self.pair_keys[slot] == keys, self.pair_ranks[slot], NEVER)
+
     def greedy(self, word: bytes) -> list[int]:
-        out, at, end, tokens = [], 0, len(word), self.tokens
+        out, at, end, tokens, reach = [], 0, len(word), self.tokens, self.reach
         while at < end:
-            stop = min(end, at + self.longest)
+            # no token of more bytes begins like this; shorter ones than the head are tried then
+            stop = min(end, at + max(reach.get(word[at : at + HEAD], 0), HEAD - 1))
             while (n := tokens.get(word[at:stop])) is None:
                 stop -= 1
             out.append(n)
@@ -174,33 +187,84 @@ class Bpe(Vocabulary):
             offer(k)
         return [n for n in ids if n >= 0]
 
+    def exact_together(self, words: list[bytes]) -> list[list[int]]:
+        """``exact`` for many short words: a turn makes the next merge in every word that has one."""
+        out: list = [None] * len(words)
+        ids = self.byte_id[np.frombuffer(b"".join(words), np.uint8)].astype(np.int64)
+        word = np.repeat(np.arange(len(words)), [len(x) for x in words])
+        slot, rank = np.zeros(len(ids), np.int64), np.full(len(ids), NEVER)  # of an id and the one after it
+
+        def look(at: np.ndarray) -> None:
+            at = at[(at >= 0) & (at + 1 < len(ids))]
+            at = at[word[at] == word[at + 1]]
+            slot[at], rank[at] = self.rank(ids[at], ids[at + 1])
+
+        look(np.arange(len(ids)))
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            least = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(ids)))
+            done = least == NEVER
+            if done.any():
+                flat = ids.tolist()
+                for n, a, size in zip(word[starts[done]].tolist(), starts[done].tolist(), sizes[done].tolist()):
+                    out[n] = flat[a : a + size]
+                live = np.repeat(~done, sizes)
+                ids, word, slot, rank = ids[live], word[live], slot[live], rank[live]
+                least, sizes = least[~done], sizes[~done]
+            next_up = np.flatnonzero(rank == np.repeat(least, sizes))
+            # leftmost first, as after a merge the rest may have others
+            left = next_up[np.concatenate(([True], word[next_up[1:]] != word[next_up[:-1]]))] if len(next_up) else next_up
+            ids[left] = self.pair_tokens[slot[left]]
+            rank[left] = NEVER
+            stay = np.ones(len(ids), bool)
+            stay[left + 1] = False
+            ids, word, slot, rank = ids[stay], word[stay], slot[stay], rank[stay]
+            left = left - np.arange(len(left))
+            inside = left[(left > 0)] - 1
+            inside = inside[word[inside] == word[inside + 1]]
+            rank[inside] = NEVER
+            look(np.concatenate((inside, left)))
+        return out
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         raw = [x.encode() for x in words]
-        found = [self.greedy(x) for x in raw]
-        sizes = np.array([len(x) for x in found])
-        flat = np.array([n for x in found for n in x], np.int64)
+        found = [*map(self.greedy, raw)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
         if len(flat) > 1:
             word = np.repeat(np.arange(len(found)), sizes)
             inside = np.flatnonzero(word[:-1] == word[1:])
             pairs, back = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
             good = self.apart(pairs // self.size, pairs % self.size)[back]
-            for n in np.unique(word[inside[~good]]).tolist():
-                found[n] = self.exact(raw[n])
+            failed = np.unique(word[inside[~good]]).tolist()
+            short = [n for n in failed if len(raw[n]) <= TOGETHER_BYTES]
+            for n, ids in zip(short, self.exact_together([raw[n] for n in short])):
+                found[n] = ids
+            for n in failed:
+                if len(raw[n]) > TOGETHER_BYTES:
+                    found[n] = self.exact(raw[n])
         return found
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
         """Ids of whole texts, or of pieces of them."""
         if len(self.words) > WORDS_REMEMBERED:
             self.words = {}
-        cut: list[list[str | int]] = []
-        for piece in pieces:
-            parts: list[str | int] = []
-            for k, part in enumerate(self.added_pattern.split(piece) if self.added_pattern else [piece]):
-                parts += [self.added[part]] if k % 2 else self.word_pattern.findall(part)
-            cut.append(parts)
-        new = list({x for parts in cut for x in parts if isinstance(x, str) and x not in self.words})
-        self.words.update(zip(new, self.encode_words(new)))
-        return [[n for x in parts for n in ([x] if isinstance(x, int) else self.words[x])] for parts in cut]
+        added = self.added_pattern is not None and self.added_pattern.search("".join(pieces)) is not None
+        cut: list[list[str | int]] = [self._cut(x) for x in pieces] if added else [*map(self.word_pattern.findall, pieces)]
+        words = self.words
+        new = [x for x in dict.fromkeys(chain.from_iterable(cut)) if x not in words and isinstance(x, str)]
+        words.update(zip(new, self.encode_words(new)))
+        if added:
+            return [[n for x in parts for n in ([x] if isinstance(x, int) else words[x])] for parts in cut]
+        return [words[parts[0]] if len(parts) == 1 else [n for x in parts for n in words[x]] for parts in cut]
+
+    def _cut(self, piece: str) -> list[str | int]:
+        """Words, and the ids of added tokens."""
+        parts: list[str | int] = []
+        for k, part in enumerate(self.added_pattern.split(piece)):
+            parts += [self.added[part]] if k % 2 else self.word_pattern.findall(part)
+        return parts
 
 
 @cache
@@ -215,6 +279,7 @@ def _vocabulary(tokenizer_file: str) -> Vocabulary:
     return Vocabulary(tokenizer_file)
 
 
+@tidy
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, column: str, ids_name: str) -> Iterator[pa.RecordBatch]:
     _, table = _worker(tokenizer_file)
     for batch in chunks(batches, column):

@@ -45,3 +45,14 @@ def test_a_part_is_looked_up_once_in_a_slice():
     ids, counts = PieceTable(encode).token_ids([Counting("one two one two")] * 100)
     assert ids.tolist() == [3, 4, 4, 4] * 100 and counts.tolist() == [4] * 100
     assert not looks
+
+
+def test_short_words_are_merged_together():
+    rng = np.random.default_rng(23)
+    table = bpe.Bpe(FILE)
+    words = [x.encode() for x in {"".join(rng.choice([*"aaeeiosthnrlmé日.'-"], rng.integers(1, 40))) for _ in range(2000)}]
+    expected = [table.exact(x) for x in words]
+    table.exact = None  # is for long ones
+    assert table.exact_together(words) == expected
+    assert table.exact_together([]) == []
+    assert table.encode_words([x.decode() for x in words]) == expected
