@@ -19,9 +19,11 @@ Steps, each a Spark job whose result is stored:
 4. Entities of different classes that share a prefix shingle meet in trees. Hot
    shingles are split: the largest class is dealt out over several blocks, entities
    of other classes go to each of them.
-5. What the trees leave over is verified on the sets, cluster by cluster. Each of a few
-   turns gives a group fewer pairs than it has classes. If pairs fail while others were
-   left out, a last pass takes all that are left between different classes.
+5. A group of these passes on a spanning forest of its candidates and one pair for each set
+   that has any. These tell which classes may be connected at all: their clusters, in which
+   every link that is missing lies. A cluster is joined on the sets themselves, so pairs
+   that fail are neither stored nor tried again. Clusters of more than a block are linked
+   block by block first, which leaves fewer classes; the last turn joins all their blocks.
 """
 
 from __future__ import annotations
@@ -46,11 +48,12 @@ BLOCK = 2048
 LEAF = 16
 LEAST_BITS = 64
 TURNS = 3
+#: Shingles of the sets that are held together, unless one set has more.
+BLOCK_ITEMS = 4_000_000
 SAMPLE_DOCS = 4000
 HOT_TOKENS = 50_000
 #: Rows of a few numbers that may be broadcast; counted before, more are joined by shuffle.
 BROADCAST_ROWS = 200_000
-CLUSTER_PAIRS = 20_000
 
 
 # --- sets -----------------------------------------------------------------------------------------
@@ -278,13 +281,14 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str], block: int | None
         yield held
 
 
-def _link_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links that connect all linked sets of a block; pairs already connected are not compared."""
-    for rows in _groups(batches, ["smallest", "salt"], BLOCK):
+def _link_blocks(batches: Iterator[pa.RecordBatch], percent: int, by: list[str], block: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Links that connect all linked sets of a group; pairs in one class already (``label``, if there is one) are not compared."""
+    for rows in _groups(batches, by, block):
         rows = list({r["entity"]: r for r in rows}.values())
         sets = [np.frombuffer(r["items"], np.uint64) for r in rows]
         tree = SignatureTree(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], percent)
-        label, out = np.arange(len(rows)), []
+        _, label = np.unique([r.get("label", r["entity"]) for r in rows], return_inverse=True)
+        out = []
         for i, j in tree.candidates():
             while len(i):
                 apart = label[i] != label[j]
@@ -298,40 +302,33 @@ def _link_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], percent: int, turn: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes that may link.
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes that may link: as many as connect all that could be, and one at least of each set that has any.
 
-    With a ``turn``, classes that a pair would connect count as connected from then on,
-    so a group gives fewer pairs than it has classes; ``more`` says that others were
-    left out. Turns begin with different pairs. Without a turn, all pairs are given.
+    A group of n sets thus gives fewer than 2 n pairs.
     """
     for rows in _groups(batches, ["key", "salt"]):
         rows = list({r["entity"]: r for r in rows}.values())
-        _, label = np.unique([r["label"] for r in rows], return_inverse=True)
+        _, first = np.unique([r["label"] for r in rows], return_inverse=True)
         entity = np.array([r["entity"] for r in rows])
         tree = SignatureTree(np.array([r["n"] for r in rows]), [r["bitmap"] for r in rows], percent)
-        one, two, more = [], [], False
-        first = label.copy()
+        label, alone = first.copy(), np.ones(len(rows), bool)
+        one, two = [], []
         for i, j in tree.candidates():
-            if turn:
-                order = np.argsort(mix((entity[i] ^ entity[j]).view(np.uint64) + np.uint64(turn)), kind="stable")
-                i, j = i[order], j[order]
+            apart = first[i] != first[j]
+            i, j = i[apart], j[apart]
             while len(i):
-                apart = label[i] != label[j]
-                more |= bool((~apart & (first[i] != first[j])).any())
-                i, j = i[apart], j[apart]
-                if turn is None or not len(i):
-                    one.append(i)
-                    two.append(j)
-                    break
-                one.append(i[:1])
-                two.append(j[:1])
-                label[label == label[j[0]]] = label[i[0]]
-                i, j = i[1:], j[1:]
-        if sum(map(len, one)):
-            x, y = entity[np.concatenate(one)], entity[np.concatenate(two)]
-            columns = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), more))]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "more"])
+                new = (label[i] != label[j]) | alone[i] | alone[j]
+                i, j = i[new], j[new]
+                if len(i):
+                    one.append(i[0])
+                    two.append(j[0])
+                    alone[i[0]] = alone[j[0]] = False
+                    label[label == label[j[0]]] = label[i[0]]
+                    i, j = i[1:], j[1:]
+        if one:
+            x, y = entity[one], entity[two]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -345,27 +342,6 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(items, pa.binary())], [*kept, "items"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links among the pairs of a cluster; its sets come first. Pairs that are connected already are not compared."""
-    for rows in _groups(batches, ["cluster", "salt"]):
-        sets = {r["a"]: np.frombuffer(r["items"], np.uint64) for r in rows if r["items"] is not None}
-        parent = {k: k for k in sets}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out = []
-        for r in rows:
-            if r["items"] is None and root(r["a"]) != root(r["b"]) and linked(sets[r["a"]], sets[r["b"]], percent):
-                parent[root(r["b"])] = root(r["a"])
-                out.append((r["a"], r["b"]))
-        if out:
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
-
-
 def _sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Sets of the wanted rows (``own_id``, ``own_digest`` and more columns, which are returned), read from the text of one document each."""
     wanted = materialize(wanted)
@@ -377,12 +353,16 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(partial(_sets, width=width), schema)
 
 
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes after more links between classes' members."""
-    ends = links.join(labels.select(F.col("entity").alias("a"), F.col("label").alias("x")), "a").join(
+def _between_classes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` with the classes of their ends, ``x, y``."""
+    return pairs.join(labels.select(F.col("entity").alias("a"), F.col("label").alias("x")), "a").join(
         labels.select(F.col("entity").alias("b"), F.col("label").alias("y")), "b"
     )
-    merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after more links between classes' members."""
+    merged = components(_between_classes(links, labels).select(F.col("x").alias("a"), F.col("y").alias("b")))
     joined = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("into")), "label", "left")
     return materialize(joined.select("entity", F.coalesce("into", "label").alias("label")))
 
@@ -404,20 +384,32 @@ def _meet(hits: DataFrame, about: DataFrame, labels: DataFrame) -> DataFrame:
     return spread.repartition("key", "salt").sortWithinPartitions("key", "salt")
 
 
-def _check(rows: DataFrame, about: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links that connect all linked pairs. Pairs are cut into clusters, so a set travels once, not once for each pair."""
-    clusters = components(pairs).select(F.col("node").alias("a"), F.col("label").alias("cluster"))
-    placed = pairs.join(clusters, "a")
-    sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER_PAIRS).alias("salts"))
-    placed = materialize(placed.join(sizes, "cluster").select("cluster", F.pmod("a", "salts").alias("salt"), "a", "b"))
-    ends = placed.select("cluster", "salt", F.explode(F.array("a", "b")).alias("entity")).distinct()
-    wanted = about.join(ends.select("entity").distinct(), "entity").select("own_id", "own_digest", "entity")
-    sets = materialize(_sets_of(rows, wanted, width))
-    held = ends.join(sets, "entity").select("cluster", "salt", F.col("entity").alias("a"), F.lit(None).cast("long").alias("b"), "items")
-    both = held.unionByName(placed.withColumn("items", F.lit(None).cast("binary")))
-    order = ["cluster", "salt", F.col("b").isNotNull()]
-    ready = both.repartition("cluster", "salt").sortWithinPartitions(*order)
-    return ready.mapInArrow(partial(_verify, percent=percent), "a long, b long")
+def _clusters(about: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the pairs, ``entity, label, own_id, own_digest, cluster, blocks``; sets of different clusters cannot link."""
+    ends = materialize(_between_classes(pairs, labels))
+    joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    both = F.array(F.struct(F.col("a").alias("entity"), F.col("x").alias("label")), F.struct(F.col("b").alias("entity"), F.col("y").alias("label")))
+    sets = ends.select(F.explode(both).alias("e")).select("e.*").distinct().join(about.select("entity", "n", "own_id", "own_digest"), "entity")
+    sets = materialize(sets.join(joined, "label"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int")
+    return materialize(sets.join(sets.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").drop("n"))
+
+
+def _check(rows: DataFrame, clusters: DataFrame, width: int, percent: int, turn: int) -> DataFrame:
+    """Links that connect all linked sets of a cluster; before the last turn, those of a block if it has several.
+
+    In the last turn any two blocks of a cluster meet.
+    """
+    block = F.pmod(F.xxhash64(F.lit(turn), "entity"), "blocks").cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("low"), F.greatest(x, "block").alias("high")))
+    # sets of one block meet wherever it meets another
+    pairs = F.when(F.col("blocks") > 1, F.filter(others, lambda x: x["low"] != x["high"])).otherwise(others)
+    salts = pairs if turn == TURNS else F.array(F.struct(F.col("block").alias("low"), F.col("block").alias("high")))
+    sets = _sets_of(rows, clusters.select("own_id", "own_digest", "entity", "label", "cluster", "blocks", block.alias("block")), width)
+    by = ["cluster", "low", "high"]
+    spread = sets.select("cluster", F.explode(salts).alias("salt"), "entity", "label", "items").select("cluster", "salt.*", "entity", "label", "items")
+    ready = spread.repartition(*by).sortWithinPartitions(*by)
+    return ready.mapInArrow(partial(_link_blocks, percent=percent, by=by), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -446,7 +438,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", width: int = WIDT
     salt = F.pmod("entity", F.ceil(F.col("rows") / BLOCK)).alias("salt")
     wanted = about.join(firsts, "smallest").select("own_id", "own_digest", "entity", "smallest", salt)
     blocks = _sets_of(told, wanted, width).repartition("smallest", "salt").sortWithinPartitions("smallest", "salt")
-    links = materialize(blocks.mapInArrow(partial(_link_blocks, percent=percent), "a long, b long"))
+    links = materialize(blocks.mapInArrow(partial(_link_blocks, percent=percent, by=["smallest", "salt"], block=BLOCK), "a long, b long"))
     labels = _relabel(about.select("entity", F.col("entity").alias("label")), links)
 
     hot = common_shingles(rows, width)
@@ -454,27 +446,21 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", width: int = WIDT
     prefixes = partial(_prefixes, width=width, percent=percent, hot=hot)
     found = recurring(rows, prefixes, parts_for(docs, total * (100 - percent) / 100))
     hits = materialize(found.select(F.col("owner").alias("entity"), "key").repartition("entity").distinct())
-    for turn in (*range(TURNS), None):
-        tried = _meet(hits, about, labels).mapInArrow(partial(_candidates, percent=percent, turn=turn), "a long, b long, more boolean")
-        pairs = materialize(tried.groupBy("a", "b").agg(F.max("more").alias("more")))
-        links = materialize(_check(told, about, pairs.select("a", "b"), width, percent))
+    for turn in range(TURNS + 1):
+        pairs = materialize(_meet(hits, about, labels).mapInArrow(partial(_candidates, percent=percent), "a long, b long").distinct())
+        clusters = _clusters(about, labels, pairs)
+        links = materialize(_check(told, clusters, width, percent, turn))
         labels = _relabel(labels, links)
-        if turn is not None and not _open_pairs(pairs.where("more"), labels):
+        large = clusters.where(F.col("blocks") > 1).select("entity")
+        if turn == TURNS or not large.limit(1).count():
             break
+        hits = materialize(hits.join(large, "entity", "left_semi"))
 
     smallest = labels.join(about.select("entity", "own_id"), "entity").groupBy("label").agg(F.min("own_id").alias("component_id"))
     classes = labels.join(smallest, "label").select("entity", "component_id")
     return every.join(classes, "entity", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _open_pairs(pairs: DataFrame, labels: DataFrame) -> bool:
-    """Whether pairs that failed could hide others: their ends are still in different classes."""
-    ends = pairs.join(labels.select(F.col("entity").alias("a"), F.col("label").alias("x")), "a").join(
-        labels.select(F.col("entity").alias("b"), F.col("label").alias("y")), "b"
-    )
-    return bool(ends.where(F.col("x") != F.col("y")).limit(1).count())
-
-
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents of a component other than its first; of repeated ids all rows of the first stay."""
     classes = similar_documents(docs, doc_id, width, percent).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped")).distinct()

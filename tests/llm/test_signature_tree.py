@@ -1,6 +1,7 @@
 """The trees and the join against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tableprobe.llm import signature_tree
@@ -70,3 +71,41 @@ def test_texts_with_one_id_are_not_mixed(spark):
     docs = spark.createDataFrame([(*r, e) for r, e in zip(rows, expected)], "doc_id long, text string, expected long").repartition(3)
     got = sorted((r["doc_id"], r["component_id"]) for r in signature_tree.similar_documents(docs).collect())
     assert got == sorted((r[0], e) for r, e in zip(rows, expected))
+
+
+def family(name, count, words, own):
+    """Texts with common words in the middle and ``own`` of their own before and after; of pairs of them, ``own`` decides."""
+    common = " ".join(f"{name}{k}" for k in range(words))
+    return [" ".join([*(f"{name}a{c}x{k}" for k in range(own)), common, *(f"{name}z{c}x{k}" for k in range(own))]) for c in range(count)]
+
+
+def test_pairs_that_fail_do_not_grow_with_the_square(spark, monkeypatch):
+    """120 sets that are just not alike in pairs: what is stored on the way stays in proportion to them."""
+    rows = list(enumerate(family("near", 120, 62, 4)))
+    stored = []
+
+    def counted(df, store=signature_tree.materialize):
+        out = store(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(signature_tree, "materialize", counted)
+    got = signature_tree.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = brute.similar([{"doc_id": n, "text": t} for n, t in rows])
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == expected
+    assert all(expected[n][1] == n for n in expected)
+    values, first = signature_tree.shingle_sets(pa.array([t for _, t in rows]), signature_tree.WIDTH)
+    assert len(candidates([values[a:b] for a, b in zip(first[:-1], first[1:])])) > 40 * len(rows)  # bitmaps do not tell them apart
+    assert max(stored) < 40 * len(rows)
+
+
+def test_clusters_of_many_blocks(spark, monkeypatch):
+    """Links across blocks, next to pairs that fail, are found whatever the size of a block."""
+    monkeypatch.setattr(signature_tree, "BLOCK", 6)
+    texts = family("near", 30, 62, 4) + [t for g in range(6) for t in versions(f"v{g}x", 10)]
+    chain = [f"c{k}" for k in range(200)]
+    texts += [" ".join(chain[4 * k : 4 * k + 100]) for k in range(20)]
+    rows = [(1000 - k, t) for k, t in enumerate(texts)]
+    got = signature_tree.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    expected = brute.similar([{"doc_id": n, "text": t} for n, t in rows])
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == expected
