@@ -113,6 +113,7 @@ def parse_format(c: Column, fmt: str) -> Column:
 # Shapes read without a named format. A time may follow any date.
 _TIME = r"([ T]\d{1,2}[:.-]\d{1,2}([:.-]\d{1,2}(\.\d{1,6})?)?)?$"
 _YEAR_FIRST = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}" + _TIME
+_PLAIN_DATE = r"^\d{4}-\d{2}-\d{2}$"
 _YEAR_LAST = r"^\d{1,2}([-/.])\d{1,2}\1\d{4}" + _TIME
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})(\d{2})?(\d{2})?(\d{2})?$"
 _CLOCK = r"^\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?$"
@@ -164,8 +165,9 @@ def infer_timestamp(c: Column, dayfirst: bool = False) -> Column:
             .otherwise(F.coalesce(F.when(t.rlike(_NAMED), _named(t)), timestamp_by_shape(t, dayfirst)))
         )
 
-    # A date holds a digit, which lets most words skip the shapes.
-    return let(c, lambda t: F.when(t.rlike(r"[0-9]"), read(t)))
+    # A plain date is compiled code, without a step of binding. Other dates hold a digit, which lets most words skip the shapes.
+    plain = F.try_make_timestamp(*[F.substring(c, at, size).try_cast("int") for at, size in ((1, 4), (6, 2), (9, 2))], F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))
+    return F.when(c.rlike(_PLAIN_DATE), plain).otherwise(let(c, lambda t: F.when(t.rlike(r"[0-9]"), read(t))))
 
 
 def _named(t: Column) -> Column:

@@ -61,3 +61,14 @@ def test_equal_texts_are_read_once_and_all_are_counted(spark):
     found = detect.datetime_detection_summary(df)
     assert [tuple(r) for r in found.collect()] == [("text", "parseable", 85.0, 15)]
     assert re.search(r"hashpartitioning\(id#\d+, value#\d+, long_parsed#\d+", plan(found))
+
+
+def test_plain_dates_are_read_without_a_step_of_binding(spark):
+    """They take a branch before the one that binds values, with the same result."""
+    texts = ["2024-02-29", "2023-02-29", "2024-13-01", "2024-00-10", "1969-12-31", "2024-1-02", "2024/01/02", "soon", None]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    found = df.select(infer_timestamp(F.col("text")).alias("t"))
+    days = ["2024-02-29", None, None, None, "1969-12-31", "2024-01-02", "2024-01-02", None, None]
+    assert [r[0] for r in found.collect()] == [as_time(x) if x else None for x in days]
+    whole = plan(found)
+    assert 0 < whole.find("make_timestamp(try_cast(substring(text") < whole.find("transform(")
