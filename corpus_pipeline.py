@@ -44,8 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of the text that they decode to."""
     file = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), file)
-    return bpe.decode(encoded, file).select(
+    return bpe.encode_and_decode(docs.select("doc_id", "source", "text"), file).select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -18,7 +18,7 @@ import hashlib
 import os
 import struct
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tableprobe.llm.arrow import chunks
+from tableprobe.llm.arrow import chunks, kept
 from tableprobe.llm.bpe import Vocabulary
 from tableprobe.llm.pieces import PieceTable
 from tableprobe.llm.recurring import pack, unpack
@@ -218,7 +218,7 @@ class Aligner(PieceTable):
         return out, digests, (keys[at], owner[at], np.add.reduceat(links, at) if len(at) else links)
 
 
-@cache
+@kept
 def _worker(byte_file: str, piece_file: str) -> Aligner:
     return Aligner(byte_file, piece_file)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tableprobe.llm.arrow import chunks, lists, tidy
+from tableprobe.llm.arrow import chunks, kept, lists, tidy
 from tableprobe.llm.pieces import PieceTable
 
 # Fixed value: the word pattern of this family of tokenizers.
@@ -267,14 +267,14 @@ class Bpe(Vocabulary):
         return parts
 
 
-@cache
+@kept
 def _worker(tokenizer_file: str) -> tuple[Bpe, PieceTable]:
     """One per worker, kept between tasks."""
     bpe = Bpe(tokenizer_file)
     return bpe, PieceTable(bpe.encode, PIECES_REMEMBERED)
 
 
-@cache
+@kept
 def _vocabulary(tokenizer_file: str) -> Vocabulary:
     return Vocabulary(tokenizer_file)
 
@@ -284,13 +284,17 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, column: str,
     _, table = _worker(tokenizer_file)
     for batch in chunks(batches, column):
         ids, counts = table.token_ids([x or "" for x in batch.column(column).to_pylist()])
-        kept = [n for n in batch.schema.names if n != column]
-        columns = [*[batch.column(n) for n in kept], lists(ids.astype(np.int32), counts, pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, [*kept, ids_name])
+        others = [n for n in batch.schema.names if n != column]
+        columns = [*[batch.column(n) for n in others], lists(ids.astype(np.int32), counts, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, [*others, ids_name])
 
 
+@tidy
 def _decode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, column: str, text_name: str) -> Iterator[pa.RecordBatch]:
-    vocabulary = _vocabulary(tokenizer_file)
+    yield from _decoded(batches, _vocabulary(tokenizer_file), column, text_name)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, column: str, text_name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
@@ -300,6 +304,11 @@ def _decode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, column: str,
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_name])
 
 
+def _encode_and_decode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, column: str, ids_name: str, text_name: str) -> Iterator[pa.RecordBatch]:
+    encoded = _encode(batches, tokenizer_file, column, ids_name)
+    yield from _decoded(encoded, _worker(tokenizer_file)[0], ids_name, text_name)
+
+
 def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Replace the text by its token ids; null and empty texts give no ids. Other columns
     stay, repeated rows too; a column named like the new one is replaced."""
@@ -314,3 +323,11 @@ def decode(tokens: DataFrame, tokenizer_file: str, ids: str = "ids", text: str =
     others = tokens.drop(text)
     schema = T.StructType([*others.schema.fields, T.StructField(text, T.StringType())])
     return others.mapInArrow(partial(_decode, tokenizer_file=tokenizer_file, column=ids, text_name=text), schema)
+
+
+def encode_and_decode(docs: DataFrame, tokenizer_file: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode``, slice by slice in one worker, where each of the two would take one of its own."""
+    others = docs.drop(ids, decoded)
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
+    schema = T.StructType([*[f for f in others.schema.fields if f.name != text], *added])
+    return others.mapInArrow(partial(_encode_and_decode, tokenizer_file=tokenizer_file, column=text, ids_name=ids, text_name=decoded), schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.llm.arrow import chunks
+from tableprobe.llm.arrow import chunks, tidy
 from tableprobe.llm.components import components
 from tableprobe.llm.recurring import parts_for, recurring
 from tableprobe.llm.words import Words, mix, not_blank
@@ -109,6 +109,7 @@ def bitmap(values: np.ndarray) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
+@tidy
 def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         values, first = shingle_sets(batch.column("text"), width)
@@ -144,6 +145,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, hot:
         yield values[order][take], entities(values, first)[owner[take]]
 
 
+@tidy
 def _all_shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         values, _ = shingle_sets(batch.column("text"), width)
@@ -281,6 +283,7 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str], block: int | None
         yield held
 
 
+@tidy
 def _link_blocks(batches: Iterator[pa.RecordBatch], percent: int, by: list[str], block: int | None = None) -> Iterator[pa.RecordBatch]:
     """Links that connect all linked sets of a group; pairs in one class already (``label``, if there is one) are not compared."""
     for rows in _groups(batches, by, block):
@@ -302,6 +305,7 @@ def _link_blocks(batches: Iterator[pa.RecordBatch], percent: int, by: list[str],
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
+@tidy
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of different classes that may link: as many as connect all that could be, and one at least of each set that has any.
 
@@ -331,6 +335,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in chunks(batches):

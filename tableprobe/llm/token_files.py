@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tableprobe.llm.arrow import chunks, lists, tidy
+from tableprobe.llm.arrow import chunks, kept, lists, tidy
 from tableprobe.llm.bpe import Vocabulary
 from tableprobe.llm.pieces import PieceTable
 
@@ -61,7 +61,7 @@ def encode_joined(tokenizer, sizes: np.ndarray, pieces: list[str]) -> list:
     return out
 
 
-@cache
+@kept
 def _table(tokenizer_file: str) -> PieceTable:
     """One per worker, kept between tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
